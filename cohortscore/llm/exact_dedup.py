@@ -18,11 +18,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null texts count as empty. The largest id stays; a null id stays only where the group has no other.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text")).withColumn("len", F.octet_length("text"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text"))
+    rows = rows.withColumns({"len": F.octet_length("text"), "prefix": F.xxhash64(F.substring("text", 1, prefix_chars))})
     by_length = rows.groupBy("len").count().filter("count > 1").select("len")
-    with_prefix = rows.join(by_length, "len", "left_semi").withColumn("prefix", F.xxhash64(F.substring("text", 1, prefix_chars)))
-    by_prefix = with_prefix.groupBy("len", "prefix").count().filter("count > 1").select("len", "prefix")
-    hashed = with_prefix.join(by_prefix, ["len", "prefix"], "left_semi").withColumn("sha", F.sha2("text", 256))
+    by_prefix = rows.select("len", "prefix").join(by_length, "len", "left_semi").groupBy("len", "prefix").count().filter("count > 1").select("len", "prefix")
+    hashed = rows.join(by_prefix, ["len", "prefix"], "left_semi").withColumn("sha", F.sha2("text", 256))
     return hashed.groupBy("len", "prefix", "sha").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
 
 
