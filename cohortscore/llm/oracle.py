@@ -29,4 +29,52 @@ SELECT c.page_id, c.host, c.path, best.rule,
 FROM c LEFT JOIN best ON c.page_id = best.page_id AND c.url = best.url LEFT JOIN listed ON c.key = listed.key
 """
 
-ORACLE = {"op2_exact_dedup": OP2, "op10_url_filter": OP10}
+
+
+def op1() -> str:
+    """The estimates' formulas are those of the operator; the base counts are written anew over unnested windows."""
+    from cohortscore.llm import quality as q
+
+    def chain(source: str, name: str, levels: list[list[tuple[str, str]]]) -> str:
+        out = []
+        for i, level in enumerate(levels):
+            at = name if i == len(levels) - 1 else f"{name}_{i}"
+            out.append(f"{at} AS (SELECT *, {', '.join(f'{sql} AS {c}' for c, sql in level)} FROM {source})")
+            source = at
+        return ",\n".join(out)
+
+    moments = ", ".join(f"{sql} AS {c}" for c, sql in q.moment_sql())
+    totals = ", ".join(f"sum({c}) AS {c}" for c, _ in q.moment_sql())
+    xs = ", ".join(f"cast(round(coalesce({sql}, 0)) as bigint) AS {c}" for c, sql, _ in q.FEATURES)
+    ctes = [
+        """w AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS k0, coalesce(source, '') AS k1,
+                 list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
+                 list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents)""",
+        "g AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) >= 3)",
+        "h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) AS n FROM g)",
+        "r AS (SELECT doc_id, count(DISTINCT i + d) AS n_repeat_words FROM h, (VALUES (0), (1), (2)) v(d) WHERE n > 1 GROUP BY 1)",
+        """b AS (SELECT doc_id, k0, k1, cast(len(words) as bigint) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+                 length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, cast(len(lines) as bigint) AS n_lines,
+                 cast(len(lines) - len(list_distinct(lines)) as bigint) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+               FROM w LEFT JOIN r USING (doc_id))""",
+        f"x AS (SELECT *, {xs}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)",
+        f"mo0 AS (SELECT k0, k1, {moments} FROM x WHERE NOT base_failed GROUP BY 1, 2)",
+    ]
+    for step in range(q.STEPS + 1):
+        pooled = ", ".join(f"CASE WHEN n >= {q.MIN_ROWS} THEN {c} ELSE (SELECT sum({c}) FROM mo{step}) END AS {c}" for c, _ in q.moment_sql())
+        ctes.append(f"po{step} AS (SELECT k0, k1, {pooled} FROM mo{step})")
+        ctes.append(chain(f"po{step}", f"fit{step}", q.estimate_sql()))
+        rows = "x WHERE NOT base_failed" if step < q.STEPS else "x"
+        ctes.append(f"at{step} AS (SELECT * FROM (SELECT * FROM {rows}) LEFT JOIN (SELECT * EXCLUDE ({', '.join(c for c, _ in q.moment_sql())}) FROM fit{step}) USING (k0, k1))")
+        ctes.append(chain(f"at{step}", f"dist{step}", q.distance_sql()))
+        if step < q.STEPS:
+            ctes.append(f"bin{step} AS (SELECT k0, k1, {q.BIN_SQL} AS bin, {moments} FROM dist{step} GROUP BY 1, 2, 3)")
+            ctes.append(f"""cum{step} AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY k0, k1 ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen,
+                            sum(n) OVER (PARTITION BY k0, k1) AS alln FROM bin{step})""")
+            ctes.append(f"mo{step + 1} AS (SELECT k0, k1, {totals} FROM cum{step} WHERE seen < {q.SUBSET} * alln GROUP BY 1, 2)")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(d2 > {q.CUT}, false) AS kept FROM dist{q.STEPS}"""
+
+
+ORACLE = {"op1_quality_rules": op1(), "op2_exact_dedup": OP2, "op10_url_filter": OP10}

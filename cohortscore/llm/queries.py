@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortscore.llm import bpe, exact_dedup, packing, url_filter
+from cohortscore.llm import bpe, exact_dedup, packing, quality, url_filter
 from cohortscore.llm.shared import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -22,6 +22,10 @@ URL_RULES = (
 LISTED_SITES = ("ads-track", "cheap-pills", "casino-win", "free-bets", "spam-farm", "adult-x")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -44,6 +48,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op7_best_fit_packing": op7_best_fit_packing,
