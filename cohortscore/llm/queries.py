@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortscore.llm import bpe, exact_dedup, packing, quality, url_filter
+from cohortscore.llm import bpe, exact_dedup, jaccard_join, packing, quality, url_filter
 from cohortscore.llm.shared import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -35,6 +35,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), percent=85, k=4).withColumnRenamed("id", "doc_id")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     packed = packing.pack_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -51,6 +55,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op10_url_filter": op10_url_filter,
 }
