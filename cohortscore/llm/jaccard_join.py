@@ -77,12 +77,15 @@ def rarity(sets: DataFrame) -> np.ndarray:
 
 
 def region_keys(sets: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
-    """`key, node, n, pos`: each set beside the single-shingle pivots in its window, the rarest shingles first."""
+    """`key, node, n, pos, odd`: each set beside the single-shingle pivots in its window, the rarest shingles first.
+
+    `odd` counts the set's shingles at the level of the usual number of documents: few in a group's centre.
+    """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            out, nodes, sizes, many, places = [], [], [], [], []
+            out, nodes, sizes, many, places, odd = [], [], [], [], [], []
             for node, s in zip(batch["node"].to_pylist(), _arrays(batch)):
                 if not len(s) or node in seen:
                     continue
@@ -95,11 +98,12 @@ def region_keys(sets: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
                 sizes.append(len(s))
                 many.append(p)
                 places.append(np.arange(p, dtype=np.int32))
+                odd.append(np.count_nonzero(level == 0))
             if out:
                 key = np.concatenate(out).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(np.array(nodes, np.int64), many)), pa.array(np.repeat(np.array(sizes, np.int32), many)), pa.array(np.concatenate(places))], ["key", "node", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(np.array(nodes, np.int64), many)), pa.array(np.repeat(np.array(sizes, np.int32), many)), pa.array(np.concatenate(places)), pa.array(np.repeat(np.array(odd, np.int32), many))], ["key", "node", "n", "pos", "odd"])
 
-    return sets.select("node", "hashes").mapInArrow(keys, "key long, node long, n int, pos int")
+    return sets.select("node", "hashes").mapInArrow(keys, "key long, node long, n int, pos int, odd int")
 
 
 def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -156,11 +160,12 @@ def _unsettled(members: DataFrame) -> DataFrame:
 def near_links(sets: DataFrame, percent: int) -> DataFrame:
     """Links `a, b` between set hashes that have the components of all pairs with similarity of `percent` or more."""
     keys = region_keys(sets, rarity(sets), percent)
-    central = F.col("pos").cast("long") * (1 << 32) + F.col("node").bitwiseAND(F.lit((1 << 32) - 1))
-    regions = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min("pos").alias("first")).filter("lo <> hi")
+    # The same order in every region, so that the regions of one group of near copies choose one pivot.
+    central = F.col("odd").cast("long") * (1 << 32) + F.col("node").bitwiseAND(F.lit((1 << 32) - 1))
+    regions = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
     regions = written(regions.select(F.col("key").alias("region")), "regions")
-    members = written(keys.withColumnRenamed("key", "region").join(regions, "region", "left_semi").groupBy("region", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "members")
-    sized = members.groupBy("region").agg(F.count("*").alias("size"), F.min_by("node", central).alias("pivot"), F.min_by("n", central).alias("ny"), F.min("pos").alias("j"))
+    members = written(keys.withColumnRenamed("key", "region").join(regions, "region", "left_semi").groupBy("region", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("odd").alias("odd")), "members")
+    sized = members.groupBy("region").agg(F.count("*").alias("size"), F.min_by("node", central).alias("pivot"), F.min_by("n", central).alias("ny"), F.min_by("pos", central).alias("j"))
     active = members.withColumn("root", F.col("node")).join(sized.select("region", "size"), "region")
     pivots = sized.drop("size")
     links = None
@@ -175,7 +180,7 @@ def near_links(sets: DataFrame, percent: int) -> DataFrame:
         active = active.drop("d").join(apart, ["region", "node"], "left")
         active = _unsettled(_roots(active, links))
         again = active.filter((F.col("size") > SMALL) & (F.col("root") != F.col("main")))
-        pivots = again.groupBy("region").agg(F.min_by("node", central).alias("pivot"), F.min_by("n", central).alias("ny"), F.min("pos").alias("j"))
+        pivots = again.groupBy("region").agg(F.min_by("node", central).alias("pivot"), F.min_by("n", central).alias("ny"), F.min_by("pos", central).alias("j"))
         if pivots.isEmpty():
             break
         pivots = written(pivots, "pivots")

@@ -133,10 +133,10 @@ def estimates(vectors: DataFrame, keys: list[str], min_rows: int = MIN_ROWS) ->
     names = [name for name, _ in moment_sql()]
 
     def fitted(moments: DataFrame) -> DataFrame:
-        pooled = moments.agg(*[F.sum(c).alias(f"a_{c}") for c in names])
+        moments = written(moments, "quality-moments")
+        pooled = moments.agg(*[F.sum(c).alias(c) for c in names]).first()  # one row of sums
         own = F.col("n") >= min_rows
-        both = moments.withColumn("one", F.lit(1)).join(pooled.withColumn("one", F.lit(1)), "one")
-        chosen = both.select(*keys, *[F.when(own, F.col(c)).otherwise(F.col(f"a_{c}")).alias(c) for c in names])
+        chosen = moments.select(*keys, *[F.when(own, F.col(c).cast("decimal(38,0)")).otherwise(F.lit(pooled[c]).cast("decimal(38,0)")).alias(c) for c in names])
         return _levels(chosen, estimate_sql()).select(*keys, *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in PAIRS])
 
     now = fitted(vectors.groupBy(*keys).agg(*sums))
