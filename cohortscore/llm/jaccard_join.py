@@ -12,6 +12,7 @@ places in the window and distances to the pivots (by the triangle inequality) al
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,58 +26,70 @@ from cohortscore.llm.shared import written
 from cohortscore.llm.shingle_words import mix, window_hashes, word_hashes, word_lists
 
 #: Cells of the frequency sketch and words of the membership bitmap: what is broadcast has these sizes.
-CELLS, BITMAP = 1 << 17, 1 << 18
+CELLS, BITMAP = 1 << 17, 1 << 17
+#: One hash in so many is in a set's signature, whose symmetric difference bounds that of the whole sets from below.
+THIN = 8
 #: Regions with more members than SMALL are measured from document pivots, at most DEPTH times, before pairs are formed.
-SMALL, DEPTH = 24, 3
+SMALL, DEPTH = 256, 3
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """`id, n, node, twin, hashes`: the distinct k-word shingles of each text as sorted 64-bit hashes, and two hashes of the set."""
+def _set_of(words: list[bytes], k: int) -> np.ndarray:
+    """The distinct k-word shingles as sorted 64-bit hashes; fewer than k words make one, no words none."""
+    h = word_hashes(words)
+    return np.unique(window_hashes(h, min(k, max(1, len(words)))))
+
+
+def _node(s: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+
+
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(flat))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, node, twin, found = [], [], [], []
-            for words in word_lists(batch["text"].to_pylist(), lower=True):
-                h = word_hashes(words)
-                s = np.unique(window_hashes(h, k)) if len(words) >= k else window_hashes(h, len(words))[:1] if words else h
-                raw = s.tobytes()
-                n.append(len(s))
-                node.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
-                twin.append(xxhash.xxh64_intdigest(raw, 7) - (1 << 63))
-                found.append(s.view(np.int64))
-            flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))
-            ends = pa.array(np.cumsum([0, *n]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(twin, pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["id", "n", "node", "twin", "hashes"])
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(sets, f"id {dict(rows.dtypes)['id']}, n int, node long, twin long, hashes array<long>")
+def outlines(rows: DataFrame, k: int) -> DataFrame:
+    """`id, n, node, twin, sig, cells` of `id, text`: size, two hashes and signature of each set.
 
+    Each task adds a row with n = -1 whose `cells` are its share of the frequency sketch.
+    """
+
+    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, schema = np.zeros(CELLS, np.uint32), None
+        for batch in batches:
+            schema = batch.schema.field("id").type
+            found = [_set_of(words, k) for words in word_lists(batch["text"].to_pylist(), lower=True)]
+            if found:
+                total += np.bincount((np.concatenate(found) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
+            twins = [xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63) for s in found]
+            cols = [batch["id"], pa.array([len(s) for s in found], pa.int32()), pa.array(map(_node, found), pa.int64()), pa.array(twins, pa.int64()), _lists([s[s % np.uint64(THIN) == 0] for s in found]), pa.nulls(len(found), pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "n", "node", "twin", "sig", "cells"])
+        if schema is not None:
+            cols = [pa.nulls(1, schema), pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), _lists([np.zeros(0, np.uint64)]), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "n", "node", "twin", "sig", "cells"])
 
-def _arrays(batch: pa.RecordBatch) -> list[np.ndarray]:
-    lists = batch["hashes"]
-    flat, ends = lists.values.to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
-    return [flat[a:b] for a, b in zip(ends[:-1], ends[1:])]
+    return rows.mapInArrow(outline, f"id {dict(rows.dtypes)['id']}, n int, node long, twin long, sig array<long>, cells binary")
 
 
-def rarity(sets: DataFrame) -> np.ndarray:
-    """A level for each of CELLS hash cells of shingles: 0 for the usual number of documents, one more for each doubling."""
+def rarity(outlined: DataFrame) -> np.ndarray:
+    """A level for each of CELLS hash cells of shingles: 0 for the usual number of documents, two more for each doubling."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
-            flat = batch["hashes"].flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            total += np.bincount((flat % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+            for cells in batch["cells"].to_pylist():
+                total += np.frombuffer(zlib.decompress(cells), np.uint32)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
 
     table = np.zeros(CELLS, np.int64)
-    for r in sets.select("hashes").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in outlined.filter("n < 0").select("cells").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         table[r["cell"]] = r["n"]
     usual = max(1.0, float(np.median(table)))
     return np.clip(np.floor(2 * np.log2(np.maximum(table, 1) / usual + 1e-9)), 0, 120).astype(np.int64)
 
 
-def region_keys(sets: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
+def region_keys(rows: DataFrame, k: int, levels: np.ndarray, percent: int) -> DataFrame:
     """`key, node, n, pos, odd`: each set beside the single-shingle pivots in its window, the rarest shingles first.
 
     `odd` counts the set's shingles at the level of the usual number of documents: few in a group's centre.
@@ -86,7 +99,9 @@ def region_keys(sets: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             out, nodes, sizes, many, places, odd = [], [], [], [], [], []
-            for node, s in zip(batch["node"].to_pylist(), _arrays(batch)):
+            for words in word_lists(batch["text"].to_pylist(), lower=True):
+                s = _set_of(words, k)
+                node = _node(s)
                 if not len(s) or node in seen:
                     continue
                 if len(seen) < 200_000:
@@ -103,37 +118,83 @@ def region_keys(sets: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
                 key = np.concatenate(out).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(np.array(nodes, np.int64), many)), pa.array(np.repeat(np.array(sizes, np.int32), many)), pa.array(np.concatenate(places)), pa.array(np.repeat(np.array(odd, np.int32), many))], ["key", "node", "n", "pos", "odd"])
 
-    return sets.select("node", "hashes").mapInArrow(keys, "key long, node long, n int, pos int, odd int")
+    return rows.select("text").mapInArrow(keys, "key long, node long, n int, pos int, odd int")
 
 
-def _only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """`node, n, hashes` of the given nodes, once each. A bitmap of fixed size drops most other sets before the shuffle."""
-    place = F.shiftrightunsigned("node", 6).bitwiseAND(F.lit(BITMAP - 1))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("node").bitwiseAND(F.lit(63)).cast("int"))
+def _bitmap(hashes: DataFrame, column: str) -> np.ndarray:
+    """A bitmap of fixed size that has every value of a long column."""
+    place = F.shiftrightunsigned(column, 6).bitwiseAND(F.lit(BITMAP - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(column).bitwiseAND(F.lit(63)).cast("int"))
     bits = np.zeros(BITMAP, np.int64)
-    for r in nodes.groupBy(place.alias("w")).agg(F.bit_or(bit).alias("b")).collect():
+    for r in hashes.groupBy(place.alias("w")).agg(F.bit_or(bit).alias("b")).collect():
         bits[r["w"]] = r["b"]
+    return bits
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            node = batch["node"].to_numpy()
-            word = bits[(node >> 6) & (BITMAP - 1)]
-            hit = np.flatnonzero((word >> (node & 63)) & 1)
-            hit = [i for i in hit if not (node[i] in seen or len(seen) < 200_000 and seen.add(node[i]))]
-            yield batch.take(pa.array(hit, pa.int64()))
 
-    some = sets.select("node", "n", "hashes").mapInArrow(keep, "node long, n int, hashes array<long>")
-    return some.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+def _hits(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return np.flatnonzero((bits[(values >> 6) & (BITMAP - 1)] >> (values & 63)) & 1)
 
 
-def shared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Add `na, nb, common` (set sizes and intersection) to pairs of nodes `a, b`."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    whole = written(_only(sets, nodes), "sets-in-pairs")
+def _met(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """Add `na, nb, common` to pairs of nodes `a, b` from `node, n, hashes` with one row per node."""
     left = whole.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
     right = whole.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    return pairs.join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("ha", "hb"))).drop("ha", "hb")
+    joined = pairs.join(right, "b").join(left, "a")
+    return joined.withColumns({"common": F.size(F.array_intersect("ha", "hb")), "apart": F.size("ha") + F.size("hb")}).drop("ha", "hb")
+
+
+class Points:
+    """The documents of a corpus as sets: `rows` (`id, text`), their written `outlined` form and its `classes`."""
+
+    def __init__(self, rows: DataFrame, k: int):
+        self.rows, self.k = rows, k
+        self.outlined = written(outlines(rows, k), "outlines")
+        self.sets = self.outlined.filter("n >= 0")
+        self.classes = self.sets.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min("twin").alias("t0"), F.max("twin").alias("t1"))
+
+    def _signatures(self, nodes: DataFrame) -> DataFrame:
+        bits = _bitmap(nodes, "node")
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for batch in batches:
+                node = batch["node"].to_numpy()
+                hit = [i for i in _hits(bits, node) if not (node[i] in seen or len(seen) < 200_000 and seen.add(node[i]))]
+                yield batch.take(pa.array(hit, pa.int64()))
+
+        some = self.sets.select("node", "n", F.col("sig").alias("hashes")).mapInArrow(keep, "node long, n int, hashes array<long>")
+        return some.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+
+    def _whole(self, nodes: DataFrame) -> DataFrame:
+        """The sets of the given nodes, made again from the text of one document each."""
+        wanted = written(nodes.join(self.classes.select("node", "least"), "node").select("node", F.xxhash64("least").alias("h")), "wanted")
+        bits, k = _bitmap(wanted, "h"), self.k
+
+        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for batch in batches:
+                hit = batch.take(pa.array(_hits(bits, batch["h"].to_numpy())))
+                found = [s for words in word_lists(hit["text"].to_pylist(), lower=True) if len(s := _set_of(words, k))]
+                node = [_node(s) for s in found]
+                new = [i for i, x in enumerate(node) if not (x in seen or len(seen) < 200_000 and seen.add(x))]
+                yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in new], pa.int64()), pa.array([len(found[i]) for i in new], pa.int32()), _lists([found[i] for i in new])], ["node", "n", "hashes"])
+
+        some = self.rows.select(F.xxhash64("id").alias("h"), "text").mapInArrow(make, "node long, n int, hashes array<long>")
+        return some.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+
+    def measure(self, pairs: DataFrame, percent: int) -> DataFrame:
+        """`a, b, near, low, high`: whether a pair is near, and bounds of its distance, equal where it was computed in full.
+
+        Signatures come first. Their symmetric difference is at most that of the sets, so a pair whose
+        signatures differ too much is far without its sets; the other pairs meet in full.
+        """
+        ends = lambda p: p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct()
+        thin = _met(pairs, self._signatures(ends(pairs))).withColumn("apart", F.col("apart") - 2 * F.col("common"))
+        most = (F.col("na") + F.col("nb") - F.col("apart")) / 2
+        thin = written(thin.select("a", "b", (F.col("apart") * (100 + percent) > (F.col("na") + F.col("nb")) * (100 - percent)).alias("far"), F.greatest(F.lit(0.0), 1 - most / (F.col("na") + F.col("nb") - most)).alias("low")), "thin")
+        left = thin.filter("NOT far").select("a", "b")
+        full = _met(left, written(self._whole(ends(left)), "whole-sets")).withColumn("d", 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common")))
+        return thin.filter("far").select("a", "b", F.lit(False).alias("near"), "low", F.lit(1.0).alias("high")).union(full.select("a", "b", near(percent), "d", F.col("d").alias("high")))
 
 
 def near(percent: int):
@@ -157,9 +218,9 @@ def _unsettled(members: DataFrame) -> DataFrame:
     return written(members.drop("size", "main").join(mixed.select("region", "size", "main"), "region"), "active")
 
 
-def near_links(sets: DataFrame, percent: int) -> DataFrame:
+def near_links(points: Points, percent: int) -> DataFrame:
     """Links `a, b` between set hashes that have the components of all pairs with similarity of `percent` or more."""
-    keys = region_keys(sets, rarity(sets), percent)
+    keys = written(region_keys(points.rows, points.k, rarity(points.outlined), percent), "keys")
     # The same order in every region, so that the regions of one group of near copies choose one pivot.
     central = F.col("odd").cast("long") * (1 << 32) + F.col("node").bitwiseAND(F.lit((1 << 32) - 1))
     regions = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
@@ -173,21 +234,21 @@ def near_links(sets: DataFrame, percent: int) -> DataFrame:
         beside = active.join(pivots, "region").filter("node <> pivot").withColumns({"nx": F.col("n"), "i": F.col("pos")})
         beside = beside.filter((F.col("size") > SMALL) | possible(percent)).select("region", F.col("node").alias("a"), F.col("pivot").alias("b"))
         pairs = written(beside, "pivot-pairs")
-        measured = written(shared(pairs.select("a", "b").distinct(), sets).withColumn("near", near(percent)).withColumn("d", 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))), "distances")
+        measured = written(points.measure(pairs.select("a", "b").distinct(), percent), "distances")
         found = measured.filter("near").select("a", "b")
         links = written(found if links is None else links.union(found), "near")
-        apart = pairs.join(measured.select("a", "b", "d"), ["a", "b"]).select("region", F.col("a").alias("node"), "d")
-        active = active.drop("d").join(apart, ["region", "node"], "left")
+        apart = pairs.join(measured.select("a", "b", "low", "high"), ["a", "b"]).select("region", F.col("a").alias("node"), "low", "high")
+        active = active.drop("low", "high").join(apart, ["region", "node"], "left")
         active = _unsettled(_roots(active, links))
         again = active.filter((F.col("size") > SMALL) & (F.col("root") != F.col("main")))
         pivots = again.groupBy("region").agg(F.min_by("node", central).alias("pivot"), F.min_by("n", central).alias("ny"), F.min_by("pos", central).alias("j"))
         if pivots.isEmpty():
             break
         pivots = written(pivots, "pivots")
-    return written(links.union(_direct(active, sets, percent)), "near")
+    return written(links.union(_direct(active, points, percent)), "near")
 
 
-def _direct(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _direct(active: DataFrame, points: Points, percent: int) -> DataFrame:
     """Links between different components of a region that pivots left open.
 
     A larger set meets smaller ones in size classes of 2 %, from the smallest size that is near enough to the
@@ -197,19 +258,19 @@ def _direct(active: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     share, step = percent / (100 + percent), 0.02
     size_class = lambda n: F.floor(F.log(n) / step).cast("int")
     radius = 1 - percent / 100
-    cols = ["region", "node", "n", "pos", "root", "d", F.col("root") == F.col("main")]
-    rows = active.select(*cols[:6], cols[6].alias("is_main"))
+    rows = active.select("region", "node", "n", "pos", "root", "low", "high", (F.col("root") == F.col("main")).alias("is_main"))
     largest = F.least(F.col("n"), F.floor((F.col("n") - F.col("pos")) / share - F.col("n") + 1e-6))
     smallest = F.greatest(F.lit(1), F.ceil(F.col("n") * (percent / 100) - 1e-9))
-    probes = rows.filter(largest >= smallest).select(F.explode(F.sequence(size_class(smallest), size_class(largest))).alias("class"), "region", *(F.col(c).alias(f"x_{c}") for c in ("node", "root", "d", "is_main")), F.col("n").alias("nx"), F.col("pos").alias("i"))
+    probes = rows.filter(largest >= smallest).select(F.explode(F.sequence(size_class(smallest), size_class(largest))).alias("class"), "region", *(F.col(c).alias(f"x_{c}") for c in ("node", "root", "low", "high", "is_main")), F.col("n").alias("nx"), F.col("pos").alias("i"))
     short = rows.filter(F.col("n") - F.col("pos") >= F.ceil(2 * share * F.col("n") - 1e-9))
-    short = short.select(size_class(F.col("n")).alias("class"), "region", *(F.col(c).alias(f"y_{c}") for c in ("node", "root", "d", "is_main")), F.col("n").alias("ny"), F.col("pos").alias("j"))
+    short = short.select(size_class(F.col("n")).alias("class"), "region", *(F.col(c).alias(f"y_{c}") for c in ("node", "root", "low", "high", "is_main")), F.col("n").alias("ny"), F.col("pos").alias("j"))
     on = ["region", "class"]
     met = probes.filter("NOT x_is_main").join(short, on).unionByName(probes.filter("x_is_main").join(short.filter("NOT y_is_main"), on))
-    close = F.coalesce(F.abs(F.col("x_d") - F.col("y_d")) <= radius + 1e-9, F.lit(True))
+    far = (F.col("x_low") > F.col("y_high") + radius + 1e-9) | (F.col("y_low") > F.col("x_high") + radius + 1e-9)
+    close = ~F.coalesce(far, F.lit(False))
     pairs = met.filter((F.col("ny") <= F.col("nx")) & (F.col("x_root") != F.col("y_root")) & possible(percent) & close)
     pairs = pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct()
-    return shared(written(pairs, "pairs"), sets).filter(near(percent)).select("a", "b")
+    return points.measure(written(pairs, "pairs"), percent).filter("near").select("a", "b")
 
 
 def jaccard_join(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,11 +282,11 @@ def jaccard_join(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "
     others are. Ids may repeat; rows with a null id take part, and null is never the smallest. No rows give
     no rows; other columns are unused.
     """
-    sets = written(shingle_sets(docs, id_col, text_col, k), "sets")
-    classes = sets.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min("twin").alias("t0"), F.max("twin").alias("t1"))
+    points = Points(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), k)
+    sets, classes = points.sets, points.classes
     if not classes.filter("t0 <> t1").isEmpty():
         raise RuntimeError("two different sets have one 64-bit hash")
-    links = near_links(sets, percent)
+    links = near_links(points, percent)
     roots = connected(links)
     least = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
