@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortscore.llm import bpe, exact_dedup, jaccard_join, lm_scoring, packing, quality, substring_dedup, url_filter
+from cohortscore.llm import bpe, exact_dedup, jaccard_join, lm_scoring, packing, quality, secret_scan, substring_dedup, url_filter
 from cohortscore.llm.shared import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -54,6 +54,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     site = F.regexp_extract("url", "://(?:[a-z]+\\.)?([a-z-]+)\\.example\\.", 1)
@@ -68,5 +72,6 @@ QUERIES = {
     "op5_jaccard_join": op5_jaccard_join,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
 }
