@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortscore.llm import bpe, exact_dedup, jaccard_join, lm_scoring, packing, quality, secret_scan, substring_dedup, url_filter
+from cohortscore.llm import bpe, exact_dedup, html_extract, jaccard_join, lm_scoring, packing, quality, secret_scan, substring_dedup, url_filter
 from cohortscore.llm.shared import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -44,6 +44,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), percent=85, k=4).withColumnRenamed("id", "doc_id")
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     packed = packing.pack_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
@@ -70,6 +74,7 @@ QUERIES = {
     "op3_attention_lm": op3_attention_lm,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_html_extract": op6_html_extract,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_secret_scan": op9_secret_scan,
