@@ -150,7 +150,7 @@ class Model:
                 for s in seen:
                     counts.setdefault(s, [0.5, 0.5])[labels[i]] += 1
                 if n.parent >= 0:
-                    edge[n.tag in CONTAINERS, labels[n.parent], labels[i]] += 1
+                    edge[int(n.tag in CONTAINERS), labels[n.parent], labels[i]] += 1
                 else:
                     root[labels[i]] += 1
         seen = {s: (float(np.log(a / size[0])), float(np.log(b / size[1]))) for s, (a, b) in counts.items()}

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortscore.llm.components import connected
-from cohortscore.llm.shared import written
+from cohortscore.llm.shared import in_slices, written
 from cohortscore.llm.shingle_words import mix, window_hashes, word_hashes, word_lists
 
 #: Cells of the frequency sketch and words of the membership bitmap: what is broadcast has these sizes.
@@ -56,7 +56,7 @@ def outlines(rows: DataFrame, k: int) -> DataFrame:
 
     def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, schema = np.zeros(CELLS, np.uint32), None
-        for batch in batches:
+        for batch in in_slices(batches):
             schema = batch.schema.field("id").type
             found = [_set_of(words, k) for words in word_lists(batch["text"].to_pylist(), lower=True)]
             if found:
@@ -97,7 +97,7 @@ def region_keys(rows: DataFrame, k: int, levels: np.ndarray, percent: int) -> Da
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in in_slices(batches):
             out, nodes, sizes, many, places, odd = [], [], [], [], [], []
             for words in word_lists(batch["text"].to_pylist(), lower=True):
                 s = _set_of(words, k)
@@ -172,7 +172,7 @@ class Points:
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
-            for batch in batches:
+            for batch in in_slices(batches):
                 hit = batch.take(pa.array(_hits(bits, batch["h"].to_numpy())))
                 found = [s for words in word_lists(hit["text"].to_pylist(), lower=True) if len(s := _set_of(words, k))]
                 node = [_node(s) for s in found]

@@ -55,3 +55,10 @@ def text_or_empty(name: str) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def in_slices(batches, rows: int = 256):
+    """Arrow batches in slices of few rows: what Python makes of a slice (word lists, arrays) stays small beside the batch."""
+    for batch in batches:
+        for i in range(0, len(batch), rows):
+            yield batch.slice(i, rows)

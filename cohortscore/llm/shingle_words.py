@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: A worker forgets its word hashes at so many entries.
-CACHE = 500_000
+CACHE = 300_000
 _known: dict[bytes, int] = {}
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 

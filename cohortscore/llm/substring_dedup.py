@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortscore.llm.shared import written
+from cohortscore.llm.shared import in_slices, written
 from cohortscore.llm.shingle_words import window_hashes, word_hashes, word_lists
 
 #: Words of the bitmap that picks documents before a shuffle: its broadcast has this size.
@@ -100,7 +100,7 @@ def seeds(rows: DataFrame, window: int) -> DataFrame:
     reach = window - half + 1
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             found, places, take = [], [], []
             for i, words in enumerate(word_lists(batch["text"].to_pylist())):
                 if len(words) < window:
@@ -140,7 +140,7 @@ def _segments(marked: DataFrame, window: int) -> DataFrame:
     half = window // 2
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             take: list[int] = []
             owner, level, salt, reads, start, at, text = [], [], [], [], [], [], []
             ids, uids = batch["id"].to_pylist(), batch["uid"].to_pylist()
@@ -178,7 +178,7 @@ def _streamed(segments: DataFrame, window: int) -> DataFrame:
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, runs, whole, automaton = None, [], b"", None
-        for batch in batches:
+        for batch in in_slices(batches):
             take, a_of, b_of, rest = [], [], [], []
             cols = [batch[c].to_pylist() for c in ("owner", "level", "salt", "reads", "start", "at", "words")]
             for i, (owner, level, salt, reads, start, at, words) in enumerate(zip(*cols)):
@@ -242,7 +242,7 @@ def _cut(rows: DataFrame, text: bool) -> DataFrame:
     """`id, n_words, n_removed, kept_sha256[, kept]` of `id, text, spans`."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             n, removed, sha, kept = [], [], [], []
             for words, spans in zip(word_lists(batch["text"].to_pylist()), batch["spans"].to_pylist()):
                 n.append(len(words))
