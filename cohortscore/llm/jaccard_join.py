@@ -223,9 +223,14 @@ def near_links(points: Points, percent: int) -> DataFrame:
     keys = written(region_keys(points.rows, points.k, rarity(points.outlined), percent), "keys")
     # The same order in every region, so that the regions of one group of near copies choose one pivot.
     central = F.col("odd").cast("long") * (1 << 32) + F.col("node").bitwiseAND(F.lit((1 << 32) - 1))
-    regions = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
-    regions = written(regions.select(F.col("key").alias("region")), "regions")
-    members = written(keys.withColumnRenamed("key", "region").join(regions, "region", "left_semi").groupBy("region", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("odd").alias("odd")), "members")
+    # The smaller set of a near pair has their first common shingle in a short prefix. A region without one, and
+    # members for whose sizes it has none, can link nothing.
+    share = percent / (100 + percent)
+    short = F.col("n") - F.col("pos") >= F.ceil(2 * share * F.col("n") - 1e-9)
+    regions = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(F.when(short, F.col("n"))).alias("least"), F.max(F.when(short, F.col("n"))).alias("most")).filter("lo <> hi AND least IS NOT NULL")
+    regions = written(regions.select(F.col("key").alias("region"), "least", "most"), "regions")
+    usable = short | ((F.col("most") >= F.ceil(F.col("n") * (percent / 100) - 1e-9)) & (F.col("least") <= F.floor((F.col("n") - F.col("pos")) / share - F.col("n") + 1e-6)))
+    members = written(keys.withColumnRenamed("key", "region").join(regions, "region").filter(usable).groupBy("region", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("odd").alias("odd")), "members")
     sized = members.groupBy("region").agg(F.count("*").alias("size"), F.min_by("node", central).alias("pivot"), F.min_by("n", central).alias("ny"), F.min_by("pos", central).alias("j"))
     active = members.withColumn("root", F.col("node")).join(sized.select("region", "size"), "region")
     pivots = sized.drop("size")
@@ -238,7 +243,10 @@ def near_links(points: Points, percent: int) -> DataFrame:
         found = measured.filter("near").select("a", "b")
         links = written(found if links is None else links.union(found), "near")
         apart = pairs.join(measured.select("a", "b", "low", "high"), ["a", "b"]).select("region", F.col("a").alias("node"), "low", "high")
-        active = active.drop("low", "high").join(apart, ["region", "node"], "left")
+        active = active.drop("low", "high")
+        bounds = [F.lit(None).cast("double").alias(c) for c in ("low", "high")]
+        large = active.filter(F.col("size") > SMALL).join(apart, ["region", "node"], "left")  # elsewhere pairs are few
+        active = large.unionByName(active.filter(F.col("size") <= SMALL).select("*", *bounds))
         active = _unsettled(_roots(active, links))
         again = active.filter((F.col("size") > SMALL) & (F.col("root") != F.col("main")))
         pivots = again.groupBy("region").agg(F.min_by("node", central).alias("pivot"), F.min_by("n", central).alias("ny"), F.min_by("pos", central).alias("j"))
