@@ -23,6 +23,7 @@ def _fold_table(last: int = 0x24FF) -> tuple[str, str]:
     return "".join(source + marks), "".join(target)
 
 
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FOLD = _fold_table()
 #: Other spellings of makes. Fixed values.
 MAKE_ALIASES = {"vw": "volkswagen", "chevy": "chevrolet", "mercedes": "mercedes benz"}
