@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortscore.llm.shared import written
+from cohortscore.llm.shared import release, written
 
 
 def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -27,6 +27,7 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         new = written(new, "links")
         # Stars: every node has one link, and no root is linked on.
         done = new.groupBy("a").count().filter("count > 1").isEmpty() and new.join(new.select(F.col("b").alias("a")), "a", "left_semi").isEmpty()
+        release(edges)
         edges = new
         if done:
             break

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortscore.llm.components import connected
-from cohortscore.llm.shared import in_slices, written
+from cohortscore.llm.shared import in_slices, release, written
 from cohortscore.llm.shingle_words import mix, window_hashes, word_hashes, word_lists
 
 #: Cells of the frequency sketch and words of the membership bitmap: what is broadcast has these sizes.
@@ -166,7 +166,7 @@ class Points:
         return some.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
 
     def _whole(self, nodes: DataFrame) -> DataFrame:
-        """The sets of the given nodes, made again from the text of one document each."""
+        """The sets of the given nodes, written, made again from the text of one document each."""
         wanted = written(nodes.join(self.classes.select("node", "least"), "node").select("node", F.xxhash64("least").alias("h")), "wanted")
         bits, k = _bitmap(wanted, "h"), self.k
 
@@ -180,10 +180,12 @@ class Points:
                 yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in new], pa.int64()), pa.array([len(found[i]) for i in new], pa.int32()), _lists([found[i] for i in new])], ["node", "n", "hashes"])
 
         some = self.rows.select(F.xxhash64("id").alias("h"), "text").mapInArrow(make, "node long, n int, hashes array<long>")
-        return some.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
+        whole = written(some.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), "whole-sets")
+        release(wanted)
+        return whole
 
     def measure(self, pairs: DataFrame, percent: int) -> DataFrame:
-        """`a, b, near, low, high`: whether a pair is near, and bounds of its distance, equal where it was computed in full.
+        """`a, b, near, low, high`, written: whether a pair is near, and bounds of its distance, equal where it was computed in full.
 
         Signatures come first. Their symmetric difference is at most that of the sets, so a pair whose
         signatures differ too much is far without its sets; the other pairs meet in full.
@@ -193,8 +195,12 @@ class Points:
         most = (F.col("na") + F.col("nb") - F.col("apart")) / 2
         thin = written(thin.select("a", "b", (F.col("apart") * (100 + percent) > (F.col("na") + F.col("nb")) * (100 - percent)).alias("far"), F.greatest(F.lit(0.0), 1 - most / (F.col("na") + F.col("nb") - most)).alias("low")), "thin")
         left = thin.filter("NOT far").select("a", "b")
-        full = _met(left, written(self._whole(ends(left)), "whole-sets")).withColumn("d", 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common")))
-        return thin.filter("far").select("a", "b", F.lit(False).alias("near"), "low", F.lit(1.0).alias("high")).union(full.select("a", "b", near(percent), "d", F.col("d").alias("high")))
+        whole = self._whole(ends(left))
+        full = _met(left, whole).withColumn("d", 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common")))
+        out = thin.filter("far").select("a", "b", F.lit(False).alias("near"), "low", F.lit(1.0).alias("high")).union(full.select("a", "b", near(percent), "d", F.col("d").alias("high")))
+        out = written(out, "distances")
+        release(thin, whole)
+        return out
 
 
 def near(percent: int):
@@ -231,6 +237,7 @@ def near_links(points: Points, percent: int) -> DataFrame:
     regions = written(regions.select(F.col("key").alias("region"), "least", "most"), "regions")
     usable = short | ((F.col("most") >= F.ceil(F.col("n") * (percent / 100) - 1e-9)) & (F.col("least") <= F.floor((F.col("n") - F.col("pos")) / share - F.col("n") + 1e-6)))
     members = written(keys.withColumnRenamed("key", "region").join(regions, "region").filter(usable).groupBy("region", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("odd").alias("odd")), "members")
+    release(keys, regions)
     sized = members.groupBy("region").agg(F.count("*").alias("size"), F.min_by("node", central).alias("pivot"), F.min_by("n", central).alias("ny"), F.min_by("pos", central).alias("j"))
     active = members.withColumn("root", F.col("node")).join(sized.select("region", "size"), "region")
     pivots = sized.drop("size")
@@ -239,15 +246,19 @@ def near_links(points: Points, percent: int) -> DataFrame:
         beside = active.join(pivots, "region").filter("node <> pivot").withColumns({"nx": F.col("n"), "i": F.col("pos")})
         beside = beside.filter((F.col("size") > SMALL) | possible(percent)).select("region", F.col("node").alias("a"), F.col("pivot").alias("b"))
         pairs = written(beside, "pivot-pairs")
-        measured = written(points.measure(pairs.select("a", "b").distinct(), percent), "distances")
-        found = measured.filter("near").select("a", "b")
+        measured = points.measure(pairs.select("a", "b").distinct(), percent)
+        found, known = measured.filter("near").select("a", "b"), links
         links = written(found if links is None else links.union(found), "near")
+        if known is not None:
+            release(known)
         apart = pairs.join(measured.select("a", "b", "low", "high"), ["a", "b"]).select("region", F.col("a").alias("node"), "low", "high")
         active = active.drop("low", "high")
         bounds = [F.lit(None).cast("double").alias(c) for c in ("low", "high")]
         large = active.filter(F.col("size") > SMALL).join(apart, ["region", "node"], "left")  # elsewhere pairs are few
         active = large.unionByName(active.filter(F.col("size") <= SMALL).select("*", *bounds))
         active = _unsettled(_roots(active, links))
+        release(pairs, measured, members)
+        members = active
         again = active.filter((F.col("size") > SMALL) & (F.col("root") != F.col("main")))
         pivots = again.groupBy("region").agg(F.min_by("node", central).alias("pivot"), F.min_by("n", central).alias("ny"), F.min_by("pos", central).alias("j"))
         if pivots.isEmpty():

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,11 @@ from pyspark.sql import functions as F
 WORD_GAP = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Shuffle files go when the write that needed them has ended: the Parquet table takes their place.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _written: list[str] = []
+_path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -27,20 +33,46 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+@contextmanager
+def _set(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write to a Parquet table in the shared folder and read it back, which cuts the lineage."""
-    path = f"{scratch_root(df.sparkSession)}/cohortscore/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    spark = df.sparkSession
+    path = f"{scratch_root(spark)}/cohortscore/{name}-{uuid.uuid4().hex}"
+    with _set(spark, CLEANUP, "true"):
+        df.write.parquet(path)
     _written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of `written` that nothing will read again: all that was made from them is itself written."""
+    for df in tables:
+        if (path := _path_of.pop(df, None)) in _written:
+            _written.remove(path)
+            _delete(df.sparkSession, path)
 
 
 def drop_written(spark: SparkSession) -> int:
     """Delete the scratch tables of this driver. Call it once the results that read them are stored."""
-    jvm, n = spark.sparkContext._jvm, 0
+    n = 0
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
         n += 1
     return n
 
