@@ -43,8 +43,13 @@ def _node(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _lists(found: list[np.ndarray]) -> pa.ListArray:
-    flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+def _signature(s: np.ndarray) -> np.ndarray:
+    """The upper halves of one hash in THIN: images of a set differ by no more than the sets, so the bound holds."""
+    return np.unique((s[s % np.uint64(THIN) == 0] >> np.uint64(32)).astype(np.uint32))
+
+
+def _lists(found: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
+    flat = np.concatenate(found).view(kind) if found else np.zeros(0, kind)
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(flat))
 
 
@@ -62,13 +67,13 @@ def outlines(rows: DataFrame, k: int) -> DataFrame:
             if found:
                 total += np.bincount((np.concatenate(found) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
             twins = [xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63) for s in found]
-            cols = [batch["id"], pa.array([len(s) for s in found], pa.int32()), pa.array(map(_node, found), pa.int64()), pa.array(twins, pa.int64()), _lists([s[s % np.uint64(THIN) == 0] for s in found]), pa.nulls(len(found), pa.binary())]
+            cols = [batch["id"], pa.array([len(s) for s in found], pa.int32()), pa.array(map(_node, found), pa.int64()), pa.array(twins, pa.int64()), _lists([_signature(s) for s in found], np.int32), pa.nulls(len(found), pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["id", "n", "node", "twin", "sig", "cells"])
         if schema is not None:
-            cols = [pa.nulls(1, schema), pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), _lists([np.zeros(0, np.uint64)]), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())]
+            cols = [pa.nulls(1, schema), pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), _lists([np.zeros(0, np.uint32)], np.int32), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, ["id", "n", "node", "twin", "sig", "cells"])
 
-    return rows.mapInArrow(outline, f"id {dict(rows.dtypes)['id']}, n int, node long, twin long, sig array<long>, cells binary")
+    return rows.mapInArrow(outline, f"id {dict(rows.dtypes)['id']}, n int, node long, twin long, sig array<int>, cells binary")
 
 
 def rarity(outlined: DataFrame) -> np.ndarray:
@@ -162,7 +167,7 @@ class Points:
                 hit = [i for i in _hits(bits, node) if not (node[i] in seen or len(seen) < 200_000 and seen.add(node[i]))]
                 yield batch.take(pa.array(hit, pa.int64()))
 
-        some = self.sets.select("node", "n", F.col("sig").alias("hashes")).mapInArrow(keep, "node long, n int, hashes array<long>")
+        some = self.sets.select("node", "n", F.col("sig").alias("hashes")).mapInArrow(keep, "node long, n int, hashes array<int>")
         return some.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
 
     def _whole(self, nodes: DataFrame) -> DataFrame:
