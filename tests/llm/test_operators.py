@@ -160,6 +160,21 @@ def test_scores(docs):
         assert got[i]["base_score"] == pytest.approx(base, rel=1e-9) and -np.inf < got[i]["score"] < 0
 
 
+def test_all_training_texts_teach(docs):
+    taught = docs.filter("crc32(string(doc_id)) % 10 != 0").selectExpr("doc_id id", "text")
+    counts = lm_scoring.subword_counts(taught, RANKS, P.PATTERN)
+    enc = bpe.Codec.of(RANKS, P.PATTERN).encoding
+    lists = [words(lower(r["text"])) for r in taught.collect()]
+    assert counts == Counter(i for ws in lists for w in ws for i in enc.encode_ordinary(" " + w))
+    subwords = lm_scoring.Subwords(RANKS, P.PATTERN, counts)
+    model, learnt = lm_scoring.fit(taught, subwords, counts, 0)  # no sample to start from
+    assert learnt == sum(counts.values()) + len(lists)
+    held = lm_scoring.Sequences(subwords).of([r["text"] for r in docs.filter("crc32(string(doc_id)) % 10 = 0").collect()])
+    symbols = np.bincount(subwords.symbol[list(counts)], list(counts.values()), subwords.size)
+    untaught = attention_lm.start(subwords.size, symbols)
+    assert attention_lm.score(model, held).sum() > attention_lm.score(untaught, held).sum()
+
+
 def test_attention_is_causal_and_normalised():
     model = attention_lm.Attention.new(64)
     text = np.random.default_rng(0).integers(1, 64, 40).astype(np.int32)
