@@ -17,6 +17,17 @@ from cohortscore.llm.shared import text_or_empty, written
 
 Pattern = tuple[tuple[int, int], ...]  # (length, how many) in the order of their places
 
+#: The added token of byte_bpe_50k.json and its id: tokenizers finds it in texts even without special tokens.
+ADDED, ADDED_ID = "<|endoftext|>", 50256
+
+
+def text_ids(codec: Codec, text: str) -> np.ndarray:
+    """The ids that tokenizers gives for the json file: the parts around each ADDED apart, and its id between them."""
+    out = []
+    for part in text.split(ADDED):
+        out += [codec.encoding.encode_to_numpy(part, disallowed_special=()).astype("<u4"), np.array([ADDED_ID], "<u4")]
+    return np.concatenate(out[:-1])
+
 
 def plan(available: Mapping[int, int], size: int) -> list[tuple[Pattern, int]]:
     """Fill sequences of `size` with the given number of pieces of each length: [(pattern, how many sequences)].
@@ -130,7 +141,7 @@ def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, size: int, id_c
         for batch in batches:
             take, piece, start, length, crc, raw = [], [], [], [], [], []
             for i, text in enumerate(batch["text"]):
-                found = np.concatenate([codec.encoding.encode_to_numpy(text.as_py(), disallowed_special=()).astype("<u4"), tail])
+                found = np.concatenate([text_ids(codec, text.as_py()), tail])
                 first = (len(found) - 1) % size + 1
                 at = 0
                 for k, end in enumerate(range(first, len(found) + 1, size)):

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
+import tokenizers
 
 from cohortscore.llm import attention_lm, bpe, exact_dedup, html_extract, jaccard_join, lm_scoring, packing, quality, secret_scan, substring_dedup, url_filter
 from cohortscore.llm.oracle import ORACLE
@@ -137,6 +138,17 @@ def test_packing(edge):
     assert {(r["length"], r["crc"]) for r in got if r["id"] in (3, 4)} == {(1, zlib.crc32(b"\0\0\0\0"))}
 
 
+def test_piece_ids_are_those_of_tokenizers(spark, docs):
+    json = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    literal = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "  <|endoftext|>\n y<|endoftext|>", "<|endoftext |>", "w " * 300 + "<|endoftext|>"]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(literal, 10**9)), "doc_id long, text string"))
+    got = {}
+    for r in sorted(packing.token_pieces(df, RANKS, P.PATTERN, 256, ids=True).collect(), key=lambda r: (r["id"], r["piece"])):
+        assert r["start"] == len(got.setdefault(r["id"], [])) and zlib.crc32(r["ids"]) == r["crc"]
+        got[r["id"]] += np.frombuffer(r["ids"], "<u4").tolist()
+    assert got == {i: [*json.encode(t or "", add_special_tokens=False).ids, 0] for i, t in rows_of(df)}
+
+
 def test_plan_uses_every_piece_once():
     rng = np.random.default_rng(0)
     counts = {int(k): int(v) for k, v in zip(*np.unique(rng.integers(1, 65, 5000), return_counts=True))}
