@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,51 +15,88 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Candidates: runs of key characters, at least 16 long, with a digit; and private key blocks.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_\-.@=])(?=[A-Za-z+/_\-.@=]{0,60}[0-9])[A-Za-z0-9+/_\-.@=]{16,}|-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?")
+#: Candidates of four kinds. Runs of key characters, at least 16 long.
+RUN = re.compile(r"[A-Za-z0-9+/_\-.@=]{16,}")
+#: Private key blocks from BEGIN to END with all that stands between, else with headers and what may be key body.
+BLOCK = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END \1-----|(?:\s*[A-Za-z][A-Za-z-]*: [^\n]*)*[A-Za-z0-9+/=\s\\]*)")
+#: The password in a URL.
+URL = re.compile(r"://[^\s/:@\"'<>]*:([^\s/\"'<>]+)@")
 #: Formats of known issuers. Fixed values.
 KNOWN = re.compile(r"AKIA[0-9A-Z]{16}$|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{35}|eyJ[A-Za-z0-9_\-]+\.[A-Za-z0-9_\-]+|-----BEGIN")
 #: Neighbouring words that speak for a secret, and against. Fixed values.
 FOR = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "access", "auth", "bearer", "authorization", "credential", "credentials", "private", "client_secret", "signature")
+#: A name with a word of FOR that a value is assigned to, and the value: whole if quoted, else up to white space.
+_FOR = "|".join(sorted(FOR, key=len, reverse=True))
+_CAMEL = "|".join(w.capitalize() for w in sorted(FOR, key=len, reverse=True))
+NAME = rf"(?:(?<![A-Za-z])(?i:{_FOR})|(?<=[a-z])(?:{_CAMEL}))s?(?:[_\-.][A-Za-z0-9_\-.]{{0,40}})?(?:\\?[\"'`\]])?(?:[ \t]*(?::=|=>|={{1,3}}|:)[ \t]*|[ \t]+(?i:is|bearer|basic)[ \t]+|(?<=earer)[ \t]+|(?<=EARER)[ \t]+|[ \t]+(?=[\"'`]))(?:(?i:bearer|basic|token)[ \t]+)?"
+VALUE = re.compile(NAME + r"""(?:\\"((?:[^"\\\n]|\\[^"\n])+)\\"|\\'((?:[^'\\\n]|\\[^'\n])+)\\'|"((?:[^"\\\n]|\\.)+)"|'((?:[^'\\\n]|\\.)+)'|`([^`\n]+)`|["'`]?([^\s"'`]\S*))""")
+NAMED = re.compile(NAME + r"""\\?["'`]?$""")
 AGAINST = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "hash", "digest", "etag", "uuid", "guid", "id", "revision", "version", "build", "order", "invoice", "isbn", "example", "sample", "dummy", "placeholder", "test", "file", "path", "url", "mail", "email", "contact")
 #: Words whose letters count as dictionary coverage. Fixed values.
 WORDS = ("the", "and", "for", "that", "with", "this", "from", "have", "user", "name", "data", "file", "image", "page", "index", "report", "test", "example", "sample", "value", "order", "server", "client", "service", "system", "table", "model", "config", "version", "release", "build", "home", "public", "static", "assets", "content", "upload", "download", "mail", "news", "blog", "article", "product", "your", "here", "change", "placeholder", "password", "secret", "token", "key", "main", "master", "branch", "module", "class", "number", "string", "level", "group", "final", "draft", "summary", "meeting", "project", "team", "und", "der", "die", "les", "des", "pour", "para", "con", "los", "una")
 DICTIONARY = re.compile("|".join(sorted(WORDS, key=len, reverse=True)))
-NAMES = ("length", "log_letters", "digits", "upper", "hex_only", "entropy", "class_changes", "transition", "coverage", "path_parts", "extension", "known", "for_before", "against_before", "assigned", "quoted", "at_sign", "for_line", "against_line", "distinct")
+NAMES = ("length", "log_letters", "digits", "upper", "hex_only", "entropy", "class_changes", "transition", "coverage", "path_parts", "extension", "known", "for_before", "against_before", "assigned", "quoted", "at_sign", "for_line", "against_line", "distinct", "named", "in_url", "symbols", "spaces", "template", "password_name", "digit_count", "identifier")
 #: Labelled findings made for training, trees, and their depth.
 LABELLED, TREES, DEPTH, VERDICT = 3_000, 40, 9, 0.5
 
 
-def _class(c: str) -> int:
-    return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
+#: What stands where a value is filled in later. Fixed values.
+TEMPLATE = re.compile(r"[<$%{\[(]|(?:null|none|nil|true|false|undefined|required|optional|changeme|change_me|redacted|hidden|password|secret|token|x+|\*+|\.+)\W*$|(?:your|my|the|example|test|dummy|sample)[-_ ]|[a-z_]+(?:\.[a-z_]+)*[\[(]", re.I)
+
+
+def spans(text: str) -> list[tuple[int, int]]:
+    """The candidates of a text in order. A run is cut where a value begins; a run inside a value is one of its own."""
+    blocks = [m.span() for m in BLOCK.finditer(text)]
+    ends = [b for _, b in blocks]
+
+    def free(a: int) -> bool:
+        i = bisect_right(ends, a)
+        return i == len(blocks) or a < blocks[i][0]
+
+    values = set()
+    at = 0
+    while m := VALUE.search(text, at):  # on from the value's start, as a value can hold a name and its own value
+        a, b = m.span(m.lastindex)
+        values.add((a, b))
+        at = max(a, m.start() + 1)
+    values.update(m.span(1) for m in URL.finditer(text))
+    begins = sorted({a for a, _ in values})
+    runs = set()
+    for m in RUN.finditer(text):
+        a, b = m.span()
+        cuts = [a, *begins[bisect_right(begins, a) : bisect_left(begins, b)], b]
+        runs.update((x, y) for x, y in zip(cuts[:-1], cuts[1:]) if y - x >= 16 or len(cuts) == 2)
+    return sorted([*blocks, *((a, b) for a, b in values | runs if free(a))])
 
 
 def features(text: str, a: int, b: int, transitions: np.ndarray) -> list[float]:
-    """The statistics of NAMES for text[a:b] and its neighbours on the same line."""
-    s = text[a:b][:4096]  # of a key block; other candidates are judged on the statistics of as many characters
+    """The statistics of NAMES for the whole of text[a:b] and its neighbours on the same line, in time linear in its length."""
+    s = text[a:b][:4096]
     n = len(s)
-    before = text[max(0, a - 60) : a].rpartition("\n")[2].lower()
+    line = text[max(0, a - 160) : a].rpartition("\n")[2]
+    before = line[-60:].lower()
     after = text[b : b + 40].partition("\n")[0].lower()
     near = re.findall(r"[a-z_0-9]+", before)[-4:]
     own = re.findall(r"[a-z_]+", s.partition("=")[0].lower()) if "=" in s[:-2] else []
-    kinds = [_class(c) for c in s]
-    counts = np.array(list({c: s.count(c) for c in set(s)}.values()), float) / n
+    codes = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    kinds = CLASSES[np.minimum(codes, 128)]
+    counts = np.unique(codes, return_counts=True)[1]
+    share = counts / n
     low = s.lower()
-    letters = np.frombuffer(low.encode("ascii", "replace"), np.uint8).astype(int)
-    letters = np.where((letters >= 97) & (letters <= 122), letters - 96, 0)
+    letters = LETTERS[np.minimum(codes, 128)]
     covered = sum(len(m) for m in DICTIONARY.findall(low))
     return [
         n,
-        math.log1p(sum(k in (1, 2) for k in kinds)),
-        kinds.count(0) / n,
-        kinds.count(2) / n,
+        math.log1p(int(((kinds == 1) | (kinds == 2)).sum())),
+        float((kinds == 0).mean()),
+        float((kinds == 2).mean()),
         float(re.fullmatch(r"[0-9a-fA-F]+", s) is not None),
-        float(-(counts * np.log2(counts)).sum()),
-        sum(x != y for x, y in zip(kinds, kinds[1:])) / n,
+        float(-(share * np.log2(share)).sum()),
+        float((kinds[1:] != kinds[:-1]).sum()) / n,
         float(transitions[letters[:-1], letters[1:]].mean()) if n > 1 else 0.0,
         covered / n,
         float(s.count("/") + s.count("\\")),
-        float(re.search(r"\.[A-Za-z]{2,4}$", s) is not None),
+        float(re.fullmatch(r"\.[A-Za-z]{2,4}", "." + s[-5:].rpartition(".")[2]) is not None and "." in s[-5:]),
         float(KNOWN.match(s) is not None),
         float(any(w in FOR for w in near[-2:] + own)),
         float(any(w in AGAINST for w in near[-2:] + own)),
@@ -67,10 +105,27 @@ def features(text: str, a: int, b: int, transitions: np.ndarray) -> list[float]:
         float("@" in s),
         float(any(w in FOR for w in near)),
         float(any(w in AGAINST for w in near) or any(w in AGAINST for w in re.findall(r"[a-z_0-9]+", after)[:2])),
-        len(set(s)) / n,
+        len(counts) / n,
+        float(NAMED.search(line) is not None),
+        float(re.search(r"://[^\s/:@]*:$", line) is not None and after.startswith("@")),
+        float((kinds == 3).mean()),
+        float(s.count(" ")) / n,
+        float(TEMPLATE.match(s) is not None),
+        float(PASSWORD_NAME.search(line) is not None),
+        float((kinds == 0).sum()),
+        float(IDENTIFIER.fullmatch(s) is not None),
     ]
 
 
+#: A password's name just before the value, and values that look like names in code.
+PASSWORD_NAME = re.compile(r"""(?:pass(?:word|wd)|pwd|credentials?)s?[^\s:=]{0,20}["'\]\\]*\s*(?::=|=>|=|:|\bis\b|(?=["']))\s*\\?["'`]?$""", re.I)
+IDENTIFIER = re.compile(r"[A-Za-z]+(?:[_\-.][A-Za-z]+)+\W?|[a-z]+(?:[A-Z][a-z]+)+|[a-z]+")
+
+#: By code below 128: digit 0, lower 1, upper 2, else 3; and the letter's number or 0. 128 stands for all others.
+CLASSES = np.array([0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in map(chr, range(128))] + [3])
+LETTERS = np.array([ord(c.lower()) - 96 if c.isalpha() else 0 for c in map(chr, range(128))] + [0])
+
+
 def labelled_findings(n: int = LABELLED, seed: int = 0) -> list[tuple[str, int, int, int]]:
     """(text, from, to, label): findings with known verdicts, drawn from the formats that keys and their look-alikes have."""
     rng = random.Random(seed)
@@ -78,11 +133,83 @@ def labelled_findings(n: int = LABELLED, seed: int = 0) -> list[tuple[str, int,
     word = lambda: rng.choice(WORDS) if rng.random() < 0.4 else "".join(rng.choice(("an", "re", "th", "in", "er", "on", "ti", "es", "ch", "ou", "é", "ü", "ción")) for _ in range(rng.randint(1, 4)))
     of = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
     key = lambda: rng.choice((lambda: of(hexa, rng.choice((32, 40, 64))), lambda: of(alnum, rng.randint(20, 48)), lambda: of(alnum + "+/", rng.randint(24, 64)) + "=" * rng.randint(0, 2), lambda: "AKIA" + of(alnum[:26] + "0123456789", 16), lambda: "ghp_" + of(alnum, 36), lambda: "sk_live_" + of(alnum, 24), lambda: f"xoxb-{of('0123456789', 11)}-{of(alnum, 24)}"))()
+    upper, lower, b64 = alnum[:26], alnum[26:52], alnum + "+/"
+    syllables = lambda a, b: "".join(rng.choice(("an", "re", "th", "in", "er", "on", "ti", "es", "ch", "ou", "st", "ver")) for _ in range(rng.randint(a, b)))
+    passwords = ("password", "passwd", "pwd", "db_password", "PASSWORD", "userPassword", "secret", "credentials")
+    name_of = lambda: rng.choice((*FOR, *passwords, "auth_token", "apiKey", "SECRET_KEY"))
+
+    def password() -> str:
+        kind = rng.randrange(5)
+        if kind == 4:
+            return (rng.choice(WORDS) if rng.random() < 0.3 else syllables(1, 4)) + of("0123456789", rng.randint(0, 4))
+        if kind == 0:
+            return of(alnum + "!#%&*+-?@^~", rng.randint(8, 20))
+        if kind == 1:
+            s = rng.choice((syllables(2, 4), *WORDS))
+            s = "".join(rng.choice({"a": "4@", "e": "3", "o": "0", "i": "1!", "s": "5"}.get(c, c)) if rng.random() < 0.5 else c for c in s)
+            return (s.capitalize() if rng.random() < 0.6 else s) + rng.choice(("", "&", "-", "_")) + of("0123456789", rng.randint(1, 4)) + rng.choice(("", "!", "xyz!", "#", "?"))
+        if kind == 2:
+            return of(lower + "0123456789", rng.randint(6, 15))
+        return " ".join(syllables(2, 3) for _ in range(rng.randint(3, 5))) + of("0123456789!", 2)
+
+    def block() -> str:
+        body = "\n".join(of(b64, 64) for _ in range(rng.randint(2, 12))) + "\n" + of(b64, rng.randint(1, 60))
+        kind = rng.choice(("RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY", "ENCRYPTED PRIVATE KEY", "PGP PRIVATE KEY BLOCK"))
+        head = "Version: GnuPG v2\n\n" if "PGP" in kind else rng.choice(("", f"Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,{of(hexa.upper(), 32)}\n\n"))
+        return f"-----BEGIN {kind}-----\n{head}{body}\n-----END {kind}-----"
+
+    def more_secrets() -> tuple[str, str, str]:
+        """(what stands before, secret, what stands after): passwords, keys of letters alone, tokens, URL passwords, key blocks."""
+        kind, q = rng.randrange(6), rng.choice(('"', "'"))
+        eq = rng.choice((" = ", ": ", "=", ":"))
+        if kind == 0:
+            return f"{rng.choice(passwords)}{eq}{q}", password(), q
+        if kind == 1:
+            return f"{rng.choice(passwords)}{rng.choice((eq, ' is '))}", password().replace(" ", "-"), ""
+        if kind == 2:
+            s, q = of(rng.choice((upper, lower, upper + lower)), rng.randint(16, 40)), rng.choice((q, ""))
+            return f"{name_of()}{eq}{q}", s, q
+        if kind == 3:
+            return rng.choice(("", "Authorization: Bearer ", f"{name_of()}{eq}")), "eyJ" + of(alnum, rng.randint(15, 30)) + ".eyJ" + of(alnum, rng.randint(20, 80)) + "." + of(alnum + "-_", 43), ""
+        if kind == 4:
+            return f"{rng.choice(('postgres', 'https', 'mysql', 'amqp', 'redis'))}://{rng.choice(WORDS)}:", password().replace(" ", "-").replace("@", "."), f"@{rng.choice(WORDS)}.example.com/{rng.choice(WORDS)}"
+        return "", block(), ""
+
+    def more_others() -> tuple[str, str, str]:
+        """The same for what looks like these and is none: long words, names, rules, code, values filled in later."""
+        kind, q = rng.randrange(8), rng.choice(('"', "'", ""))
+        plain = rng.choice(("key", "token", "auth", "access", "private", "signature", "sort_key", "secret_name", "keys", "token_type"))
+        if kind == 6:  # a value that is a name
+            parts = [syllables(1, 3) if rng.random() < 0.5 else rng.choice(WORDS) for _ in range(rng.randint(1, 5))]
+            s = rng.choice(("_".join(parts), "-".join(parts), ".".join(parts), parts[0] + "".join(p.capitalize() for p in parts[1:]), "".join(parts)))
+            return f"{plain}{rng.choice((' = ', ': ', '='))}{q}", s, q
+        if kind == 7:  # code or prose
+            w = [syllables(1, 3) for _ in range(4)]
+            s = rng.choice((f"def {w[0]}({w[1]})", f"{w[0]} {w[1]} {w[2]}", f"{w[0]}/{w[1]}/{w[2]}", f"{w[0]}, {w[1]}", f"{w[0]}({w[1]}, {w[2]})"))
+            return f"{plain}{rng.choice((' = ', ': '))}{q or chr(34)}", s, q or chr(34)
+        if kind == 0:
+            s = rng.choice((syllables(8, 12), syllables(8, 12).upper(), syllables(8, 12).capitalize()))
+            return "", s, rng.choice(("", ".", ","))[:0]
+        if kind == 1:
+            parts = [rng.choice(WORDS) for _ in range(rng.randint(4, 6))]
+            return "", rng.choice(("_".join(parts) + "_names", "-".join(parts) + "-names", ".".join(parts) + ".names", "".join(p.capitalize() for p in parts) + "Handler", "_".join(parts).upper() + "_NAMES")), ""
+        if kind == 2:
+            return "", rng.choice("-=_.") * rng.randint(16, 80), ""
+        if kind == 3:
+            s = rng.choice(("${DB_PASSWORD}", "<password>", "{{ secret }}", "changeme", "null", "None", "true", "********", "xxxxxxxx", "your-password-here", "your_token", "os.environ['TOKEN']", "getpass()", "%(password)s", "required", "[hidden]", "example-password", "..."))
+            return f"{name_of()}{rng.choice((' = ', ': ', '='))}{q if q not in s else ''}", s, q if q not in s else ""
+        if kind == 4:
+            s = rng.choice((rng.choice(WORDS), syllables(1, 4), str(rng.randint(0, 9999))))
+            return f"{plain}{rng.choice((': ', ' is ', ' = '))}", s + rng.choice(("", ",", ".")), ""
+        return f"https://{rng.choice(('user', 'username', 'login'))}:", rng.choice(("password", "pass", "<password>", "${PASSWORD}", "secret", "xxx")), "@host.example.com/"
+
     out = []
     for i in range(n):
         pre, post = " ".join(word() for _ in range(rng.randint(0, 8))), " ".join(word() for _ in range(rng.randint(0, 8)))
         label = i % 2
-        if label:
+        if rng.random() < 0.5:
+            head, s, tail = more_secrets() if label else more_others()
+        elif label:
             s, quote = key(), rng.choice(('"', "'", ""))
             name = rng.choice(FOR)
             head = rng.choice((f"{name} = {quote}", f"{name}: {quote}", f"{name}={quote}", f"my {name} is {quote}", f"{name.upper()} = {quote}", f"Authorization: Bearer {quote}"))
@@ -186,10 +313,20 @@ def trained(n: int = LABELLED, seed: int = 0) -> tuple[Forest, np.ndarray]:
 
 
 def _found(texts: list[str], forest: Forest, transitions: np.ndarray) -> tuple[list[tuple[int, int, int]], np.ndarray]:
-    spans = [(i, m.start(), m.end()) for i, t in enumerate(texts) for m in CANDIDATE.finditer(t)]
-    if not spans:
-        return spans, np.zeros(0)
-    return spans, forest.probability(np.array([features(texts[i], a, b, transitions) for i, a, b in spans]))
+    found = [(i, a, b) for i, t in enumerate(texts) for a, b in spans(t)]
+    if not found:
+        return found, np.zeros(0)
+    return found, forest.probability(np.array([features(texts[i], a, b, transitions) for i, a, b in found]))
+
+
+def from_raw_text(rows: list[tuple[str, int, int, int]], forest: Forest, transitions: np.ndarray, verdict: float = VERDICT) -> tuple[float, float]:
+    """Of labelled findings, the share of secrets covered whole by what the scan of the raw texts calls secret, and of others touched."""
+    covered = [np.zeros(len(t), bool) for t, *_ in rows]
+    found, p = _found([t for t, *_ in rows], forest, transitions)
+    for (i, a, b), q in zip(found, p):
+        covered[i][a:b] |= q >= verdict
+    whole = [(y, c[a:b].all(), c[a:b].any()) for (_, a, b, y), c in zip(rows, covered)]
+    return float(np.mean([w for y, w, _ in whole if y])), float(np.mean([t for y, _, t in whole if not y]))
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", verdict: float = VERDICT) -> DataFrame:
@@ -205,10 +342,10 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch["text"].to_pylist()
-            spans, p = _found(texts, forest, transitions)
-            values = [texts[i][a:b] for i, a, b in spans]
+            found, p = _found(texts, forest, transitions)
+            values = [texts[i][a:b] for i, a, b in found]
             kinds = ["known" if KNOWN.match(v) else "hex" if re.fullmatch("[0-9a-fA-F]+", v) else "other" for v in values]
-            cols = [batch["id"].take(pa.array([s[0] for s in spans], pa.int64())), *(pa.array([s[k] for s in spans], pa.int64()) for k in (1, 2)), pa.array([len(v) for v in values], pa.int64()), pa.array(kinds, pa.string()), pa.array([hashlib.sha256(v.encode()).hexdigest() for v in values], pa.string()), pa.array(p), pa.array(p >= verdict)]
+            cols = [batch["id"].take(pa.array([s[0] for s in found], pa.int64())), *(pa.array([s[k] for s in found], pa.int64()) for k in (1, 2)), pa.array([len(v) for v in values], pa.int64()), pa.array(kinds, pa.string()), pa.array([hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest() for v in values], pa.string()), pa.array(p), pa.array(p >= verdict)]
             yield pa.RecordBatch.from_arrays(cols, ["id", "start", "end", "length", "kind", "value_sha256", "probability", "is_secret"])
 
     return rows.mapInArrow(scan, f"id {dict(rows.dtypes)['id']}, start long, end long, length long, kind string, value_sha256 string, probability double, is_secret boolean")
@@ -222,10 +359,15 @@ def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", ve
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             texts = batch[at].to_pylist()
-            spans, p = _found([t or "" for t in texts], forest, transitions)
-            for (i, a, b), q in reversed(list(zip(spans, p))):
-                if q >= verdict:
-                    texts[i] = texts[i][:a] + mark + texts[i][b:]
+            found, p = _found([t or "" for t in texts], forest, transitions)
+            merged: list[list[int]] = []  # secrets that overlap are one
+            for (i, a, b), q in zip(found, p):
+                if q >= verdict and merged and merged[-1][0] == i and a < merged[-1][2]:
+                    merged[-1][2] = max(merged[-1][2], b)
+                elif q >= verdict:
+                    merged.append([i, a, b])
+            for i, a, b in reversed(merged):
+                texts[i] = texts[i][:a] + mark + texts[i][b:]
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.string()))
 
     return docs.mapInArrow(clean, docs.schema)

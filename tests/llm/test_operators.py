@@ -218,6 +218,26 @@ def test_secrets(spark):
     assert got == {1: 'x token = "[SECRET]" y', 2: "commit 04dbebab91ab85687d33eeaaf9ac699e1188f962 merged", 3: None}
 
 
+def test_secrets_of_every_form_from_raw_text(spark):
+    forest, transitions = secret_scan.trained()
+    taught = {t[a:b] for t, a, b, _ in secret_scan.labelled_findings()}
+    held = [r for r in secret_scan.labelled_findings(800, 5) if r[0][r[1] : r[2]] not in taught]
+    recall, touched = secret_scan.from_raw_text(held, forest, transitions)
+    assert recall > 0.97 and touched < 0.03
+    body = "\n".join(["q" * 32 + "A1+/" * 8] * 3)
+    forms = ['password = "Tr0ub4dor&3xyz!"', 'token = "QWERTYUIOPASDFGHJKLZ"', "postgres://bob:s3cr3tPw!@db.example.com/x", r"passwd: 'a\'b99x'"]
+    secret = ["Tr0ub4dor&3xyz!", "QWERTYUIOPASDFGHJKLZ", "s3cr3tPw!", r"a\'b99x"]
+    for kind, head in (("RSA PRIVATE KEY", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n"), ("PGP PRIVATE KEY BLOCK", "Version: GnuPG v2\n\n")):
+        secret.append(f"-----BEGIN {kind}-----\n{head}{body}\n-----END {kind}-----")
+        forms.append(f"see {secret[-1]} and on")
+    df = spark.createDataFrame(list(enumerate(forms)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in secret_scan.redacted(df).collect()}
+    for i, (form, s) in enumerate(zip(forms, secret)):
+        assert form.index(s) in {a for a, b in secret_scan.spans(form) if form[a:b] == s}
+        assert s not in got[i] and "[SECRET]" in got[i]
+    assert got[4] == got[5] == "see [SECRET] and on"
+
+
 def test_urls(spark):
     pages = spark.createDataFrame([(1, "http://WWW.A.example.org/es/1"), (2, "https://b.example.com/x/?ref=1#t"), (3, None), (4, "nothing"), (5, "http://c.com")], "page_id long, url string")
     listed = spark.createDataFrame([("http://m.b.example.com/x",), (None,)], "url string")
