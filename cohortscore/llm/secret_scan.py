@@ -71,7 +71,7 @@ def spans(text: str) -> list[tuple[int, int]]:
 
 def features(text: str, a: int, b: int, transitions: np.ndarray) -> list[float]:
     """The statistics of NAMES for the whole of text[a:b] and its neighbours on the same line, in time linear in its length."""
-    s = text[a:b][:4096]
+    s = text[a:b]
     n = len(s)
     line = text[max(0, a - 160) : a].rpartition("\n")[2]
     before = line[-60:].lower()

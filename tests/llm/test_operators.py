@@ -238,6 +238,14 @@ def test_secrets_of_every_form_from_raw_text(spark):
     assert got[4] == got[5] == "see [SECRET] and on"
 
 
+def test_secret_features_cover_long_candidates():
+    text = "a1" * 5_000 + "/B+" * 3_000 + ".html"
+    got = dict(zip(secret_scan.NAMES, secret_scan.features(text, 0, len(text), secret_scan.letter_transitions())))
+    n = len(text)
+    assert got["length"] == n and got["path_parts"] == 3_000 and got["extension"] == 1
+    assert got["digits"] == 5_000 / n and got["upper"] == 3_000 / n and got["distinct"] == len(set(text)) / n
+
+
 def test_urls(spark):
     pages = spark.createDataFrame([(1, "http://WWW.A.example.org/es/1"), (2, "https://b.example.com/x/?ref=1#t"), (3, None), (4, "nothing"), (5, "http://c.com")], "page_id long, url string")
     listed = spark.createDataFrame([("http://m.b.example.com/x",), (None,)], "url string")
