@@ -1,300 +1,294 @@
-"""Jaccard join in metric space: Voronoi regions around pivots, triangle-inequality windows, recursion.
-
-The points are documents as sets of word shingles under the Jaccard distance. Documents of a large corpus
-are nearly all at distance 1 from one another, so whole documents make useless first pivots. The first
-pivots are therefore the smallest non-empty sets, single shingles, ordered from rare to common: a document's
-cell is that of its first shingle, and a document at distance r or less from it can have its own cell only
-among its first |x| - ceil((1 - r)|x|) + 1 shingles, the window to which it is replicated. Inside a region
-the pivots are documents again and again: those within the radius of the pivot are one component at once,
-without being compared with each other, and of the rest only pairs of different components whose sizes,
-places in the window and distances to the pivots (by the triangle inequality) allow a link are compared.
+"""Jaccard join in metric space: Voronoi cells around pivots, triangle-inequality windows, recursion.
+
+The points are documents as sets of word shingles under the Jaccard distance. Nearly all documents of a large
+corpus are at distance 1 from one another, so the mass at distance 1 is divided first: the first pivots are the
+smallest non-empty sets, single shingles, rare ones before common ones. A set is at distance 1 - 1/n from each
+of its n shingles and at 1 from all other pivots; ties go to the first, and a set within the radius can have its
+own cell only among its first n - ceil(t n) + 1 shingles, the window to which it is replicated.
+
+A cell of many sets is divided again by up to FAN of its own documents. With m(x) the distance of x to its
+nearest pivot, a near pair x, y with m(x) <= m(y) meets in the cell of x's nearest pivot p, since
+d(y, p) <= m(x) + r <= m(y) + r: so every set goes to its nearest pivot's cell and, by the triangle inequality,
+to those of the pivots no more than r further away. Where m(x) >= 1 - r, both lie in the outer cell of what is
+far from all pivots. Sets within r of a pivot are one component with it. Cells of a single component are done;
+the others are divided again until they are small or do not shrink, and there pairs are compared, those first
+ruled out that differ too much in size, place in the window, or counts by PLACES disjoint parts of the universe
+(whose distances to two sets differ by no more than the sets do: the triangle inequality of the symmetric difference).
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortscore.llm.components import connected
 from cohortscore.llm.shared import in_slices, release, written
-from cohortscore.llm.shingle_words import mix, window_hashes, word_hashes, word_lists
+from cohortscore.llm.shingle_words import distinct, hashed_texts, mix, shingles
 
-#: Cells of the frequency sketch and words of the membership bitmap: what is broadcast has these sizes.
-CELLS, BITMAP = 1 << 17, 1 << 17
-#: One hash in so many is in a set's signature, whose symmetric difference bounds that of the whole sets from below.
-THIN = 8
-#: Regions with more members than SMALL are measured from document pivots, at most DEPTH times, before pairs are formed.
-SMALL, DEPTH = 256, 3
-
-
-def _set_of(words: list[bytes], k: int) -> np.ndarray:
-    """The distinct k-word shingles as sorted 64-bit hashes; fewer than k words make one, no words none."""
-    h = word_hashes(words)
-    return np.unique(window_hashes(h, min(k, max(1, len(words)))))
+#: Counters of the frequency sketch and words of the membership bitmap: what is broadcast has these sizes.
+COUNTERS, BITMAP = 1 << 17, 1 << 17
+#: Disjoint parts of the universe of shingles whose counts bound a distance from below.
+PLACES = 64
+#: Cells of more sets than SMALL are divided by up to FAN pivots, unless a child keeps more than SHRINK of its parent.
+SMALL, FAN, SHRINK = 48, 4, 0.9
+_SHIFT = np.uint64(7)
 
 
 def _node(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _signature(s: np.ndarray) -> np.ndarray:
-    """The upper halves of one hash in THIN: images of a set differ by no more than the sets, so the bound holds."""
-    return np.unique((s[s % np.uint64(THIN) == 0] >> np.uint64(32)).astype(np.uint32))
-
-
-def _lists(found: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
-    flat = np.concatenate(found).view(kind) if found else np.zeros(0, kind)
+def _lists(found: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(flat))
 
 
-def outlines(rows: DataFrame, k: int) -> DataFrame:
-    """`id, n, node, twin, sig, cells` of `id, text`: size, two hashes and signature of each set.
+def rarity(rows: DataFrame, k: int) -> np.ndarray:
+    """A level for each of COUNTERS parts of the shingles: 0 for the usual number of occurrences, two more for each doubling."""
 
-    Each task adds a row with n = -1 whose `cells` are its share of the frequency sketch.
-    """
-
-    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, schema = np.zeros(CELLS, np.uint32), None
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
         for batch in in_slices(batches):
-            schema = batch.schema.field("id").type
-            found = [_set_of(words, k) for words in word_lists(batch["text"].to_pylist(), lower=True)]
+            found = shingles(*hashed_texts(batch["text"], lower=True), k)
             if found:
-                total += np.bincount((np.concatenate(found) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS).astype(np.uint32)
-            twins = [xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63) for s in found]
-            cols = [batch["id"], pa.array([len(s) for s in found], pa.int32()), pa.array(map(_node, found), pa.int64()), pa.array(twins, pa.int64()), _lists([_signature(s) for s in found], np.int32), pa.nulls(len(found), pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "n", "node", "twin", "sig", "cells"])
-        if schema is not None:
-            cols = [pa.nulls(1, schema), pa.array([-1], pa.int32()), pa.array([0], pa.int64()), pa.array([0], pa.int64()), _lists([np.zeros(0, np.uint32)], np.int32), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "n", "node", "twin", "sig", "cells"])
-
-    return rows.mapInArrow(outline, f"id {dict(rows.dtypes)['id']}, n int, node long, twin long, sig array<int>, cells binary")
+                total += np.bincount((np.concatenate(found) % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-
-def rarity(outlined: DataFrame) -> np.ndarray:
-    """A level for each of CELLS hash cells of shingles: 0 for the usual number of documents, two more for each doubling."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for cells in batch["cells"].to_pylist():
-                total += np.frombuffer(zlib.decompress(cells), np.uint32)
+            for sums in batch["sums"].to_pylist():
+                total += np.frombuffer(zlib.decompress(sums), np.int64)
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["part", "n"])
 
-    table = np.zeros(CELLS, np.int64)
-    for r in outlined.filter("n < 0").select("cells").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
-        table[r["cell"]] = r["n"]
+    parts = written(rows.select("text").mapInArrow(count, "sums binary"), "sketch")
+    table = np.zeros(COUNTERS, np.int64)
+    for r in parts.mapInArrow(add, "part long, n long").groupBy("part").agg(F.sum("n").alias("n")).collect():  # COUNTERS rows
+        table[r["part"]] = r["n"]
+    release(parts)
     usual = max(1.0, float(np.median(table)))
-    return np.clip(np.floor(2 * np.log2(np.maximum(table, 1) / usual + 1e-9)), 0, 120).astype(np.int64)
+    return np.clip(np.floor(2 * np.log2(np.maximum(table, 1) / usual + 1e-9)), 0, 120).astype(np.uint64)
 
 
-def region_keys(rows: DataFrame, k: int, levels: np.ndarray, percent: int) -> DataFrame:
-    """`key, node, n, pos, odd`: each set beside the single-shingle pivots in its window, the rarest shingles first.
+def outlines(rows: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
+    """`id, n, node, twin, odd, profile, keys` of `id, text`: a set's size, two hashes, how many of its shingles are usual,
+    its counts by place, and the single-shingle pivots of its window, rare ones first.
 
-    `odd` counts the set's shingles at the level of the usual number of documents: few in a group's centre.
+    A copy of a set that the same task has seen has no profile and no keys.
     """
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in in_slices(batches):
-            out, nodes, sizes, many, places, odd = [], [], [], [], [], []
-            for words in word_lists(batch["text"].to_pylist(), lower=True):
-                s = _set_of(words, k)
-                node = _node(s)
-                if not len(s) or node in seen:
+            n, node, twin, odd, profile, keys = [], [], [], [], [], []
+            for s in map(distinct, shingles(*hashed_texts(batch["text"], lower=True), k)):
+                n.append(len(s))
+                node.append(_node(s))
+                twin.append(xxhash.xxh64_intdigest(s.tobytes(), 7) - (1 << 63))
+                if not len(s) or node[-1] in seen:
+                    odd.append(None)
+                    profile.append(None)
+                    keys.append(s[:0])
                     continue
                 if len(seen) < 200_000:
-                    seen.add(node)  # copies on the same task add nothing
-                p = len(s) + (-percent * len(s)) // 100 + 1
-                level = levels[(s % np.uint64(CELLS)).astype(np.int64)]
-                out.append(s[np.lexsort((mix(s), level))[:p]])
-                nodes.append(node)
-                sizes.append(len(s))
-                many.append(p)
-                places.append(np.arange(p, dtype=np.int32))
-                odd.append(np.count_nonzero(level == 0))
-            if out:
-                key = np.concatenate(out).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.repeat(np.array(nodes, np.int64), many)), pa.array(np.repeat(np.array(sizes, np.int32), many)), pa.array(np.concatenate(places)), pa.array(np.repeat(np.array(odd, np.int32), many))], ["key", "node", "n", "pos", "odd"])
+                    seen.add(node[-1])
+                level = levels[(s % np.uint64(COUNTERS)).astype(np.int64)]
+                order = np.sort(level << np.uint64(57) | mix(s) >> _SHIFT)
+                odd.append(int(np.count_nonzero(level == 0)))
+                profile.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PLACES), 127).astype(np.int8))
+                keys.append(order[: len(s) + (-percent * len(s)) // 100 + 1])
+            flat = np.concatenate([p for p in profile if p is not None]) if any(p is not None for p in profile) else np.zeros(0, np.int8)
+            ends = np.cumsum([0, *(0 if p is None else PLACES for p in profile)])
+            cols = [batch["id"], pa.array(n, pa.int32()), pa.array(node, pa.int64()), pa.array(twin, pa.int64()), pa.array(odd, pa.int32())]
+            yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat)), _lists(keys)], ["id", "n", "node", "twin", "odd", "profile", "keys"])
 
-    return rows.select("text").mapInArrow(keys, "key long, node long, n int, pos int, odd int")
+    return rows.mapInArrow(outline, f"id {dict(rows.dtypes)['id']}, n int, node long, twin long, odd int, profile array<tinyint>, keys array<long>")
 
 
-def _bitmap(hashes: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of fixed size that has every value of a long column."""
-    place = F.shiftrightunsigned(column, 6).bitwiseAND(F.lit(BITMAP - 1))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(column).bitwiseAND(F.lit(63)).cast("int"))
-    bits = np.zeros(BITMAP, np.int64)
-    for r in hashes.groupBy(place.alias("w")).agg(F.bit_or(bit).alias("b")).collect():
-        bits[r["w"]] = r["b"]
-    return bits
+def _bits(ids: DataFrame) -> DataFrame:
+    """A bitmap with every hash `h` as a table `w, b` of at most BITMAP rows."""
+    place = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(BITMAP - 1))
+    return ids.groupBy(place.alias("w")).agg(F.bit_or(_bit()).alias("b"))
 
 
-def _hits(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    return np.flatnonzero((bits[(values >> 6) & (BITMAP - 1)] >> (values & 63)) & 1)
+def _bit() -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
 
 
-def _met(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """Add `na, nb, common` to pairs of nodes `a, b` from `node, n, hashes` with one row per node."""
-    left = whole.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
-    right = whole.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    joined = pairs.join(right, "b").join(left, "a")
-    return joined.withColumns({"common": F.size(F.array_intersect("ha", "hb")), "apart": F.size("ha") + F.size("hb")}).drop("ha", "hb")
+def _hits(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """The rows whose hash `h` the bitmap may have."""
+    place = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(BITMAP - 1))
+    return rows.withColumn("w", place).join(F.broadcast(bits), "w").filter(F.col("b").bitwiseAND(_bit()) != 0).select(*rows.columns)
 
 
 class Points:
-    """The documents of a corpus as sets: `rows` (`id, text`), their written `outlined` form and its `classes`."""
-
-    def __init__(self, rows: DataFrame, k: int):
-        self.rows, self.k = rows, k
-        self.outlined = written(outlines(rows, k), "outlines")
-        self.sets = self.outlined.filter("n >= 0")
-        self.classes = self.sets.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"), F.min("twin").alias("t0"), F.max("twin").alias("t1"))
-
-    def _signatures(self, nodes: DataFrame) -> DataFrame:
-        bits = _bitmap(nodes, "node")
-
-        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[int] = set()
-            for batch in batches:
-                node = batch["node"].to_numpy()
-                hit = [i for i in _hits(bits, node) if not (node[i] in seen or len(seen) < 200_000 and seen.add(node[i]))]
-                yield batch.take(pa.array(hit, pa.int64()))
-
-        some = self.sets.select("node", "n", F.col("sig").alias("hashes")).mapInArrow(keep, "node long, n int, hashes array<int>")
-        return some.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes"))
-
-    def _whole(self, nodes: DataFrame) -> DataFrame:
-        """The sets of the given nodes, written, made again from the text of one document each."""
-        wanted = written(nodes.join(self.classes.select("node", "least"), "node").select("node", F.xxhash64("least").alias("h")), "wanted")
-        bits, k = _bitmap(wanted, "h"), self.k
-
-        def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The documents of a corpus as sets: `rows` (`id, text`), their written `outlined` form and its `classes`, one row a set."""
+
+    def __init__(self, rows: DataFrame, k: int, percent: int):
+        self.rows, self.k, self.percent = rows, k, percent
+        self.outlined = written(outlines(rows, k, percent, rarity(rows, k)), "outlines")
+        sets = self.outlined.filter("n > 0")
+        self.classes = sets.groupBy("node").agg(F.min("id").alias("least"), F.min("twin").alias("t0"), F.max("twin").alias("t1"))
+        self.sets = sets.filter("profile IS NOT NULL")
+        self.whole: DataFrame | None = None
+
+    def profiled(self, nodes: DataFrame) -> DataFrame:
+        """`node, odd, profile` of the given nodes, one row each."""
+        return self.sets.select("node", "odd", "profile").join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("odd").alias("odd"), F.first("profile").alias("profile"))
+
+    def make(self, nodes: DataFrame) -> None:
+        """Write the sets of the given nodes (`whole`: `node, n, hashes`), made from the text of one document each."""
+        wanted = written(nodes.distinct().join(self.classes.select("node", "least"), "node").select("node", F.xxhash64("least").alias("h")), "wanted")
+        k = self.k
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
             for batch in in_slices(batches):
-                hit = batch.take(pa.array(_hits(bits, batch["h"].to_numpy())))
-                found = [s for words in word_lists(hit["text"].to_pylist(), lower=True) if len(s := _set_of(words, k))]
+                found = [s for s in map(distinct, shingles(*hashed_texts(batch["text"], lower=True), k)) if len(s)]
                 node = [_node(s) for s in found]
                 new = [i for i, x in enumerate(node) if not (x in seen or len(seen) < 200_000 and seen.add(x))]
                 yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in new], pa.int64()), pa.array([len(found[i]) for i in new], pa.int32()), _lists([found[i] for i in new])], ["node", "n", "hashes"])
 
-        some = self.rows.select(F.xxhash64("id").alias("h"), "text").mapInArrow(make, "node long, n int, hashes array<long>")
-        whole = written(some.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), "whole-sets")
+        some = _hits(self.rows.select(F.xxhash64("id").alias("h"), "text"), _bits(wanted)).select("text").mapInArrow(sets, "node long, n int, hashes array<long>")
+        self.whole = written(some.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), "whole-sets")
         release(wanted)
-        return whole
-
-    def measure(self, pairs: DataFrame, percent: int) -> DataFrame:
-        """`a, b, near, low, high`, written: whether a pair is near, and bounds of its distance, equal where it was computed in full.
-
-        Signatures come first. Their symmetric difference is at most that of the sets, so a pair whose
-        signatures differ too much is far without its sets; the other pairs meet in full.
-        """
-        ends = lambda p: p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct()
-        thin = _met(pairs, self._signatures(ends(pairs))).withColumn("apart", F.col("apart") - 2 * F.col("common"))
-        most = (F.col("na") + F.col("nb") - F.col("apart")) / 2
-        thin = written(thin.select("a", "b", (F.col("apart") * (100 + percent) > (F.col("na") + F.col("nb")) * (100 - percent)).alias("far"), F.greatest(F.lit(0.0), 1 - most / (F.col("na") + F.col("nb") - most)).alias("low")), "thin")
-        left = thin.filter("NOT far").select("a", "b")
-        whole = self._whole(ends(left))
-        full = _met(left, whole).withColumn("d", 1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common")))
-        out = thin.filter("far").select("a", "b", F.lit(False).alias("near"), "low", F.lit(1.0).alias("high")).union(full.select("a", "b", near(percent), "d", F.col("d").alias("high")))
-        out = written(out, "distances")
-        release(thin, whole)
-        return out
-
-
-def near(percent: int):
-    return F.col("common") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("common"))
-
 
-def possible(percent: int):
-    """Whether sets of `nx` and `ny` elements whose first common one has places `i` and `j` can be near."""
-    need = F.ceil(F.lit(percent) * (F.col("nx") + F.col("ny")) / (100 + percent) - 1e-9)
-    return (F.col("nx") - F.col("i") >= need) & (F.col("ny") - F.col("j") >= need) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
+    def measured(self, pairs: DataFrame) -> DataFrame:
+        """Distinct pairs `a, b` of nodes that `make` has made, with `near` and the distance `d`."""
+        left = self.whole.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
+        right = self.whole.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
+        met = pairs.join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("ha", "hb")))
+        union = F.col("na") + F.col("nb") - F.col("common")
+        return met.select("a", "b", (F.col("common") * 100 >= self.percent * union).alias("near"), (1 - F.col("common") / union).alias("d"))
 
 
-def _roots(members: DataFrame, links: DataFrame) -> DataFrame:
-    return members.drop("root").join(connected(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+def members_of(points: Points, percent: int) -> DataFrame:
+    """`cell, node, n, pos`, written: the sets in the cells of single shingles that can hold a near pair.
 
-
-def _unsettled(members: DataFrame) -> DataFrame:
-    """Members of regions that still hold two or more components, with the `size` of the region and its largest component, `main`."""
-    counts = members.groupBy("region", "root").agg(F.count("*").alias("c"))
-    mixed = counts.groupBy("region").agg(F.count("*").alias("roots"), F.sum("c").alias("size"), F.max_by("root", F.struct("c", "root")).alias("main")).filter("roots > 1")
-    return written(members.drop("size", "main").join(mixed.select("region", "size", "main"), "region"), "active")
-
-
-def near_links(points: Points, percent: int) -> DataFrame:
-    """Links `a, b` between set hashes that have the components of all pairs with similarity of `percent` or more."""
-    keys = written(region_keys(points.rows, points.k, rarity(points.outlined), percent), "keys")
-    # The same order in every region, so that the regions of one group of near copies choose one pivot.
-    central = F.col("odd").cast("long") * (1 << 32) + F.col("node").bitwiseAND(F.lit((1 << 32) - 1))
-    # The smaller set of a near pair has their first common shingle in a short prefix. A region without one, and
-    # members for whose sizes it has none, can link nothing.
-    share = percent / (100 + percent)
-    short = F.col("n") - F.col("pos") >= F.ceil(2 * share * F.col("n") - 1e-9)
-    regions = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(F.when(short, F.col("n"))).alias("least"), F.max(F.when(short, F.col("n"))).alias("most")).filter("lo <> hi AND least IS NOT NULL")
-    regions = written(regions.select(F.col("key").alias("region"), "least", "most"), "regions")
-    usable = short | ((F.col("most") >= F.ceil(F.col("n") * (percent / 100) - 1e-9)) & (F.col("least") <= F.floor((F.col("n") - F.col("pos")) / share - F.col("n") + 1e-6)))
-    members = written(keys.withColumnRenamed("key", "region").join(regions, "region").filter(usable).groupBy("region", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("odd").alias("odd")), "members")
-    release(keys, regions)
-    sized = members.groupBy("region").agg(F.count("*").alias("size"), F.min_by("node", central).alias("pivot"), F.min_by("n", central).alias("ny"), F.min_by("pos", central).alias("j"))
-    active = members.withColumn("root", F.col("node")).join(sized.select("region", "size"), "region")
-    pivots = sized.drop("size")
-    links = None
-    for _ in range(DEPTH):
-        beside = active.join(pivots, "region").filter("node <> pivot").withColumns({"nx": F.col("n"), "i": F.col("pos")})
-        beside = beside.filter((F.col("size") > SMALL) | possible(percent)).select("region", F.col("node").alias("a"), F.col("pivot").alias("b"))
-        pairs = written(beside, "pivot-pairs")
-        measured = points.measure(pairs.select("a", "b").distinct(), percent)
-        found, known = measured.filter("near").select("a", "b"), links
-        links = written(found if links is None else links.union(found), "near")
-        if known is not None:
-            release(known)
-        apart = pairs.join(measured.select("a", "b", "low", "high"), ["a", "b"]).select("region", F.col("a").alias("node"), "low", "high")
-        active = active.drop("low", "high")
-        bounds = [F.lit(None).cast("double").alias(c) for c in ("low", "high")]
-        large = active.filter(F.col("size") > SMALL).join(apart, ["region", "node"], "left")  # elsewhere pairs are few
-        active = large.unionByName(active.filter(F.col("size") <= SMALL).select("*", *bounds))
-        active = _unsettled(_roots(active, links))
-        release(pairs, measured, members)
-        members = active
-        again = active.filter((F.col("size") > SMALL) & (F.col("root") != F.col("main")))
-        pivots = again.groupBy("region").agg(F.min_by("node", central).alias("pivot"), F.min_by("n", central).alias("ny"), F.min_by("pos", central).alias("j"))
-        if pivots.isEmpty():
-            break
-        pivots = written(pivots, "pivots")
-    return written(links.union(_direct(active, points, percent)), "near")
-
-
-def _direct(active: DataFrame, points: Points, percent: int) -> DataFrame:
-    """Links between different components of a region that pivots left open.
-
-    A larger set meets smaller ones in size classes of 2 %, from the smallest size that is near enough to the
-    largest that its place in the window allows; of a smaller set only a short prefix can be met at all. Pairs
-    inside the region's largest component are never formed.
+    The smaller set of a near pair has their first common shingle in a short prefix, and sizes of a near pair are in
+    the same or in neighbouring classes. One row a shingle tells which classes it has, and in which it has a short
+    prefix; a set that is alone in its class and has no class beside it stays out. Classes of several rows stay in.
     """
+    step, share = float(np.log(100 / percent)) + 1e-9, percent / (100 + percent)
+    of_class = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
+    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(c, F.lit(0)))
+    rows = points.sets.select("node", "n", F.posexplode("keys").alias("pos", "cell"))
+    rows = rows.withColumns({"short": F.col("n") - F.col("pos") >= F.ceil(2 * share * F.col("n") - 1e-9), "c": F.least(of_class, F.lit(62))})
+    cells = rows.groupBy("cell").agg(F.count("*").alias("many"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_or(bit(F.col("c"))).alias("has"), F.bit_or(F.when(F.col("short"), bit(F.col("c"))).otherwise(F.lit(0).cast("long"))).alias("shorts"))
+    # `lone`: each class has one row, so only a neighbouring class can hold a partner.
+    near_class = F.col("has").bitwiseAND(F.shiftrightunsigned("has", 1)) != 0
+    cells = cells.filter("lo <> hi AND shorts <> 0").withColumn("lone", F.col("many") == F.bit_count("has"))
+    cells = cells.filter(~F.col("lone") | near_class).select("cell", "has", "shorts", "lone")
+    own, up, down = bit(F.col("c")), F.when(F.col("c") < 62, bit(F.col("c") + 1)).otherwise(F.lit(0).cast("long")), F.when(F.col("c") > 0, bit(F.col("c") - 1)).otherwise(F.lit(0).cast("long"))
+    here = F.when(F.col("lone"), F.lit(0).cast("long")).otherwise(own)
+    larger = F.col("shorts").bitwiseAND(here.bitwiseOR(down)) != 0  # a smaller partner with a short prefix
+    smaller = F.col("short") & (F.col("has").bitwiseAND(here.bitwiseOR(up)) != 0)
+    kept = rows.join(cells, "cell").filter(larger | smaller)
+    return written(kept.groupBy("cell", "node").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "members")
+
+
+def possible(percent: int, x: str = "x_", y: str = "y_") -> Column:
+    """Whether a set x and a set y no larger, whose first common shingle has these places, can be near."""
+    nx, ny, i, j = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}pos"), F.col(f"{y}pos")
+    need = F.ceil(F.lit(percent) * (nx + ny) / (100 + percent) - 1e-9)
+    return (ny <= nx) & (100 * ny >= percent * nx) & (nx - i >= need) & (ny - j >= need)
+
+
+def _alike(percent: int) -> Column:
+    """Whether the counts by place leave a distance within the radius possible: |x - y| is at least the sum of their differences."""
+    apart = F.aggregate(F.zip_with("x_profile", "y_profile", lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda t, v: t + v)
+    return apart * (100 + percent) <= (F.col("x_n") + F.col("y_n")) * (100 - percent)
+
+
+def _side(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select("cell", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "n", "pos", "root", "is_main", "profile")])
+
+
+def _pairs(cells: DataFrame, points: Points, percent: int) -> DataFrame:
+    """Distinct pairs `a, b` of cells (`cell, node, n, pos, root, main, size`) that sizes, places and profiles leave possible.
+
+    Pairs inside one component are never formed. In small cells all sets meet; in those that pivots could not divide,
+    sets meet in size classes of 2 %, from the smallest size that is near enough to the largest that a place allows.
+    """
+    rows = cells.withColumn("is_main", F.coalesce(F.col("root") == F.col("main"), F.lit(False))).join(points.profiled(cells).drop("odd"), "node")
+    apart = (F.col("x_root") != F.col("y_root")) & ~(F.col("x_is_main") & F.col("y_is_main"))
+    small = rows.filter(F.col("size") <= SMALL)
+    few = _side(small, "x").join(_side(small, "y"), "cell").filter(possible(percent) & apart & _alike(percent))
     share, step = percent / (100 + percent), 0.02
     size_class = lambda n: F.floor(F.log(n) / step).cast("int")
-    radius = 1 - percent / 100
-    rows = active.select("region", "node", "n", "pos", "root", "low", "high", (F.col("root") == F.col("main")).alias("is_main"))
-    largest = F.least(F.col("n"), F.floor((F.col("n") - F.col("pos")) / share - F.col("n") + 1e-6))
-    smallest = F.greatest(F.lit(1), F.ceil(F.col("n") * (percent / 100) - 1e-9))
-    probes = rows.filter(largest >= smallest).select(F.explode(F.sequence(size_class(smallest), size_class(largest))).alias("class"), "region", *(F.col(c).alias(f"x_{c}") for c in ("node", "root", "low", "high", "is_main")), F.col("n").alias("nx"), F.col("pos").alias("i"))
-    short = rows.filter(F.col("n") - F.col("pos") >= F.ceil(2 * share * F.col("n") - 1e-9))
-    short = short.select(size_class(F.col("n")).alias("class"), "region", *(F.col(c).alias(f"y_{c}") for c in ("node", "root", "low", "high", "is_main")), F.col("n").alias("ny"), F.col("pos").alias("j"))
-    on = ["region", "class"]
-    met = probes.filter("NOT x_is_main").join(short, on).unionByName(probes.filter("x_is_main").join(short.filter("NOT y_is_main"), on))
-    far = (F.col("x_low") > F.col("y_high") + radius + 1e-9) | (F.col("y_low") > F.col("x_high") + radius + 1e-9)
-    close = ~F.coalesce(far, F.lit(False))
-    pairs = met.filter((F.col("ny") <= F.col("nx")) & (F.col("x_root") != F.col("y_root")) & possible(percent) & close)
-    pairs = pairs.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct()
-    return points.measure(written(pairs, "pairs"), percent).filter("near").select("a", "b")
+    large = rows.filter(F.col("size") > SMALL)
+    most = F.least(F.col("x_n"), F.floor((F.col("x_n") - F.col("x_pos")) / share - F.col("x_n") + 1e-6))
+    least = F.greatest(F.lit(1), F.ceil(F.col("x_n") * (percent / 100) - 1e-9))
+    probes = _side(large, "x").filter(most >= least).withColumn("class", F.explode(F.sequence(size_class(least), size_class(most))))
+    short = _side(large.filter(F.col("n") - F.col("pos") >= F.ceil(2 * share * F.col("n") - 1e-9)), "y").withColumn("class", size_class(F.col("y_n")))
+    many = probes.join(short, ["cell", "class"]).filter(possible(percent) & apart & _alike(percent))
+    pair = lambda p: p.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b"))
+    return pair(few).filter("a <> b").union(pair(many).filter("a <> b")).distinct()
+
+
+def _with_size(cells: DataFrame) -> DataFrame:
+    """Rows (`cell, node, n, pos, root`) of cells with two components or more, with the `size` of the cell and its largest component, `main`."""
+    parts = cells.groupBy("cell", "root").agg(F.count("*").alias("c"))
+    mixed = parts.groupBy("cell").agg(F.count("*").alias("roots"), F.sum("c").alias("size"), F.max_by("root", F.struct("c", "root")).alias("main")).filter("roots > 1").drop("roots")
+    return cells.join(mixed, "cell")
+
+
+def _divided(cells: DataFrame, pivots: DataFrame, near_pivot: DataFrame, radius: float) -> DataFrame:
+    """The children of cells: each set in its nearest pivot's cell and in those of the window, or in the outer cell."""
+    beside = cells.join(pivots, "cell").withColumnRenamed("node", "a").join(near_pivot.select("a", "b", "d"), ["a", "b"], "left")
+    d = F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.coalesce("d", F.lit(1.0)))
+    each = beside.groupBy("cell", "a").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("size").alias("parent"), F.collect_list(F.struct(d.alias("d"), F.col("b").alias("b"))).alias("to"))  # at most FAN
+    m = F.array_min(F.transform("to", lambda t: t.getField("d")))
+    inner = F.filter("to", lambda t: (t.getField("d") < 1) & (t.getField("d") <= F.col("m") + radius + 1e-9))
+    homes = F.concat(F.transform(inner, lambda t: t.getField("b")), F.when(F.col("m") >= 1 - radius - 1e-9, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<long>")))
+    out = each.withColumn("m", m).withColumn("home", F.explode(homes))
+    return out.select(F.xxhash64("cell", "home").alias("cell"), F.col("a").alias("node"), "n", "pos", "parent")
+
+
+def near_links(points: Points, percent: int) -> DataFrame:
+    """Links `a, b` between set hashes that have the components of all pairs with a similarity of `percent` or more."""
+    members = members_of(points, percent)
+    sized = members.groupBy("cell").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("cell", "size")
+    whole = members.join(sized, "cell").withColumns({"root": F.col("node"), "main": F.lit(None).cast("long")})
+    columns = ("cell", "node", "n", "pos", "root", "main", "size")
+    pairs = written(_pairs(whole.filter(F.col("size") <= SMALL), points, percent), "small-pairs")
+    active = written(whole.filter(F.col("size") > SMALL).select(*columns), "cells")
+    release(members)
+    points.make(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(active.select("node")))
+    links = written(points.measured(pairs).filter("near").select("a", "b"), "near")
+    release(pairs)
+    odd = written(points.profiled(active).select("node", "odd"), "odd")
+    left: list[DataFrame] = []
+    fan = 1  # every set is its own component yet: one pivot a cell first makes one component of a group of near copies
+    while not active.isEmpty():
+        # The same order in every cell, so that the cells of one group of near copies choose the same pivots, from its centre.
+        slot = F.pmod(F.hash("root"), F.lit(fan))
+        central = F.struct("odd", F.hash("node"), "node")
+        pivots = written(active.join(odd, "node").groupBy("cell", slot.alias("slot")).agg(F.min_by("node", central).alias("b")).select("cell", "b"), "pivots")
+        pairs = active.select("cell", F.col("node").alias("a")).join(pivots, "cell").filter("a <> b").select("a", "b").distinct()
+        near_pivot = written(points.measured(pairs), "distances")
+        known = links
+        links = written(links.union(near_pivot.filter("near").select("a", "b")), "near")
+        children = _divided(active, pivots, near_pivot, 1 - percent / 100)
+        roots = connected(links)
+        children = children.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        children = written(_with_size(children).select(*columns, "parent"), "cells")
+        release(known, active, pivots, near_pivot)
+        again = (F.col("size") > SMALL) & (F.col("size") <= SHRINK * F.col("parent"))
+        left.append(children.filter(~again).select(*columns))
+        active, fan = children.filter(again).select(*columns), FAN
+    if left:
+        rest = reduce(DataFrame.unionByName, left)
+        links = links.union(points.measured(_pairs(rest, points, percent)).filter("near").select("a", "b"))
+    return written(links, "near")
 
 
 def jaccard_join(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,8 +300,8 @@ def jaccard_join(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "
     others are. Ids may repeat; rows with a null id take part, and null is never the smallest. No rows give
     no rows; other columns are unused.
     """
-    points = Points(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), k)
-    sets, classes = points.sets, points.classes
+    points = Points(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), k, percent)
+    classes = points.classes
     if not classes.filter("t0 <> t1").isEmpty():
         raise RuntimeError("two different sets have one 64-bit hash")
     links = near_links(points, percent)
@@ -315,7 +309,7 @@ def jaccard_join(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "
     least = classes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     by_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
     of_node = least.join(by_root, "root").select("node", "component_id")
-    out = sets.select("id", "n", "node").join(of_node, "node", "left")
+    out = points.outlined.select("id", "n", "node").join(of_node, "node", "left")
     return out.select("id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 

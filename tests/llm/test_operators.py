@@ -9,11 +9,12 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 import tokenizers
 
-from cohortscore.llm import attention_lm, bpe, exact_dedup, html_extract, jaccard_join, lm_scoring, packing, quality, secret_scan, substring_dedup, url_filter
+from cohortscore.llm import attention_lm, bpe, exact_dedup, html_extract, jaccard_join, lm_scoring, packing, quality, secret_scan, shingle_words, substring_dedup, url_filter
 from cohortscore.llm.oracle import ORACLE
 from cohortscore.llm.queries import QUERIES
 from compare import canon
@@ -80,8 +81,15 @@ def test_exact_edges(edge):
     assert exact_dedup.drop_exact_copies(edge).columns == edge.columns
 
 
-def test_jaccard(edge, docs):
-    for df in (edge, docs):
+@pytest.mark.parametrize("small", [48, 2])
+def test_jaccard(spark, edge, docs, monkeypatch, small):
+    """With `small` 2 nearly every cell is divided by pivots, again and again."""
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    rng = np.random.default_rng(1)
+    base = [f"v{i}" for i in range(60)]
+    changed_words = [(100 + i, " ".join(f"q{i}" if j in set(rng.integers(0, 60, i % 4)) else w for j, w in enumerate(base[: 60 - i % 5]))) for i in range(60)]
+    close = spark.createDataFrame(changed_words, "doc_id long, text string")
+    for df in (edge, docs, close):
         sets = {}
         for i, t in rows_of(df):
             w = words(lower(t))
@@ -98,6 +106,17 @@ def test_jaccard(edge, docs):
         assert got == {i: (len(s), root[i]) for i, s in sets.items()}
 
 
+def test_hashed_texts_are_the_words(docs):
+    texts = [r["text"] for r in docs.select("text").collect()] + [None, "", " \n", "a", "\u00a0x é\x0b", "A b  a B"]
+    column = pa.array(["skip", *texts]).slice(1)
+    for low in (False, True):
+        h, bounds = shingle_words.hashed_texts(column, low)
+        lists = shingle_words.word_lists(texts, low)
+        assert np.diff(bounds).tolist() == [len(w) for w in lists]
+        of = {}
+        assert all(of.setdefault(w, x) == x for w, x in zip((w for ws in lists for w in ws), h.tolist())) and len(set(of.values())) == len(of)
+
+
 def test_substrings(edge, docs):
     for df in (edge, docs):
         first, want = {}, {}
