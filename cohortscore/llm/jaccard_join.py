@@ -34,8 +34,8 @@ from cohortscore.llm.shingle_words import distinct, hashed_texts, mix, shingles
 
 #: Counters of the frequency sketch and words of the membership bitmap: what is broadcast has these sizes.
 COUNTERS, BITMAP = 1 << 17, 1 << 17
-#: Disjoint parts of the universe of shingles whose counts bound a distance from below.
-PLACES = 64
+#: Disjoint parts of the universe of shingles whose counts bound a distance from below: where cells meet, and once more before sets do.
+PLACES, FINE = 64, 512
 #: Cells of more sets than SMALL are divided by up to FAN pivots, unless a child keeps more than SHRINK of its parent.
 SMALL, FAN, SHRINK = 48, 4, 0.9
 _SHIFT = np.uint64(7)
@@ -45,6 +45,12 @@ def _node(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def _counts(s: np.ndarray, places: int) -> np.ndarray:
+    """How many shingles each of the places has, up to 127: a limit moves no two counts further apart."""
+    part = s >> np.uint64(64 - places.bit_length() + 1)
+    return np.minimum(np.bincount(part.astype(np.int64), minlength=places), 127).astype(np.int8)
+
+
 def _lists(found: list[np.ndarray]) -> pa.ListArray:
     flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), pa.array(flat))
@@ -103,7 +109,7 @@ def outlines(rows: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataF
                 level = levels[(s % np.uint64(COUNTERS)).astype(np.int64)]
                 order = np.sort(level << np.uint64(57) | mix(s) >> _SHIFT)
                 odd.append(int(np.count_nonzero(level == 0)))
-                profile.append(np.minimum(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=PLACES), 127).astype(np.int8))
+                profile.append(_counts(s, PLACES))
                 keys.append(order[: len(s) + (-percent * len(s)) // 100 + 1])
             flat = np.concatenate([p for p in profile if p is not None]) if any(p is not None for p in profile) else np.zeros(0, np.int8)
             ends = np.cumsum([0, *(0 if p is None else PLACES for p in profile)])
@@ -145,7 +151,7 @@ class Points:
         return self.sets.select("node", "odd", "profile").join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("odd").alias("odd"), F.first("profile").alias("profile"))
 
     def make(self, nodes: DataFrame) -> None:
-        """Write the sets of the given nodes (`whole`: `node, n, hashes`), made from the text of one document each."""
+        """Write the sets of the given nodes (`whole`: `node, n, fine, hashes`), made from the text of one document each."""
         wanted = written(nodes.distinct().join(self.classes.select("node", "least"), "node").select("node", F.xxhash64("least").alias("h")), "wanted")
         k = self.k
 
@@ -155,21 +161,36 @@ class Points:
                 found = [s for s in map(distinct, shingles(*hashed_texts(batch["text"], lower=True), k)) if len(s)]
                 node = [_node(s) for s in found]
                 new = [i for i, x in enumerate(node) if not (x in seen or len(seen) < 200_000 and seen.add(x))]
-                yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in new], pa.int64()), pa.array([len(found[i]) for i in new], pa.int32()), _lists([found[i] for i in new])], ["node", "n", "hashes"])
+                fine = np.concatenate([_counts(found[i], FINE) for i in new]) if new else np.zeros(0, np.int8)
+                fine = pa.ListArray.from_arrays(pa.array(np.arange(len(new) + 1) * FINE, pa.int32()), pa.array(fine))
+                yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in new], pa.int64()), pa.array([len(found[i]) for i in new], pa.int32()), fine, _lists([found[i] for i in new])], ["node", "n", "fine", "hashes"])
 
-        some = _hits(self.rows.select(F.xxhash64("id").alias("h"), "text"), _bits(wanted)).select("text").mapInArrow(sets, "node long, n int, hashes array<long>")
-        self.whole = written(some.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("hashes").alias("hashes")), "whole-sets")
+        some = _hits(self.rows.select(F.xxhash64("id").alias("h"), "text"), _bits(wanted)).select("text").mapInArrow(sets, "node long, n int, fine array<tinyint>, hashes array<long>")
+        self.whole = written(some.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("fine").alias("fine"), F.first("hashes").alias("hashes")), "whole-sets")
         release(wanted)
 
     def measured(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs `a, b` of nodes that `make` has made, with `near` and the distance `d`."""
-        left = self.whole.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
-        right = self.whole.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
+        """Distinct pairs `a, b`, written, of nodes that `make` has made, with `near` and the distance `d`."""
+
+        def side(x: str) -> DataFrame:
+            some = _hits(self.whole.withColumn("h", F.col("node")), _bits(pairs.select(F.col(x).alias("h"))))
+            return some.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("hashes").alias(f"h{x}"))
+
+        left, right = side("a"), side("b")
         met = pairs.join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("ha", "hb")))
         union = F.col("na") + F.col("nb") - F.col("common")
         return met.select("a", "b", (F.col("common") * 100 >= self.percent * union).alias("near"), (1 - F.col("common") / union).alias("d"))
 
 
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Those of the pairs `a, b` that are near, written. Counts by FINE places come first: most pairs need no sets."""
+        left, right = (self.whole.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("fine").alias(f"{x}_profile")) for x in "ab")
+        some = written(pairs.join(right, "b").join(left, "a").filter(_alike(self.percent, "a_", "b_")).select("a", "b"), "alike")
+        out = written(self.measured(some).filter("near").select("a", "b"), "near")
+        release(some)
+        return out
+
+
 def members_of(points: Points, percent: int) -> DataFrame:
     """`cell, node, n, pos`, written: the sets in the cells of single shingles that can hold a near pair.
 
@@ -202,10 +223,10 @@ def possible(percent: int, x: str = "x_", y: str = "y_") -> Column:
     return (ny <= nx) & (100 * ny >= percent * nx) & (nx - i >= need) & (ny - j >= need)
 
 
-def _alike(percent: int) -> Column:
+def _alike(percent: int, x: str = "x_", y: str = "y_") -> Column:
     """Whether the counts by place leave a distance within the radius possible: |x - y| is at least the sum of their differences."""
-    apart = F.aggregate(F.zip_with("x_profile", "y_profile", lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda t, v: t + v)
-    return apart * (100 + percent) <= (F.col("x_n") + F.col("y_n")) * (100 - percent)
+    apart = F.aggregate(F.zip_with(f"{x}profile", f"{y}profile", lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda t, v: t + v)
+    return apart * (100 + percent) <= (F.col(f"{x}n") + F.col(f"{y}n")) * (100 - percent)
 
 
 def _side(rows: DataFrame, name: str) -> DataFrame:
@@ -263,7 +284,7 @@ def near_links(points: Points, percent: int) -> DataFrame:
     active = written(whole.filter(F.col("size") > SMALL).select(*columns), "cells")
     release(members)
     points.make(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(active.select("node")))
-    links = written(points.measured(pairs).filter("near").select("a", "b"), "near")
+    links = points.near(pairs)
     release(pairs)
     odd = written(points.profiled(active).select("node", "odd"), "odd")
     left: list[DataFrame] = []
@@ -274,6 +295,7 @@ def near_links(points: Points, percent: int) -> DataFrame:
         central = F.struct("odd", F.hash("node"), "node")
         pivots = written(active.join(odd, "node").groupBy("cell", slot.alias("slot")).agg(F.min_by("node", central).alias("b")).select("cell", "b"), "pivots")
         pairs = active.select("cell", F.col("node").alias("a")).join(pivots, "cell").filter("a <> b").select("a", "b").distinct()
+        pairs = written(pairs, "pivot-pairs")
         near_pivot = written(points.measured(pairs), "distances")
         known = links
         links = written(links.union(near_pivot.filter("near").select("a", "b")), "near")
@@ -281,14 +303,14 @@ def near_links(points: Points, percent: int) -> DataFrame:
         roots = connected(links)
         children = children.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         children = written(_with_size(children).select(*columns, "parent"), "cells")
-        release(known, active, pivots, near_pivot)
+        release(known, active, pairs, pivots, near_pivot)
         again = (F.col("size") > SMALL) & (F.col("size") <= SHRINK * F.col("parent"))
         left.append(children.filter(~again).select(*columns))
         active, fan = children.filter(again).select(*columns), FAN
     if left:
-        rest = reduce(DataFrame.unionByName, left)
-        links = links.union(points.measured(_pairs(rest, points, percent)).filter("near").select("a", "b"))
-    return written(links, "near")
+        pairs = written(_pairs(reduce(DataFrame.unionByName, left), points, percent), "pairs")
+        links = links.union(points.near(pairs))
+    return links
 
 
 def jaccard_join(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
