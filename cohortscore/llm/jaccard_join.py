@@ -6,14 +6,15 @@ smallest non-empty sets, single shingles, rare ones before common ones. A set is
 of its n shingles and at 1 from all other pivots; ties go to the first, and a set within the radius can have its
 own cell only among its first n - ceil(t n) + 1 shingles, the window to which it is replicated.
 
-A cell of many sets is divided again by up to FAN of its own documents. With m(x) the distance of x to its
-nearest pivot, a near pair x, y with m(x) <= m(y) meets in the cell of x's nearest pivot p, since
-d(y, p) <= m(x) + r <= m(y) + r: so every set goes to its nearest pivot's cell and, by the triangle inequality,
-to those of the pivots no more than r further away. Where m(x) >= 1 - r, both lie in the outer cell of what is
-far from all pivots. Sets within r of a pivot are one component with it. Cells of a single component are done;
-the others are divided again until they are small or do not shrink, and there pairs are compared, those first
-ruled out that differ too much in size, place in the window, or counts by PLACES disjoint parts of the universe
-(whose distances to two sets differ by no more than the sets do: the triangle inequality of the symmetric difference).
+A cell of many sets is divided by the distance to the empty set (their size), and then by up to FAN of its own
+documents, again and again. Near sets x, y have a symmetric difference of at most w = (|x| + |y|)(1 - t) / (1 + t),
+and so at most that distance d between their counts by PLACES disjoint parts of the universe, a metric that needs no
+sets. With m(x) the distance of x to its nearest pivot, a near pair with m(x) <= m(y) meets in the cell of x's nearest
+pivot p, since d(y, p) <= m(x) + w <= m(y) + w: so every set goes to its nearest pivot's cell and, by the triangle
+inequality, to those of the pivots no more than w further away. Sets within the radius of a pivot are one component
+with it, and cells of a single component are done; the others are divided until they are small or do not shrink.
+There, pairs of different components meet: those that differ too much in size, place in the window or counts are
+ruled out where they meet, the others by counts in FINE parts, and what is left by the sets themselves.
 """
 
 from __future__ import annotations
@@ -144,14 +145,13 @@ class Points:
         sets = self.outlined.filter("n > 0")
         self.classes = sets.groupBy("node").agg(F.min("id").alias("least"), F.min("twin").alias("t0"), F.max("twin").alias("t1"))
         self.sets = sets.filter("profile IS NOT NULL")
-        self.whole: DataFrame | None = None
 
     def profiled(self, nodes: DataFrame) -> DataFrame:
         """`node, odd, profile` of the given nodes, one row each."""
         return self.sets.select("node", "odd", "profile").join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("odd").alias("odd"), F.first("profile").alias("profile"))
 
-    def make(self, nodes: DataFrame) -> None:
-        """Write the sets of the given nodes (`whole`: `node, n, fine, hashes`), made from the text of one document each."""
+    def _made(self, nodes: DataFrame) -> DataFrame:
+        """The sets of the given nodes, `node, n, fine, hashes`, written, made from the text of one document each."""
         wanted = written(nodes.distinct().join(self.classes.select("node", "least"), "node").select("node", F.xxhash64("least").alias("h")), "wanted")
         k = self.k
 
@@ -166,28 +166,23 @@ class Points:
                 yield pa.RecordBatch.from_arrays([pa.array([node[i] for i in new], pa.int64()), pa.array([len(found[i]) for i in new], pa.int32()), fine, _lists([found[i] for i in new])], ["node", "n", "fine", "hashes"])
 
         some = _hits(self.rows.select(F.xxhash64("id").alias("h"), "text"), _bits(wanted)).select("text").mapInArrow(sets, "node long, n int, fine array<tinyint>, hashes array<long>")
-        self.whole = written(some.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("fine").alias("fine"), F.first("hashes").alias("hashes")), "whole-sets")
+        whole = written(some.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fine", "hashes")]), "whole-sets")
         release(wanted)
+        return whole
 
-    def measured(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs `a, b`, written, of nodes that `make` has made, with `near` and the distance `d`."""
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """Those of the written, distinct pairs `a, b` that are near, written. Counts by FINE places come first: most pairs need no sets."""
+        whole = self._made(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))))
+        left, right = (whole.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("fine").alias(f"{x}_profile")) for x in "ab")
+        alike = written(pairs.join(right, "b").join(left, "a").filter(_distance("a_", "b_") <= _width(self.percent, F.col("a_n") + F.col("b_n"))).select("a", "b"), "alike")
 
         def side(x: str) -> DataFrame:
-            some = _hits(self.whole.withColumn("h", F.col("node")), _bits(pairs.select(F.col(x).alias("h"))))
+            some = _hits(whole.withColumn("h", F.col("node")), _bits(alike.select(F.col(x).alias("h"))))
             return some.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("hashes").alias(f"h{x}"))
 
-        left, right = side("a"), side("b")
-        met = pairs.join(right, "b").join(left, "a").withColumn("common", F.size(F.array_intersect("ha", "hb")))
-        union = F.col("na") + F.col("nb") - F.col("common")
-        return met.select("a", "b", (F.col("common") * 100 >= self.percent * union).alias("near"), (1 - F.col("common") / union).alias("d"))
-
-
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """Those of the pairs `a, b` that are near, written. Counts by FINE places come first: most pairs need no sets."""
-        left, right = (self.whole.select(F.col("node").alias(x), F.col("n").alias(f"{x}_n"), F.col("fine").alias(f"{x}_profile")) for x in "ab")
-        some = written(pairs.join(right, "b").join(left, "a").filter(_alike(self.percent, "a_", "b_")).select("a", "b"), "alike")
-        out = written(self.measured(some).filter("near").select("a", "b"), "near")
-        release(some)
+        met = alike.join(side("b"), "b").join(side("a"), "a").withColumn("common", F.size(F.array_intersect("ha", "hb")))
+        out = written(met.filter(F.col("common") * 100 >= self.percent * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b"), "near")
+        release(whole, alike)
         return out
 
 
@@ -223,94 +218,98 @@ def possible(percent: int, x: str = "x_", y: str = "y_") -> Column:
     return (ny <= nx) & (100 * ny >= percent * nx) & (nx - i >= need) & (ny - j >= need)
 
 
-def _alike(percent: int, x: str = "x_", y: str = "y_") -> Column:
-    """Whether the counts by place leave a distance within the radius possible: |x - y| is at least the sum of their differences."""
-    apart = F.aggregate(F.zip_with(f"{x}profile", f"{y}profile", lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda t, v: t + v)
-    return apart * (100 + percent) <= (F.col(f"{x}n") + F.col(f"{y}n")) * (100 - percent)
+def _distance(x: str = "x_", y: str = "y_") -> Column:
+    """The distance of two profiles, which no two sets fall below in their symmetric difference."""
+    return F.aggregate(F.zip_with(f"{x}profile", f"{y}profile", lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda t, v: t + v)
 
 
-def _side(rows: DataFrame, name: str) -> DataFrame:
-    return rows.select("cell", *[F.col(c).alias(f"{name}_{c}") for c in ("node", "n", "pos", "root", "is_main", "profile")])
+def _width(percent: int, both: Column) -> Column:
+    """The largest symmetric difference of a near pair with so many elements, counted on both sides."""
+    return F.floor(both * (100 - percent) / (100 + percent) + 1e-9)
 
 
-def _pairs(cells: DataFrame, points: Points, percent: int) -> DataFrame:
-    """Distinct pairs `a, b` of cells (`cell, node, n, pos, root, main, size`) that sizes, places and profiles leave possible.
+COLUMNS = ("cell", "node", "n", "pos", "own", "profile", "root", "main", "size")
 
-    Pairs inside one component are never formed. In small cells all sets meet; in those that pivots could not divide,
-    sets meet in size classes of 2 %, from the smallest size that is near enough to the largest that a place allows.
-    """
-    rows = cells.withColumn("is_main", F.coalesce(F.col("root") == F.col("main"), F.lit(False))).join(points.profiled(cells).drop("odd"), "node")
-    apart = (F.col("x_root") != F.col("y_root")) & ~(F.col("x_is_main") & F.col("y_is_main"))
-    small = rows.filter(F.col("size") <= SMALL)
-    few = _side(small, "x").join(_side(small, "y"), "cell").filter(possible(percent) & apart & _alike(percent))
-    share, step = percent / (100 + percent), 0.02
-    size_class = lambda n: F.floor(F.log(n) / step).cast("int")
-    large = rows.filter(F.col("size") > SMALL)
-    most = F.least(F.col("x_n"), F.floor((F.col("x_n") - F.col("x_pos")) / share - F.col("x_n") + 1e-6))
-    least = F.greatest(F.lit(1), F.ceil(F.col("x_n") * (percent / 100) - 1e-9))
-    probes = _side(large, "x").filter(most >= least).withColumn("class", F.explode(F.sequence(size_class(least), size_class(most))))
-    short = _side(large.filter(F.col("n") - F.col("pos") >= F.ceil(2 * share * F.col("n") - 1e-9)), "y").withColumn("class", size_class(F.col("y_n")))
-    many = probes.join(short, ["cell", "class"]).filter(possible(percent) & apart & _alike(percent))
-    pair = lambda p: p.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b"))
-    return pair(few).filter("a <> b").union(pair(many).filter("a <> b")).distinct()
-
-
-def _with_size(cells: DataFrame) -> DataFrame:
-    """Rows (`cell, node, n, pos, root`) of cells with two components or more, with the `size` of the cell and its largest component, `main`."""
-    parts = cells.groupBy("cell", "root").agg(F.count("*").alias("c"))
-    mixed = parts.groupBy("cell").agg(F.count("*").alias("roots"), F.sum("c").alias("size"), F.max_by("root", F.struct("c", "root")).alias("main")).filter("roots > 1").drop("roots")
-    return cells.join(mixed, "cell")
-
-
-def _divided(cells: DataFrame, pivots: DataFrame, near_pivot: DataFrame, radius: float) -> DataFrame:
-    """The children of cells: each set in its nearest pivot's cell and in those of the window, or in the outer cell."""
-    beside = cells.join(pivots, "cell").withColumnRenamed("node", "a").join(near_pivot.select("a", "b", "d"), ["a", "b"], "left")
-    d = F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.coalesce("d", F.lit(1.0)))
-    each = beside.groupBy("cell", "a").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("size").alias("parent"), F.collect_list(F.struct(d.alias("d"), F.col("b").alias("b"))).alias("to"))  # at most FAN
-    m = F.array_min(F.transform("to", lambda t: t.getField("d")))
-    inner = F.filter("to", lambda t: (t.getField("d") < 1) & (t.getField("d") <= F.col("m") + radius + 1e-9))
-    homes = F.concat(F.transform(inner, lambda t: t.getField("b")), F.when(F.col("m") >= 1 - radius - 1e-9, F.array(F.lit(-1).cast("long"))).otherwise(F.array().cast("array<long>")))
-    out = each.withColumn("m", m).withColumn("home", F.explode(homes))
-    return out.select(F.xxhash64("cell", "home").alias("cell"), F.col("a").alias("node"), "n", "pos", "parent")
+
+def _sized(cells: DataFrame) -> DataFrame:
+    """Rows of cells with two components or more and a set that is at home there, with the `size` of the cell and its largest component, `main`."""
+    parts = cells.groupBy("cell", "root").agg(F.count("*").alias("c"), F.max("own").alias("o"))
+    mixed = parts.groupBy("cell").agg(F.count("*").alias("roots"), F.max("o").alias("o"), F.sum("c").alias("size"), F.max_by("root", F.struct("c", "root")).alias("main")).filter("roots > 1 AND o").drop("roots", "o")
+    return cells.drop("size", "main").join(mixed, "cell")
+
+
+def _by_size(cells: DataFrame, percent: int) -> DataFrame:
+    """Cells divided by the distance to the empty set: a set is at home in its size class, and a guest in the next smaller one."""
+    step = float(np.log(100 / percent)) + 1e-9
+    c = F.floor(F.log(F.col("n").cast("double")) / step).cast("int")
+    homes = cells.withColumn("home", F.explode(F.array(F.struct(c.alias("c"), F.lit(True).alias("own")), F.struct((c - 1).alias("c"), F.lit(False).alias("own")))))
+    return homes.select(F.xxhash64("cell", "home.c").alias("cell"), "node", "n", "pos", "home.own", "root")
+
+
+def _pairs(cells: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs `a, b` that meet in cells and that sizes, places and profiles leave possible; none inside one component."""
+    rows = cells.withColumn("is_main", F.col("root") == F.col("main"))
+    side = lambda x: rows.select("cell", *[F.col(c).alias(f"{x}_{c}") for c in ("node", "n", "pos", "own", "root", "is_main", "profile")])
+    met = side("x").join(side("y").filter("y_own"), "cell").filter(possible(percent) & (F.col("x_root") != F.col("y_root")) & ~(F.col("x_is_main") & F.col("y_is_main")))
+    met = met.filter(_distance() <= _width(percent, F.col("x_n") + F.col("y_n")))
+    return met.select(F.greatest("x_node", "y_node").alias("a"), F.least("x_node", "y_node").alias("b")).distinct()
+
+
+def _divided(cells: DataFrame, pivots: DataFrame, percent: int) -> DataFrame:
+    """The children of cells, with their `parent`: each set in its nearest pivot's cell and in those of the window."""
+    to = F.struct(_distance("", "p_").alias("d"), F.col("b"))
+    each = cells.join(pivots, "cell").groupBy("cell", "node", "own").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.collect_list(to).alias("to"))  # at most FAN
+    reach = F.array_min(F.transform("to", lambda t: t.getField("d"))) + F.col("n") * (100 - percent) / percent + 1e-9
+    homes = each.withColumn("reach", reach).withColumn("home", F.explode(F.expr("filter(to, t -> t.d <= reach)")))
+    return homes.select(F.xxhash64("cell", "home.b").alias("cell"), "node", "n", "pos", "own", F.col("cell").alias("parent"))
 
 
 def near_links(points: Points, percent: int) -> DataFrame:
     """Links `a, b` between set hashes that have the components of all pairs with a similarity of `percent` or more."""
     members = members_of(points, percent)
     sized = members.groupBy("cell").agg(F.count("*").alias("size"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("cell", "size")
-    whole = members.join(sized, "cell").withColumns({"root": F.col("node"), "main": F.lit(None).cast("long")})
-    columns = ("cell", "node", "n", "pos", "root", "main", "size")
-    pairs = written(_pairs(whole.filter(F.col("size") <= SMALL), points, percent), "small-pairs")
-    active = written(whole.filter(F.col("size") > SMALL).select(*columns), "cells")
+    whole = members.join(sized, "cell").withColumns({"root": F.col("node"), "own": F.lit(True)})
+    cells = whole.filter(F.col("size") <= SMALL).select("cell", "node", "n", "pos", "own", "root")
+    cells = cells.unionByName(_by_size(whole.filter(F.col("size") > SMALL), percent))
+    cells = written(_sized(cells).withColumn("main", F.lit(None).cast("long")), "cells")
+    profiles = points.profiled(cells)
     release(members)
-    points.make(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).union(active.select("node")))
-    links = points.near(pairs)
-    release(pairs)
-    odd = written(points.profiled(active).select("node", "odd"), "odd")
-    left: list[DataFrame] = []
-    fan = 1  # every set is its own component yet: one pivot a cell first makes one component of a group of near copies
+    plain, cells = cells, written(cells.join(profiles, "node"), "profiled-cells")
+    release(plain)
+    left = [cells.filter(F.col("size") <= SMALL).withColumn("main", F.lit(0).cast("long")).select(*COLUMNS)]  # nothing is known of them yet
+    active, links, fan = cells.filter(F.col("size") > SMALL), None, 1
     while not active.isEmpty():
         # The same order in every cell, so that the cells of one group of near copies choose the same pivots, from its centre.
-        slot = F.pmod(F.hash("root"), F.lit(fan))
-        central = F.struct("odd", F.hash("node"), "node")
-        pivots = written(active.join(odd, "node").groupBy("cell", slot.alias("slot")).agg(F.min_by("node", central).alias("b")).select("cell", "b"), "pivots")
-        pairs = active.select("cell", F.col("node").alias("a")).join(pivots, "cell").filter("a <> b").select("a", "b").distinct()
-        pairs = written(pairs, "pivot-pairs")
-        near_pivot = written(points.measured(pairs), "distances")
-        known = links
-        links = written(links.union(near_pivot.filter("near").select("a", "b")), "near")
-        children = _divided(active, pivots, near_pivot, 1 - percent / 100)
+        slot, central = F.pmod(F.hash("root"), F.lit(fan)), F.struct("odd", F.hash("node"), "node")
+        pivots = active.filter("own").groupBy("cell", slot.alias("slot")).agg(F.min_by("node", central).alias("b"), F.min_by("n", central).alias("p_n"), F.min_by("root", central).alias("p_root"), F.min_by("profile", central).alias("p_profile"))
+        pivots = written(pivots.drop("slot"), "pivots")
+        beside = active.join(pivots, "cell").filter((F.col("root") != F.col("p_root")) & (_distance("", "p_") <= _width(percent, F.col("n") + F.col("p_n"))))
+        pairs = written(beside.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct(), "pivot-pairs")
+        found = points.near(pairs)
+        known, links = links, written(found if links is None else links.union(found), "links")
         roots = connected(links)
-        children = children.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        children = written(_with_size(children).select(*columns, "parent"), "cells")
-        release(known, active, pairs, pivots, near_pivot)
-        again = (F.col("size") > SMALL) & (F.col("size") <= SHRINK * F.col("parent"))
-        left.append(children.filter(~again).select(*columns))
-        active, fan = children.filter(again).select(*columns), FAN
-    if left:
-        pairs = written(_pairs(reduce(DataFrame.unionByName, left), points, percent), "pairs")
-        links = links.union(points.near(pairs))
-    return links
+        rooted = lambda c: c.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        before = active
+        active = written(_sized(rooted(active)).select(*COLUMNS, "odd"), "cells")
+        if fan > 1:  # the first pivot of a cell only makes one component of a group of near copies
+            children = written(_divided(active.filter(F.col("size") > SMALL), pivots, percent), "children")
+            shares = children.groupBy("parent", "cell").agg(F.count("*").alias("c")).groupBy("parent").agg(F.max("c").alias("c"))
+            whole_cells = active.join(shares.withColumnRenamed("parent", "cell"), "cell", "left")
+            stays = F.coalesce(F.col("c") > SHRINK * F.col("size"), F.lit(True))
+            left.append(written(whole_cells.filter(stays).select(*COLUMNS), "undivided"))
+            keep = active.select("node", "own", "root", "odd", "profile", F.col("cell").alias("parent"))
+            parts = children.join(whole_cells.filter(~stays).select(F.col("cell").alias("parent")).distinct(), "parent", "left_semi").join(keep, ["parent", "node", "own"])
+            parts = written(_sized(parts.drop("parent")).select(*COLUMNS, "odd"), "cells")
+            left.append(parts.filter(F.col("size") <= SMALL).select(*COLUMNS))
+            release(children, active)
+            active = parts.filter(F.col("size") > SMALL)
+        else:
+            left.append(active.filter(F.col("size") <= SMALL).select(*COLUMNS))
+            active = active.filter(F.col("size") > SMALL)
+        release(pairs, pivots, found, *([] if known is None else [known]), *([] if fan == 1 else [before]))
+        fan = FAN
+    found = points.near(written(_pairs(reduce(DataFrame.unionByName, left), percent), "pairs"))
+    return found if links is None else links.union(found)
 
 
 def jaccard_join(docs: DataFrame, percent: int = 80, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
