@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Mapping, Sequence
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 def _fold_table(last: int = 0x24FF) -> tuple[str, str]:
     """Letters whose compatibility decomposition is one other letter and combining marks, then the marks, which go."""
     source, target, marks = [], [], []
-    for c in map(chr, range(0x80, last)):
+    for c in map(chr, [*range(0x80, last), *range(0xFF01, 0xFF5F)]):
         if unicodedata.combining(c):
             marks.append(c)
             continue
@@ -26,12 +27,23 @@ def _fold_table(last: int = 0x24FF) -> tuple[str, str]:
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FOLD = _fold_table()
 #: Other spellings of makes. Fixed values.
-MAKE_ALIASES = {"vw": "volkswagen", "chevy": "chevrolet", "mercedes": "mercedes benz"}
+MAKE_ALIASES = {"vw": "volkswagen", "chevy": "chevrolet", "mercedesbenz": "mercedes benz"}
+
+
+#: Characters whose compatibility form is several letters, and that form. Fixed values.
+EXPANDED = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st", "\u00bd": "1 2", "\u00bc": "1 4", "\u00be": "3 4", "\u0132": "ij", "\u0133": "ij", "\u01c4": "dz", "\u01c6": "dz", "\u2122": "tm", "\u2116": "no"}
+
+
+def _expanded(c: Column) -> Column:
+    out = c
+    for old, new in EXPANDED.items():
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return F.when(c.rlike(f"[{''.join(EXPANDED)}]"), out).otherwise(c)
 
 
 def canonical_text(c: Column) -> Column:
     """Accents off, lower case, anything but a-z and 0-9 to one space, trimmed; null gives an empty text."""
-    return F.coalesce(F.trim(F.regexp_replace(F.lower(F.translate(c, *FOLD)), "[^a-z0-9]+", " ")), F.lit(""))
+    return F.coalesce(F.trim(F.regexp_replace(F.lower(F.translate(_expanded(c), *FOLD)), "[^a-z0-9]+", " ")), F.lit(""))
 
 
 def comparison_make(c: Column, aliases: Mapping[str, str] = MAKE_ALIASES) -> Column:
@@ -54,13 +66,71 @@ def entity_id(*parts: Column) -> Column:
 
 
 def keyword_class(text: Column, classes: Sequence[tuple[str, Sequence[str]]], otherwise: str = "unclassified") -> Column:
-    """The first class with one of whose words, or its plural, the text has as a whole word."""
-    out = F.lit(otherwise)
+    """The first class with one of whose words, or its plural, the canonical text has as a whole word; "air bag" is "airbag"."""
+    plain, out = F.replace(canonical_text(text), F.lit("air bag"), F.lit("airbag")), F.lit(otherwise)
     for name, words in reversed(classes):
-        out = F.when(F.coalesce(F.lower(text), F.lit("")).rlike(rf"\b(?:{'|'.join(words)})s?\b"), name).otherwise(out)
+        out = F.when(plain.rlike(rf"\b(?:{'|'.join(map(re.escape, words))})s?\b"), name).otherwise(out)
     return out
 
 
+def blank_to_null(c: Column) -> Column:
+    """White space to single spaces, trimmed; nothing left is null."""
+    return F.nullif(F.trim(F.regexp_replace(c, "\\s+", " ")), F.lit(""))
+
+
+def literal_key(c: Column) -> Column:
+    """Lower case with single spaces: no accents or signs are folded."""
+    return F.lower(F.trim(F.regexp_replace(c, "\\s+", " ")))
+
+
+def display_or_key(c: Column, default: str = "sin_categoria") -> Column:
+    """The category key of the data layer: canonical text, or the default."""
+    return F.coalesce(F.nullif(canonical_text(c), F.lit("")), F.lit(default))
+
+
+def model_category(c: Column, default: str = "sin_categoria") -> Column:
+    """The category key of the model layer: lower case and trimmed, accents kept."""
+    return F.coalesce(F.nullif(F.lower(F.trim(c)), F.lit("")), F.lit(default))
+
+
+def description_of(*parts: Column) -> Column:
+    """Parts joined by one space; a missing one is an empty text and keeps its place."""
+    return F.concat_ws(" ", *[F.coalesce(p, F.lit("")) for p in parts])
+
+
+def flag(c: Column) -> Column:
+    """A flag written as a word; anything else, and null, is false."""
+    return F.coalesce(F.lower(F.trim(c.cast("string"))).isin("true", "1", "yes", "si", "sí"), F.lit(False))
+
+
+def request_digest(*parts: Column) -> Column:
+    """Twelve hex digits that name a request, whatever the case of its parts."""
+    return F.substring(F.sha2(F.concat_ws("\u001f", *[F.lower(F.coalesce(p.cast("string"), F.lit(""))) for p in parts]), 256), 1, 12)
+
+
+#: What a reviewer is advised to do. Fixed values.
+ADVICE = ("rechazar: puntuacion inferior al umbral de revision", "revisar: aceptar solo si la diferencia es una subversion o acabado", "revisar: rechazar salvo evidencia documental de que ambos nombres son el mismo modelo")
+
+
+def review_advice(score: Column, root: Column, other_root: Column, manual: int = 75) -> Column:
+    return F.when(score < manual, ADVICE[0]).when((root != "") & (root == other_root), ADVICE[1]).otherwise(ADVICE[2])
+
+
+def direction(effect: Column) -> Column:
+    return F.when(effect > 1e-9, "aumenta_indice").when(effect < -1e-9, "reduce_indice").otherwise("sin_efecto_apreciable")
+
+
+def first_text(*aliases: Column) -> Column:
+    """The first alias, in order of priority, that is not blank."""
+    return F.coalesce(*[blank_to_null(a) for a in aliases])
+
+
+def column_name(name: str) -> str:
+    """A column's canonical name: `Engine HP` becomes `engine_hp`."""
+    bare = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c))
+    return re.sub("[^a-z0-9]+", "_", bare.lower()).strip("_")
+
+
 def class_weight(name: Column, weights: Mapping[str, float], otherwise: float = 1.0) -> Column:
     table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
     return F.coalesce(table[name], F.lit(otherwise))

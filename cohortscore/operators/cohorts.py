@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortscore.functions.text import canonical_text
+
 
 def aggregate_specs(rows: DataFrame, keys: list[str], numbers: list[str], category: str) -> DataFrame:
     """Per entity: medians and counts of what was observed, never imputed; the commonest category, the smallest on ties."""
@@ -14,9 +16,15 @@ def aggregate_specs(rows: DataFrame, keys: list[str], numbers: list[str], catego
     return rows.groupBy(*keys).agg(*aggs)
 
 
-def best_of_campaign(events: DataFrame, entity: str, campaign: str, weight: str, order: list[str]) -> DataFrame:
-    """One event per entity and campaign: the heaviest, then the first in source order. Ties need a full order."""
-    at = Window.partitionBy(entity, campaign).orderBy(F.desc(weight), *order)
+def best_of_campaign(events: DataFrame, entity: str, campaign: str, weight: str, order: list[str], description: str | None = None) -> DataFrame:
+    """One event per entity and campaign: the heaviest, then the first in source order. Ties need a full order.
+
+    Events without a campaign are told apart by their canonical `description`; without one they are one campaign.
+    """
+    key = F.nullif(F.trim(F.col(campaign).cast("string")), F.lit(""))
+    if description:
+        key = F.coalesce(key, F.concat(F.lit("description:"), canonical_text(F.col(description))))
+    at = Window.partitionBy(entity, key).orderBy(F.desc(weight), *order)
     return events.withColumn("_n", F.row_number().over(at)).filter("_n = 1").drop("_n")
 
 
@@ -36,9 +44,14 @@ def mature(year: Column, as_of: str, years: int = 3) -> Column:
     return F.lit(as_of).cast("date") >= F.make_date(year + years, F.lit(1), F.lit(1))
 
 
-def lagged_history(rows: DataFrame, brand: str, year: str, value: str, gap: int = 3, lookback: int = 3) -> DataFrame:
-    """Per brand and year: mean of the brand's yearly means in [y - gap - lookback + 1, y - gap], else the market's, and which."""
+def lagged_history(rows: DataFrame, brand: str, year: str, value: str, gap: int = 3, lookback: int = 3, asked: DataFrame | None = None) -> DataFrame:
+    """Per brand and year: mean of the brand's yearly means in [y - gap - lookback + 1, y - gap], else the market's, and which.
+
+    `asked` (brand, year) adds years without rows, so that a cohort without a label has its history too.
+    """
     yearly = rows.groupBy(brand, year).agg(F.avg(value).alias("mean"))
+    if asked is not None:
+        yearly = yearly.unionByName(asked.select(brand, year).distinct().join(yearly.select(brand, year), [brand, year], "left_anti").withColumn("mean", F.lit(None).cast("double")))
     frame = Window.orderBy(year).rangeBetween(-(gap + lookback - 1), -gap)
     own = yearly.withColumn("own", F.avg("mean").over(frame.partitionBy(brand)))
     by_year = yearly.groupBy(year).agg(F.sum("mean").alias("s"), F.count("mean").alias("c"))  # one row a year: the frame below sorts those only

@@ -137,8 +137,9 @@ def version_diff(spark, d):
 NAMES = (canonical_text_docs, entity_keys, model_root, severity_class, spec_aggregate, campaign_dedupe, severity_window_score, severity_crosstab, cohort_maturity, brand_history, segment_index, temporal_split, group_mean_errors, coverage_sets, config_conflicts, eda_summary, category_quantiles, segment_context, payload_rows, version_diff)
 QUERIES = {f.__name__: f for f in NAMES}
 
-_CLASS = "CASE WHEN regexp_matches(lower(p_name), '\\b(?:hot|old)s?\\b') THEN 'critical' WHEN regexp_matches(lower(p_name), '\\b(?:red|blue)s?\\b') THEN 'moderate' WHEN regexp_matches(lower(p_name), '\\b(?:small|large)s?\\b') THEN 'low' ELSE 'unclassified' END"
 _CANON = lambda c: f"trim(regexp_replace(lower(strip_accents({c})), '[^a-z0-9]+', ' ', 'g'))"
+_PLAIN = f"replace({_CANON('p_name')}, 'air bag', 'airbag')"
+_CLASS = f"CASE WHEN regexp_matches({_PLAIN}, '\\b(hot|old)s?\\b') THEN 'critical' WHEN regexp_matches({_PLAIN}, '\\b(red|blue)s?\\b') THEN 'moderate' WHEN regexp_matches({_PLAIN}, '\\b(small|large)s?\\b') THEN 'low' ELSE 'unclassified' END"
 _JOINED = lambda c: f"regexp_replace(regexp_replace({_CANON(c)}, '([a-z]) ([0-9])', '\\1\\2', 'g'), '([0-9]) ([a-z])', '\\1\\2', 'g')"
 _BASE = f"""WITH o AS (SELECT o_orderkey, o_custkey AS c_custkey, year(o_orderdate) AS y, o_totalprice, cast(substr(o_orderpriority, 1, 1) AS int) AS prio, c_mktsegment, n_name AS brand
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),

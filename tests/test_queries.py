@@ -30,7 +30,7 @@ def test_against_sql(spark, db, name):
 
 def test_severity_words(spark):
     classes = (("critical", ("engine", "brake")), ("moderate", ("airbag",)))
-    df = spark.createDataFrame([("engineered paint finish",), ("brakes hydraulic",), ("airbags failure",), (None,)], "t string")
+    df = spark.createDataFrame([("engineered paint finish",), ("brakes hydraulic defect",), ("air bags failure",), (None,)], "t string")
     assert [r[0] for r in df.select(T.keyword_class(F.col("t"), classes)).collect()] == ["unclassified", "critical", "moderate", "unclassified"]
 
 
