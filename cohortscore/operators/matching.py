@@ -42,27 +42,35 @@ def enforce(violations: DataFrame, what: str) -> None:
         raise ValueError(what)
 
 
-def match_entities(rows: DataFrame, catalog: DataFrame, trims: Sequence[str], auto: int = 90, manual: int = 75) -> DataFrame:
-    """`id, cand_id, score, status, root_equal, n_exact, n_best` for every row.
+def match_entities(rows: DataFrame, catalog: DataFrame, trims: Sequence[str], auto: int = 90, manual: int = 75, require_verified: bool = True) -> DataFrame:
+    """`id, cand_id, score, status, root_equal, n_exact, n_best, cand_key, advice` for every row.
 
     The best candidate of a block has the exact key, then the highest score, then the smallest key and id. Other
     numbers in the names reject it. From `auto` on it is accepted if the root names agree or the exact name is
     unique, and no other candidate is as good; from `manual` on it goes to review. Without a block: no_candidate.
+    Names are scored once per block and distinct pair, whatever the number of rows. Ids are unique and not null, and
+    every candidate has the flag of an official source, or the call fails; `require_verified` waives the flag.
     """
-    left = _keyed(rows, trims).select("id", "make_key", "year", "key", "root")
-    right = _keyed(catalog, trims, "c_").select("make_key", "year", "cand_id", "c_key", "c_root")
-    pairs = with_similarity(left.join(right, ["make_key", "year"]), "key", "c_key")
+    enforce(duplicate_keys(rows, "id"), "an id is null or occurs twice")
+    enforce(duplicate_keys(catalog, "cand_id"), "a candidate id is null or occurs twice")
+    if require_verified:
+        enforce(unverified(catalog), "a candidate is not verified")
+    name = ["make_key", "year", "key", "root"]
+    left = _keyed(rows, trims).select("id", *name)
+    names = left.select(*name).distinct()
+    right = _keyed(catalog, trims, "c_").groupBy("make_key", "year", "c_key", "c_root").agg(F.count("*").alias("of"), F.min("cand_id").alias("cand_id"))
+    pairs = with_similarity(names.join(right, ["make_key", "year"]), "key", "c_key")
     best = F.struct((F.col("key") != F.col("c_key")).alias("other"), F.col("c_key"), F.col("cand_id"), F.col("c_root"))
-    levels = pairs.groupBy("id", "root", "score").agg(F.count("*").alias("n"), F.count_if(F.col("key") == F.col("c_key")).alias("exact"), F.min(best).alias("b"))
+    levels = pairs.groupBy(*name, "score").agg(F.sum("of").alias("n"), F.sum(F.when(F.col("key") == F.col("c_key"), F.col("of")).otherwise(0)).alias("exact"), F.min(best).alias("b"))
     order = F.struct("b.other", -F.col("score"), "b.c_key", "b.cand_id", "b.c_root", "score", "n")
-    chosen = levels.groupBy("id", "root").agg(F.min(order).alias("o"), F.sum("exact").alias("n_exact"))
-    chosen = chosen.select("id", "root", "n_exact", F.col("o.cand_id"), F.col("o.score"), F.col("o.n").alias("n_best"), F.col("o.c_root"), (~F.col("o.other")).alias("is_exact"))
+    chosen = levels.groupBy(*name).agg(F.min(order).alias("o"), F.sum("exact").alias("n_exact"))
+    chosen = chosen.select(*name, "n_exact", F.col("o.cand_id"), F.col("o.score"), F.col("o.n").alias("n_best"), F.col("o.c_root"), F.col("o.c_key").alias("cand_key"), (~F.col("o.other")).alias("is_exact"))
     root_equal = (F.col("root") != "") & (F.col("root") == F.col("c_root"))
     ambiguous = (F.col("n_exact") > 1) | (~F.col("is_exact") & (F.col("n_best") > 1))
     sure = (F.col("score") >= auto) & (root_equal | F.col("is_exact") & (F.col("n_exact") == 1)) & ~ambiguous
     status = F.when(T.digits_of(F.col("root")) != T.digits_of(F.col("c_root")), "rejected").when(sure, "auto_accepted").when(F.col("score") >= manual, "manual_review").otherwise("rejected")
-    decided = chosen.select("id", "cand_id", "score", status.alias("status"), root_equal.alias("root_equal"), "n_exact", "n_best")
-    return rows.select("id").join(decided, "id", "left").na.fill({"status": "no_candidate"})
+    decided = chosen.select(*name, "cand_id", "score", status.alias("status"), root_equal.alias("root_equal"), "n_exact", "n_best", "cand_key", T.review_advice(F.col("score"), F.col("root"), F.col("c_root"), manual).alias("advice"))
+    return left.join(decided, name, "left").drop(*name).na.fill({"status": "no_candidate"})
 
 
 def match_summary(matches: DataFrame, alarm: float = 0.4) -> DataFrame:

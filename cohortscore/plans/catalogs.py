@@ -105,7 +105,7 @@ def resolution_summary(spark, d):
 
 def cohort_trend(spark, d):
     index = Q.segment_index(spark, d).join(Q._orders(spark, d).select("o_orderkey", "y", "brand"), "o_orderkey")
-    return index.groupingSets([[F.col("y")], [F.col("brand"), F.col("y")]], F.col("brand"), F.col("y")).agg(F.count("*").alias("n"), F.round(F.avg("index_100"), 3).alias("mean_index"))
+    return index.groupingSets([[F.col("y")], [F.col("brand"), F.col("y")]], F.col("brand"), F.col("y")).agg(F.count("*").alias("n"), F.round(F.avg("index_100") + 1e-7, 3).alias("mean_index"))  # means of rounded values may lie halfway: the shift is on both sides
 
 
 def corr_matrix(spark, d):
@@ -169,7 +169,7 @@ ORACLE = {
     "identity_responses": _IDENT + "SELECT i.p_partkey, CASE WHEN identity_status <> 'exact_independent_identity' THEN 'not_queried' WHEN i.p_partkey % 5 = 0 OR year = 50 THEN 'query_failed' WHEN year > 20 THEN 'campaigns_returned_review_required' ELSE 'empty_response_identity_only' END AS recall_query_status FROM i",
     "exclusion_counts": _IDENT + "SELECT identity_status, count(*) AS n FROM i WHERE year >= 20 GROUP BY 1",
     "resolution_summary": _IDENT + "SELECT identity_status, make, year, count(*) AS n, count(DISTINCT model) AS n_distinct FROM i GROUP BY GROUPING SETS ((identity_status), (identity_status, make), (identity_status, year))",
-    "cohort_trend": Q._BASE + ", s AS (SELECT c_mktsegment, avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS d FROM o WHERE y <= 1998 GROUP BY 1), x AS (SELECT brand, y, round(greatest(0, least(100, 50 - 10 * (o_totalprice - m) / d)), 4) AS v FROM o JOIN s USING (c_mktsegment)) SELECT brand, y, count(*) AS n, round(avg(v), 3) AS mean_index FROM x GROUP BY GROUPING SETS ((y), (brand, y))",
+    "cohort_trend": Q._BASE + ", s AS (SELECT c_mktsegment, avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS d FROM o WHERE y <= 1998 GROUP BY 1), x AS (SELECT brand, y, round(greatest(0, least(100, 50 - 10 * (o_totalprice - m) / d)), 4) AS v FROM o JOIN s USING (c_mktsegment)) SELECT brand, y, count(*) AS n, round(avg(v) + 1e-7, 3) AS mean_index FROM x GROUP BY GROUPING SETS ((y), (brand, y))",
     "corr_matrix": "WITH t AS (SELECT *, CASE WHEN l_returnflag <> 'R' THEN l_tax END AS tax FROM lineitem) " + " UNION ALL ".join(f"SELECT '{a.replace('tax', 'l_tax')}' AS a, '{b.replace('tax', 'l_tax')}' AS b, round(corr({a}, {b}), 5) AS r, count(*) FILTER ({a} IS NULL) + count(*) FILTER ({b} IS NULL) AS n_null FROM t" for i, a in enumerate(_NUMBERS) for b in _NUMBERS[i + 1 :]),
     "status_summary": Q._BASE + "SELECT count(*) AS n, min(y) AS first, max(y) AS last, bool_or(prio = 1) AS any_urgent, bool_and(o_totalprice > 0) AS all_priced FROM o",
     "last_entries": Q._BASE + "SELECT c_custkey, y, brand, row_number() OVER (PARTITION BY c_custkey ORDER BY y DESC, brand DESC) AS place FROM (SELECT DISTINCT c_custkey, y, brand FROM o) QUALIFY place <= 2",

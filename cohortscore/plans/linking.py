@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortscore.functions import text as T
 from cohortscore.operators import audits as A
 from cohortscore.operators import cohorts as C
 from cohortscore.operators import matching as M
@@ -90,8 +91,25 @@ QUERIES = {f.__name__: f for f in NAMES}
 _ID = "c_custkey || '_' || y"
 _WEIGHTS = ", ".join(f"('{name}', " + ", ".join(f"{w[c]}::double" for c in ("critical", "moderate", "low", "unclassified")) + ")" for name, w in SCENARIOS.items())
 _LIMBS = " || '-' || ".join(f"sum(('0x' || substr(h, {1 + 16 * i}, 15))::bigint)::varchar" for i in range(4))
-#: entity_match, match_summary and inventory_resolution: tests hold them against brute force.
+_LCS = lambda x, y: f"list_reduce(string_split({x}, ''), lambda above, ch: list_reduce(range(1, length({y}) + 1), lambda done, j: list_append(done, CASE WHEN substr({y}, j, 1) = ch THEN above[j] + 1 ELSE greatest(above[j + 1], done[-1]) END), [0::bigint]), list_transform(range(0, length({y}) + 1), lambda z: 0::bigint))[-1]"
+_R = lambda x, y: f"2.0::double * {_LCS(x, y)} / (length({x}) + length({y}))"
+_SETS = """ d AS (SELECT *, list_sort(list_intersect(wa, wb)) AS s, list_sort(list_filter(wa, lambda w: NOT list_contains(wb, w))) AS oa, list_sort(list_filter(wb, lambda w: NOT list_contains(wa, w))) AS ob
+    FROM (SELECT *, list_distinct(string_split(key, ' ')) AS wa, list_distinct(string_split(c_key, ' ')) AS wb FROM names)),
+  t AS (SELECT *, array_to_string(s, ' ') AS j, trim(array_to_string(s, ' ') || ' ' || array_to_string(oa, ' ')) AS pa, trim(array_to_string(s, ' ') || ' ' || array_to_string(ob, ' ')) AS pb FROM d),"""
+_SIDES = f"""WITH r AS (SELECT p_partkey AS id, {Q._CANON('p_brand')} AS mk, p_size AS year, p_brand, p_name, {Q._JOINED('p_name')} AS key FROM part WHERE NOT regexp_matches(p_type, '^{COVERED}')),
+  c AS (SELECT p_partkey AS cand_id, {Q._CANON('p_brand')} AS mk, p_size AS year, {Q._JOINED('p_name')} AS c_key FROM part WHERE regexp_matches(p_type, '^{COVERED}')),
+  names AS (SELECT DISTINCT key, c_key FROM r JOIN c USING (mk, year)),{_SETS}
+  sim AS (SELECT key, c_key, CASE WHEN len(oa) = 0 AND len(ob) = 0 OR j <> '' AND (len(oa) = 0 OR len(ob) = 0) THEN 100 ELSE round_even(100 * CASE WHEN j = '' THEN {_R('pa', 'pb')} ELSE greatest({_R('pa', 'pb')}, {_R('j', 'pa')}, {_R('j', 'pb')}) END, 0)::int END AS score FROM t),
+  pr AS (SELECT r.id, r.key, c.cand_id, c.c_key, sim.score, key <> c_key AS other FROM r JOIN c USING (mk, year) JOIN sim USING (key, c_key)),
+  b AS (SELECT *, count(*) OVER (PARTITION BY id, score) AS n_best, count(*) FILTER (NOT other) OVER (PARTITION BY id) AS n_exact FROM pr QUALIFY row_number() OVER (PARTITION BY id ORDER BY other, score DESC, c_key, cand_id) = 1),
+  ro AS (SELECT *, array_to_string(list_filter(string_split(key, ' '), lambda t: t NOT IN ('small', 'large', 'new', 'old')), ' ') AS root, array_to_string(list_filter(string_split(c_key, ' '), lambda t: t NOT IN ('small', 'large', 'new', 'old')), ' ') AS c_root FROM b),
+  m AS (SELECT r.id, cand_id, score, root <> '' AND root = c_root AS root_equal, n_exact::bigint AS n_exact, n_best, c_key AS cand_key,
+    CASE WHEN score IS NULL THEN 'no_candidate' WHEN score >= 90 AND (root <> '' AND root = c_root OR NOT other AND n_exact = 1) AND NOT (n_exact > 1 OR other AND n_best > 1) THEN 'auto_accepted' WHEN score >= 75 THEN 'manual_review' ELSE 'rejected' END AS status,
+    CASE WHEN score < 75 THEN '{T.ADVICE[0]}' WHEN root <> '' AND root = c_root THEN '{T.ADVICE[1]}' WHEN score IS NOT NULL THEN '{T.ADVICE[2]}' END AS advice FROM r LEFT JOIN ro USING (id)) """
 ORACLE = {
+    "entity_match": _SIDES + "SELECT * FROM m",
+    "match_summary": _SIDES + "SELECT count(*) AS n, count(*) FILTER (status = 'auto_accepted') AS accepted, count(*) FILTER (status = 'manual_review') AS manual_review, count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'no_candidate') AS no_candidate, round(1 - count(*) FILTER (status = 'auto_accepted') / count(*), 6) AS loss_rate, 1 - count(*) FILTER (status = 'auto_accepted') / count(*) > 0.4 AS alarm FROM m",
+    "inventory_resolution": _SIDES + ", v AS (SELECT DISTINCT p_brand, p_name, mk, year, key FROM r), k AS (SELECT v.p_brand, v.p_name, v.year, count(c.cand_id) AS pool, count(*) FILTER (v.key = c.c_key) AS e, min(cand_id) FILTER (v.key = c.c_key) AS e_id, count(*) FILTER (score >= 75) AS s FROM v LEFT JOIN c ON v.mk = c.mk AND v.year = c.year LEFT JOIN sim ON v.key = sim.key AND c.c_key = sim.c_key GROUP BY 1, 2, 3) SELECT p_brand AS make, p_name AS model, year, CASE WHEN pool = 0 THEN 'no_same_make_year' WHEN e = 1 THEN 'exact_name' WHEN e > 1 THEN 'ambiguous_name' WHEN s > 0 THEN 'manual_review' ELSE 'no_model_match' END AS status, CASE WHEN e = 1 THEN e_id END AS cand_id, CASE WHEN e > 0 THEN e ELSE s END AS n_candidates FROM k",
     "two_stage_lookup": f"""WITH p AS (SELECT p_partkey, p_brand AS make, p_name AS model, p_size AS year FROM part),
       a AS (SELECT DISTINCT upper(make) AS make, CASE WHEN year % 2 = 0 THEN replace(model, ' ', '-') ELSE upper(model) END AS model, year + CASE WHEN year > 45 THEN 5 ELSE 0 END AS year FROM p),
       l AS (SELECT lower(make) AS m, lower(model) AS l, year, count(*) AS n1, min(p_partkey) AS c1 FROM p GROUP BY 1, 2, 3),

@@ -28,7 +28,7 @@ def baseline_shapley(spark, d):
     later = rows.filter(f"y > {TRAIN_END}").select("o_orderkey", "brand", "c_mktsegment")
     predict = lambda r: C.hierarchical_mean(r, train, "brand", "c_mktsegment", "o_totalprice")
     out = M.shapley_values(later, "o_orderkey", _reference(train), predict)
-    return out.select("o_orderkey", *[F.round(c, 4).alias(c) for c in ("base", "predicted", "effect_brand", "effect_c_mktsegment")])
+    return out.select("o_orderkey", *[F.round(F.col(c) + 1e-7, 4).alias(c) for c in ("base", "predicted", "effect_brand", "effect_c_mktsegment")])
 
 
 def mature_reference(spark, d):
