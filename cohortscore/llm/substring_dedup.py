@@ -8,6 +8,7 @@ as many tasks as its readers need; so no document meets the shards it has nothin
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortscore.llm.shared import in_slices, written
-from cohortscore.llm.shingle_words import window_hashes, word_hashes, word_lists
+from cohortscore.llm.shingle_words import hashed_texts, window_hashes, word_hashes, word_lists
 
 #: Words of the bitmap that picks documents before a shuffle: its broadcast has this size.
 BITMAP = 1 << 17
@@ -92,29 +93,35 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def seeds(rows: DataFrame, window: int) -> DataFrame:
-    """`seed, id, uid, pos`: of every window of words, the run of half its length with the smallest hash.
+    """`seed, id, uid, places`: of every window of words, the run of half its length with the smallest hash.
 
-    Equal windows choose equal runs, wherever they stand, so two documents with a common window share a seed.
+    Equal windows choose equal runs, wherever they stand, so two documents with a common window share a seed. A
+    document has one row a seed, with all its places: a text that repeats itself is one reader of a passage.
     """
     half = window // 2
     reach = window - half + 1
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches):
-            found, places, take = [], [], []
-            for i, words in enumerate(word_lists(batch["text"].to_pylist())):
-                if len(words) < window:
+            found, places, many, take = [], [], [], []
+            hashes, bounds = hashed_texts(batch["text"])
+            for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+                if b - a < window:
                     continue
-                h = window_hashes(word_hashes(words), half)
+                h = window_hashes(hashes[a:b], half)
                 at = np.unique(np.lib.stride_tricks.sliding_window_view(h, reach).argmin(axis=1) + np.arange(len(h) - reach + 1))
-                found.append(h[at].view(np.int64))
-                places.append(at.astype(np.int32))
-                take.append(np.full(len(at), i))
+                order = at[np.argsort(h[at], kind="stable")]
+                new = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
+                found.append(h[order][new].view(np.int64))
+                places.append(order.astype(np.int32))
+                many.append(np.diff(np.append(new, len(order))))
+                take.append(np.full(len(new), i))
             if found:
                 rows_of = pa.array(np.concatenate(take))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), batch["id"].take(rows_of), batch["uid"].take(rows_of), pa.array(np.concatenate(places))], ["seed", "id", "uid", "pos"])
+                ends = pa.array(np.append(0, np.cumsum(np.concatenate(many))), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), batch["id"].take(rows_of), batch["uid"].take(rows_of), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(places)))], ["seed", "id", "uid", "places"])
 
-    return rows.mapInArrow(choose, f"seed long, id {dict(rows.dtypes)['id']}, uid long, pos int")
+    return rows.mapInArrow(choose, f"seed long, id {dict(rows.dtypes)['id']}, uid long, places array<int>")
 
 
 def _bits(uids: DataFrame) -> DataFrame:
@@ -147,10 +154,12 @@ def _segments(marked: DataFrame, window: int) -> DataFrame:
             for i, (words, hits) in enumerate(zip(word_lists(batch["text"].to_pylist()), batch["hits"].to_pylist())):
                 by: dict[tuple, list[int]] = {}
                 for hit in hits:
-                    by.setdefault((hit["owner"], hit["level"]), []).append(hit["pos"])
+                    by.setdefault((hit["owner"], hit["level"]), []).extend(hit["places"])
                 for (own, lv), places in by.items():
+                    places.sort()
                     own_copy = ids[i] == own
                     for a, b in _merged([(max(0, p - window + half), min(len(words), p + window)) for p in places]):
+                        inside = places[bisect_left(places, a) : bisect_left(places, b)]
                         for k in range(1 << lv) if own_copy else (uids[i] % (1 << lv),):
                             take.append(i)
                             owner.append(own)
@@ -158,7 +167,7 @@ def _segments(marked: DataFrame, window: int) -> DataFrame:
                             salt.append(k)
                             reads.append(not own_copy)
                             start.append(a)
-                            at.append([p - a for p in places if a <= p < b])
+                            at.append([p - a for p in inside])
                             text.append(b" ".join(words[a:b]))
             rows_of = pa.array(take, pa.int64())
             kind = batch.schema.field("id").type
@@ -226,8 +235,8 @@ def repeated_spans(rows: DataFrame, window: int) -> DataFrame:
     found = written(seeds(rows.filter("id IS NOT NULL"), window), "seeds")
     shared = found.groupBy("seed").agg(F.min("id").alias("owner"), F.max("id").alias("top"), F.count("*").alias("n")).filter("owner <> top")
     level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / READERS))).cast("int")
-    hits = found.join(shared.select("seed", "owner", level.alias("level")), "seed").select("uid", "pos", "owner", "level")
-    per_row = written(hits.groupBy("uid").agg(F.collect_set(F.struct("pos", "owner", "level")).alias("hits")), "seed-hits")
+    hits = found.join(shared.select("seed", "owner", level.alias("level")), "seed").select("uid", "places", "owner", "level")
+    per_row = written(hits.groupBy("uid").agg(F.collect_set(F.struct("places", "owner", "level")).alias("hits")), "seed-hits")
     some, _ = _split(rows, _bits(per_row))
     marked = some.join(per_row, "uid").select("id", "uid", "text", "hits").groupBy("uid").agg(*[F.first(c).alias(c) for c in ("id", "text", "hits")]).select("id", "uid", "text", "hits")
     out = written(_streamed(_segments(marked, window), window), "matches")

@@ -65,6 +65,17 @@ def test_empty_tables(spark, docs):
     assert packing.pack_documents(none, RANKS, P.PATTERN).count() == 0
     assert secret_scan.secret_scan(none).count() == 0
     assert bpe.token_digests(none, RANKS, P.PATTERN).count() == 0
+    assert lm_scoring.lm_scores(none, RANKS, P.PATTERN).count() == 0
+    assert html_extract.extract(docs.selectExpr("doc_id page_id", "text url", "text html").limit(0)).count() == 0
+
+
+def test_scores_of_edges(spark, edge):
+    """Nulls, repeats, a very long text and clashing names; and a table whose rows are all held out."""
+    got = Counter((r["id"], r["n_tokens"]) for r in lm_scoring.lm_scores(edge.withColumnRenamed("keep_id", "score"), RANKS, P.PATTERN, sample=5).collect())
+    assert got[3, 1] == got[4, 1] == 1 and got[2, 121] == 2 and got[8, 60_001] == 1
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0]
+    out = lm_scoring.lm_scores(spark.createDataFrame([(i, "a b c") for i in held], "doc_id long, text string"), RANKS, P.PATTERN).collect()
+    assert len(out) == len(held) and all(r["held_out"] and r["train_tokens"] == 0 and r["n_known"] == 0 and np.isfinite(r["score"]) for r in out)
 
 
 def test_quality_edges(edge):
@@ -131,6 +142,17 @@ def test_substrings(edge, docs):
         assert {r["id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring_dedup.substring_dedup(df).collect()} == want
 
 
+def test_a_text_that_repeats_itself_is_sent_once(spark):
+    """Two texts of 1.2 MB, each one period of three words throughout, and a third with another end."""
+    long = "x y z " * 200_000
+    rows = spark.createDataFrame([(1, long), (2, long), (3, long[:600_000] + " end")], "doc_id long, text string")
+    pairs = rows.selectExpr("doc_id id", "text", "xxhash64(doc_id, text) uid")
+    found = substring_dedup.seeds(pairs, 50).groupBy("seed").count().collect()
+    assert all(r["count"] <= 3 for r in found)
+    got = {r["id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.substring_dedup(rows).collect()}
+    assert got == {1: (600_000, 0), 2: (600_000, 600_000), 3: (300_001, 300_000)}
+
+
 def test_bpe_round_trip(spark, edge, docs):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
