@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -249,6 +250,35 @@ def test_html():
     assert right / total > 0.97
 
 
+def test_html_of_odd_pages(spark):
+    model = html_extract.Model.fit(html_extract.labelled_pages())
+    page = lambda inner: f"<html><body><nav><ul><li><a href=/>menu</a></li></ul></nav><article><h1>A title of words</h1><p>A first paragraph with many words in it, so that it is text.</p>{inner}</article></body></html>"
+    start = "A title of words A first paragraph with many words in it, so that it is text."
+    assert model.text(page("<p title='it's'>Hello there, this is the second paragraph of the page</p>")) == start + " Hello there, this is the second paragraph of the page"
+    assert model.text(page("<p>Some words here <span class='advert'>Buy <span>it</span> now</span> and the words go on to the end</p>")) == start + " Some words here and the words go on to the end"
+    assert model.text(page("<p>The formula <math><mi>x</mi><mo>=</mo><mn>2</mn></math> stands in the text as it is</p>")) == start + " The formula x=2 stands in the text as it is"
+    assert model.text(page("<p>Before it <iframe src=x> and after what is never closed, more words</p>")) == start + " Before it and after what is never closed, more words"
+    rows = spark.createDataFrame([(1, "u", None, "x"), (2, "u", "", "x"), (3, "u", page(""), "x"), (3, "u", page(""), "x"), (4, "u", page("<p>" + "long text of words " * 20_000 + "</p>"), "x")], "page_id long, url string, html string, text string")
+    got = sorted((r["id"], r["n_chars"]) for r in html_extract.extract(rows).collect())
+    assert got == [(1, 0), (2, 0), (3, len(start)), (3, len(start)), (4, len(start) + 1 + 20_000 * 19 - 1)]
+
+
+def test_marginals_equal_enumeration():
+    """Sum-product against the sum over all labellings of small trees."""
+    model = html_extract.Model.fit(html_extract.labelled_pages(60))
+    for page in ("<div class=ad><p>one two</p></div><article><p>three four five six</p><ul><li>a<li>b</ul></article>", "<p>x", "<nav><a href=/>go</a></nav><main><h2>t</h2><section><p>words and more words</p></section></main>"):
+        nodes, _ = html_extract.parse(page)
+        seen = html_extract.observations(nodes)
+        own = np.array([np.sum([model.seen.get(s, (0.0, 0.0)) for s in o], axis=0) for o in seen])
+        total, content = 0.0, np.zeros(len(nodes))
+        for labels in itertools.product((0, 1), repeat=len(nodes)):
+            log = model.root[labels[0]] + sum(own[i][y] for i, y in enumerate(labels))
+            log += sum(model.edge[int(n.tag in html_extract.CONTAINERS)][labels[n.parent]][labels[i]] for i, n in enumerate(nodes) if n.parent >= 0)
+            total += np.exp(log)
+            content += np.exp(log) * np.array(labels)
+        assert np.allclose(model.marginals(nodes), content / total, atol=1e-9)
+
+
 def test_secrets(spark):
     forest, transitions = secret_scan.trained()
     held = secret_scan.labelled_findings(500, 9)
