@@ -31,6 +31,33 @@ FROM c LEFT JOIN best ON c.page_id = best.page_id AND c.url = best.url LEFT JOIN
 
 
 
+#: Shingles by joining rows of words; all pairs with a common shingle; components as the closure of the links.
+OP5 = r"""
+WITH RECURSIVE t AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+u AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i, len(ws) AS n FROM t),
+v AS (SELECT doc_id, n, i, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o AS sh FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT DISTINCT doc_id, sh FROM v WHERE sh IS NOT NULL UNION SELECT doc_id, array_to_string(ws, ' ') FROM t WHERE len(ws) BETWEEN 1 AND 3),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a AS x, b AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(t.doc_id, m.y), t.doc_id) AS component_id
+FROM t LEFT JOIN n ON t.doc_id = n.doc_id LEFT JOIN (SELECT x, min(y) AS y FROM r GROUP BY 1) m ON t.doc_id = m.x
+"""
+
+#: Windows as aggregates over the next 50 rows of words.
+OP8 = r"""
+WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+u AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i, len(ws) AS n FROM t),
+g AS (SELECT doc_id, i, n, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS p FROM u),
+h AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY p) AS first FROM g WHERE i + 50 <= n),
+c AS (SELECT DISTINCT doc_id, i + d AS i FROM h, range(50) AS r(d) WHERE first < doc_id),
+k AS (SELECT u.doc_id, count(*) FILTER (c.i IS NOT NULL) AS gone, string_agg(u.w, ' ' ORDER BY u.i) FILTER (c.i IS NULL) AS kept FROM u LEFT JOIN c ON u.doc_id = c.doc_id AND u.i = c.i GROUP BY 1)
+SELECT t.doc_id, len(ws)::bigint AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN k ON t.doc_id = k.doc_id
+"""
+
+
 def op1() -> str:
     """The estimates' formulas are those of the operator; the base counts are written anew over unnested windows."""
     from cohortscore.llm import quality as q
@@ -77,4 +104,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND NOT coalesce(d2 > {q.CUT}, false) AS kept FROM dist{q.STEPS}"""
 
 
-ORACLE = {"op1_quality_rules": op1(), "op2_exact_dedup": OP2, "op10_url_filter": OP10}
+ORACLE = {"op1_quality_rules": op1(), "op2_exact_dedup": OP2, "op5_jaccard_join": OP5, "op8_substring_dedup": OP8, "op10_url_filter": OP10}
