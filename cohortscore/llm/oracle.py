@@ -59,49 +59,90 @@ SELECT t.doc_id, len(ws)::bigint AS n_words, coalesce(gone, 0) AS n_removed, sha
 
 
 def op1() -> str:
-    """The estimates' formulas are those of the operator; the base counts are written anew over unnested windows."""
-    from cohortscore.llm import quality as q
-
-    def chain(source: str, name: str, levels: list[list[tuple[str, str]]]) -> str:
-        out = []
-        for i, level in enumerate(levels):
-            at = name if i == len(levels) - 1 else f"{name}_{i}"
-            out.append(f"{at} AS (SELECT *, {', '.join(f'{sql} AS {c}' for c, sql in level)} FROM {source})")
-            source = at
-        return ",\n".join(out)
-
-    moments = ", ".join(f"{sql} AS {c}" for c, sql in q.moment_sql())
-    totals = ", ".join(f"sum({c}) AS {c}" for c, _ in q.moment_sql())
-    xs = ", ".join(f"cast(round(coalesce({sql}, 0)) as bigint) AS {c}" for c, sql, _ in q.FEATURES)
-    ctes = [
-        """w AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS k0, coalesce(source, '') AS k1,
+    """Base counts over unnested windows and the robust estimates over single rows, with weights, by an LDL factor.
+
+    Only the fixed parameters are the operator's; its distinct vectors, moments and formulas are not used."""
+    from cohortscore.llm.quality import CUT, FEATURES, NEAR, NEAR_SCALE, PRIOR, STEPS, SUBSET, SUBSET_SCALE
+
+    four, pairs = range(4), [(i, j) for i in range(4) for j in range(i + 1)]
+    xs = ", ".join(f"cast(round(coalesce({sql}, 0)) as bigint) AS {c}" for c, sql, _ in FEATURES)
+    each = lambda f: ", ".join(f(i) for i in four)
+    both = lambda f: ", ".join(f(i, j) for i, j in pairs)
+    sums = "sum(w) AS n, " + each(lambda i: f"sum(w * x{i}) AS s{i}") + ", " + both(lambda i, j: f"sum(w * x{i} * x{j}) AS q{i}{j}")
+    ctes: list[str] = []
+
+    def cte(name: str, sql: str) -> None:
+        ctes.append(f"{name} AS MATERIALIZED ({sql})")
+
+    def factor(name: str, source: str, on: str) -> None:
+        """From v.. (covariances) the unit lower factor g.. and the pivots e.. with v = g e g'."""
+        for j in four:
+            cte(f"{name}{j}a", f"SELECT *, v{j}{j}" + "".join(f" - g{j}{k} * g{j}{k} * e{k}" for k in range(j)) + f" AS e{j} FROM {source}")
+            below = ", ".join(f"(v{i}{j}" + "".join(f" - g{i}{k} * g{j}{k} * e{k}" for k in range(j)) + f") / e{j} AS g{i}{j}" for i in range(j + 1, 4))
+            source = f"{name}{j}b"
+            cte(source, f"SELECT *{', ' + below if below else ''} FROM {name}{j}a")
+        cte(name, f"SELECT {on}, {each(lambda i: f'm{i}, e{i}')}, {', '.join(f'g{i}{j}' for i, j in pairs if i > j)}, ln(e0 * e1 * e2 * e3) AS logdet FROM {source}")
+
+    def distance(name: str, rows: str, fit: str, join: str) -> None:
+        source = f"(SELECT r.*, f.* EXCLUDE (k0, k1) FROM {rows} r {join} JOIN {fit} f ON r.k0 = f.k0 AND r.k1 = f.k1)"
+        for i in four:
+            cte(f"{name}{i}", f"SELECT *, x{i} - m{i}" + "".join(f" - g{i}{k} * t{k}" for k in range(i)) + f" AS t{i} FROM {source}")
+            source = f"{name}{i}"
+        cte(name, "SELECT *, " + " + ".join(f"t{i} * t{i} / e{i}" for i in four) + f" AS d2 FROM {source}")
+
+    def fitted(name: str, source: str, pool: str, scale: float, on: str) -> None:
+        """Moments of a group and of PRIOR rows of the pool: means, and covariances with the noise."""
+        share = f"coalesce({PRIOR} / nullif((SELECT n FROM {pool}), 0), 0)"
+        add = lambda c: f"{c} + {share} * coalesce((SELECT {c} FROM {pool}), 0) AS {c}"
+        cte(f"{name}_n", f"SELECT {on}, {add('n')}, {each(lambda i: add(f's{i}'))}, {both(lambda i, j: add(f'q{i}{j}'))} FROM {source}")
+        cte(f"{name}_m", f"SELECT *, {each(lambda i: f's{i} / n AS m{i}')} FROM {name}_n")
+        noise = lambda i, j: f" + {FEATURES[i][2]} * {FEATURES[i][2]}" if i == j else ""
+        cte(f"{name}_v", f"SELECT *, {both(lambda i, j: f'{scale} * (q{i}{j} / n - m{i} * m{j}){noise(i, j)} AS v{i}{j}')} FROM {name}_m")
+        factor(name, f"{name}_v", on)
+
+    cte("w", """SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS k0, coalesce(source, '') AS k1,
                  list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words,
-                 list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents)""",
-        "g AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) >= 3)",
-        "h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) AS n FROM g)",
-        "r AS (SELECT doc_id, count(DISTINCT i + d) AS n_repeat_words FROM h, (VALUES (0), (1), (2)) v(d) WHERE n > 1 GROUP BY 1)",
-        """b AS (SELECT doc_id, k0, k1, cast(len(words) as bigint) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
+                 list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents""")
+    cte("g", "SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, words FROM w WHERE len(words) >= 3")
+    cte("h", "SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2]) AS n FROM g")
+    cte("r", "SELECT doc_id, count(DISTINCT i + d) AS n_repeat_words FROM h, (VALUES (0), (1), (2)) v(d) WHERE n > 1 GROUP BY 1")
+    cte("b", """SELECT doc_id, k0, k1, cast(len(words) as bigint) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g')) AS word_chars,
                  length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, cast(len(lines) as bigint) AS n_lines,
                  cast(len(lines) - len(list_distinct(lines)) as bigint) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
-               FROM w LEFT JOIN r USING (doc_id))""",
-        f"x AS (SELECT *, {xs}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)",
-        f"mo0 AS (SELECT k0, k1, {moments} FROM x WHERE NOT base_failed GROUP BY 1, 2)",
-    ]
-    for step in range(q.STEPS + 1):
-        pooled = ", ".join(f"CASE WHEN n >= {q.MIN_ROWS} THEN {c} ELSE (SELECT sum({c}) FROM mo{step}) END AS {c}" for c, _ in q.moment_sql())
-        ctes.append(f"po{step} AS (SELECT k0, k1, {pooled} FROM mo{step})")
-        ctes.append(chain(f"po{step}", f"fit{step}", q.estimate_sql()))
-        rows = "x WHERE NOT base_failed" if step < q.STEPS else "x"
-        ctes.append(f"at{step} AS (SELECT * FROM (SELECT * FROM {rows}) LEFT JOIN (SELECT * EXCLUDE ({', '.join(c for c, _ in q.moment_sql())}) FROM fit{step}) USING (k0, k1))")
-        ctes.append(chain(f"at{step}", f"dist{step}", q.distance_sql()))
-        if step < q.STEPS:
-            ctes.append(f"bin{step} AS (SELECT k0, k1, {q.BIN_SQL} AS bin, {moments} FROM dist{step} GROUP BY 1, 2, 3)")
-            ctes.append(f"""cum{step} AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY k0, k1 ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seen,
-                            sum(n) OVER (PARTITION BY k0, k1) AS alln FROM bin{step})""")
-            ctes.append(f"mo{step + 1} AS (SELECT k0, k1, {totals} FROM cum{step} WHERE seen < {q.SUBSET} * alln GROUP BY 1, 2)")
+               FROM w LEFT JOIN r USING (doc_id)""")
+    cte("x", f"SELECT *, {xs}, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b")
+    cte("good", f"SELECT doc_id, k0, k1, {each(lambda i: f'x{i}')} FROM x WHERE NOT base_failed")
+    # Starts: medians and MADs alone, and with the correlations of bent and of unit vectors.
+    cte("med", f"SELECT k0, k1, {each(lambda i: f'median(x{i}) AS m{i}')} FROM good GROUP BY 1, 2")
+    cte("mad", f"SELECT k0, k1, {each(lambda i: f'sqrt((1.4826 * median(abs(x{i} - m{i}))) ** 2 + {FEATURES[i][2]} ** 2) AS d{i}')} FROM good JOIN med USING (k0, k1) GROUP BY 1, 2")
+    cte("zs", f"SELECT good.k0, good.k1, {each(lambda i: f'(x{i} - m{i}) / d{i} AS z{i}')} FROM good JOIN med USING (k0, k1) JOIN mad USING (k0, k1)")
+    long = "greatest(sqrt(" + " + ".join(f"z{i} * z{i}" for i in four) + "), 1e-9)"
+    cte("ys", f"SELECT k0, k1, 1 AS start, {each(lambda i: f'round(1000 * tanh(z{i})) AS y{i}')} FROM zs UNION ALL SELECT k0, k1, 2, {each(lambda i: f'round(1000 * (z{i} / {long}))')} FROM zs")
+    noisy = lambda i: f"(covar_pop(y{i}, y{i}) + 10000)"
+    off = lambda i, j: "1" if i == j else f"covar_pop(y{i}, y{j}) / sqrt({noisy(i)} * {noisy(j)})"
+    cte("cor", f"SELECT k0, k1, start, {both(lambda i, j: f'{off(i, j)} AS v{i}{j}')} FROM ys GROUP BY 1, 2, 3 UNION ALL SELECT k0, k1, 0, {both(lambda i, j: str(int(i == j)))} FROM med")
+    cte("cov", f"SELECT k0, k1, start, {each(lambda i: f'm{i}')}, {both(lambda i, j: f'v{i}{j} * d{i} * d{j} AS v{i}{j}')} FROM cor JOIN med USING (k0, k1) JOIN mad USING (k0, k1)")
+    factor("fit0", "cov", "k0, k1, start")
+    for step in range(1, STEPS + 1):
+        distance(f"near{step}", "good", f"fit{step - 1}", "")
+        cte(f"rank{step}", f"SELECT *, cast(floor(64 * ln(greatest(d2, 0.0001)) / ln(2.0)) as int) AS bin FROM near{step}")
+        cte(f"bin{step}", f"SELECT k0, k1, start, bin, count(*) AS many FROM rank{step} GROUP BY ALL")
+        of = "PARTITION BY k0, k1, start"
+        cte(f"share{step}", f"""SELECT k0, k1, start, bin, greatest(0, least(1, (ceil({SUBSET} * sum(many) OVER ({of})) - sum(many) OVER ({of} ORDER BY bin) + many) / many)) AS w FROM bin{step}""")
+        cte(f"sum{step}", f"SELECT k0, k1, start, {sums} FROM rank{step} JOIN share{step} USING (k0, k1, start, bin) GROUP BY 1, 2, 3")
+        if step == 1:
+            cte("pool", f"SELECT sum(n) AS n, {each(lambda i: f'sum(s{i}) AS s{i}')}, {both(lambda i, j: f'sum(q{i}{j}) AS q{i}{j}')} FROM sum1 WHERE start = 0")
+        fitted(f"fit{step}", f"sum{step}", "pool", SUBSET_SCALE, "k0, k1, start")
+    cte("best", f"SELECT * EXCLUDE (start, place) FROM (SELECT *, row_number() OVER (PARTITION BY k0, k1 ORDER BY round(logdet, 9), start) AS place FROM fit{STEPS}) WHERE place = 1")
+    distance("last", "good", "best", "")
+    weighed = sums.replace("sum(w", "sum(cast(d2 <= " + str(NEAR) + " as int)")
+    cte("within", f"SELECT k0, k1, {weighed} FROM last GROUP BY 1, 2")
+    cte("withinpool", f"SELECT sum(n) AS n, {each(lambda i: f'sum(s{i}) AS s{i}')}, {both(lambda i, j: f'sum(q{i}{j}) AS q{i}{j}')} FROM within")
+    fitted("final", "within", "withinpool", NEAR_SCALE, "k0, k1")
+    distance("judged", "x", "final", "LEFT")
     return "WITH " + ",\n".join(ctes) + f"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT coalesce(d2 > {q.CUT}, false) AS kept FROM dist{q.STEPS}"""
+       NOT base_failed AND NOT coalesce(d2 > {CUT}, false) AS kept FROM judged"""
 
 
 ORACLE = {"op1_quality_rules": op1(), "op2_exact_dedup": OP2, "op5_jaccard_join": OP5, "op8_substring_dedup": OP8, "op10_url_filter": OP10}

@@ -9,20 +9,27 @@ from cohortscore.llm.shared import WORD_GAP, written
 
 SYMBOLS = "#*$%&|<>"
 GAPS = " \t\n\x0b\f\r"
-#: The statistics of the vector: (name, SQL over the base counts, smallest standard deviation believed), in
-#: thousandths. Rates are square roots, which makes counts' spread about even. Fixed values.
+#: The statistics of the vector: (name, SQL over the base counts, standard deviation of its noise), in thousandths.
+#: Rates are square roots, which makes counts' spread about even; texts are short, so rates are noisy, and the noise's
+#: variance is added to every covariance, as the regularized form of the method does with its target. Fixed values.
 FEATURES = (
     ("x0", "1000 * ln(cast(word_chars as double) / greatest(n_words, 1))", 80),
     ("x1", "1000 * sqrt(cast(n_symbols as double) / greatest(n_words, 1))", 70),
     ("x2", "1000 * sqrt(cast(n_dup_lines as double) / greatest(n_lines, 1))", 120),
     ("x3", "1000 * sqrt(cast(n_repeat_words as double) / greatest(n_words, 1))", 120),
 )
-#: Groups of fewer good rows than this use the estimate of all groups together.
-MIN_ROWS = 200
-#: Share of a group's rows in the subset whose covariance is the smallest, and C-steps towards it.
-SUBSET, STEPS = 0.75, 3
-#: Squared distance beyond which a row goes: about the 1 - 1e-9 quantile of chi-squared with 4 degrees of freedom.
-CUT = 46.0
+#: Every group's moments are joined by so many pseudo-rows with the moments of all groups together (a conjugate
+#: prior), at every size: a group of thousands is judged by itself, one of ten mostly by what all groups have.
+PRIOR = 40
+#: Share of a group's rows in the subset whose covariance has the least determinant; starts and C-steps towards it.
+SUBSET, STARTS, STEPS = 0.75, 3, 3
+#: Factors that make the covariance of the nearest SUBSET, and of the rows within NEAR, that of the whole for normal
+#: vectors of 4 statistics: share / chi-squared CDF with 6 degrees of freedom at the quantile of the share with 4.
+SUBSET_SCALE, NEAR_SCALE = 1.4866, 1.0645
+#: Squared distance of the last reweighting: the 0.975 quantile of chi-squared with 4 degrees of freedom.
+NEAR = 11.1433
+#: Squared distance beyond which a row goes: the 1 - 1e-9 quantile of chi-squared with 4 degrees of freedom.
+CUT = 47.88
 
 
 def _let(value: Column, body) -> Column:
@@ -78,30 +85,31 @@ def base_failed() -> Column:
 
 P = len(FEATURES)
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+MOMENTS = ["n", *(f"s{i}" for i in range(P)), *(f"p{i}{j}" for i, j in PAIRS)]
+FIT = [*(f"m{i}" for i in range(P)), *(f"l{i}{j}" for i, j in PAIRS)]
 
 
-def moment_sql() -> list[tuple[str, str]]:
-    """(name, SQL) of exact integer sums over the subset: count, sums, products."""
-    exact = lambda e: f"sum(cast({e} as decimal(38, 0)))"
-    return [("n", "count(*)"), *((f"s{i}", exact(f"x{i}")) for i in range(P)), *((f"p{i}{j}", exact(f"x{i} * x{j}")) for i, j in PAIRS)]
+def moments(x: str = "x") -> list[Column]:
+    """MOMENTS of vectors that stand for `c` equal rows each: exact integers, whatever the order of rows."""
+    total = lambda e: f"sum(cast({e} as decimal(19, 0)) * cast(c as decimal(18, 0)))"
+    sums = [total("1"), *(total(f"{x}{i}") for i in range(P)), *(total(f"{x}{i} * {x}{j}") for i, j in PAIRS)]
+    return [F.expr(f"cast({sql} as double)").alias(name) for name, sql in zip(MOMENTS, sums)]
 
 
-def estimate_sql() -> list[list[tuple[str, str]]]:
-    """Levels of (name, SQL): means, then covariances with the smallest variances believed, then the Cholesky factor."""
-    n = "cast(n as double)"
-    means = [(f"m{i}", f"cast(s{i} as double) / {n}") for i in range(P)]
-    cov = []
-    for i, j in PAIRS:
-        c = f"cast(p{i}{j} as double) / {n} - m{i} * m{j}"
-        cov.append((f"c{i}{j}", f"greatest({c}, 0) + {float(FEATURES[i][2] ** 2)}" if i == j else c))
-    levels = [means, cov]
+def covariance(scale: float, noise: list[float]) -> list[list[tuple[str, str]]]:
+    """Levels of (name, SQL): means, then covariances with the noise's variance, from MOMENTS."""
+    cov = [(f"c{i}{j}", f"{scale} * (p{i}{j} / n - m{i} * m{j})" + (f" + {float(noise[i] ** 2)}" if i == j else "")) for i, j in PAIRS]
+    return [[(f"m{i}", f"s{i} / n") for i in range(P)], cov]
+
+
+def cholesky() -> list[list[tuple[str, str]]]:
+    """Levels of (name, SQL): the factor of the covariances, and the logarithm of their determinant."""
+    levels = []
     for j in range(P):
-        inner = "".join(f" - l{j}{k} * l{j}{k}" for k in range(j))
-        levels.append([(f"l{j}{j}", f"sqrt(greatest(c{j}{j}{inner}, {float(FEATURES[j][2] ** 2)}))")])
-        below = [(f"l{i}{j}", f"(c{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j)) + f") / l{j}{j}") for i in range(j + 1, P)]
-        if below:
-            levels.append(below)
-    return levels
+        levels.append([(f"l{j}{j}", f"sqrt(c{j}{j}" + "".join(f" - l{j}{k} * l{j}{k}" for k in range(j)) + ")")])
+        if j + 1 < P:
+            levels.append([(f"l{i}{j}", f"(c{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j)) + f") / l{j}{j}") for i in range(j + 1, P)])
+    return [*levels, [("logdet", "2 * (" + " + ".join(f"ln(l{i}{i})" for i in range(P)) + ")")]]
 
 
 def distance_sql() -> list[list[tuple[str, str]]]:
@@ -116,38 +124,72 @@ def _levels(df: DataFrame, levels: list[list[tuple[str, str]]]) -> DataFrame:
     return df
 
 
-#: Distances are binned at eighths of powers of two, so that "the nearest SUBSET of a group" is a count by bin.
-BIN_SQL = "cast(floor(8 * ln(greatest(d2, 0.0001)) / ln(2.0)) as int)"
-
-
-def estimates(vectors: DataFrame, keys: list[str], min_rows: int = MIN_ROWS) -> DataFrame:
-    """One row per group: its MCD mean and Cholesky factor, or those of all groups where it has too few rows.
-
-    `vectors` (keys and x0..) should be a written table, as it is read once for every step. The start is the
-    mean and covariance of the rows inside the middle of every statistic of their group, then each C-step
-    takes the SUBSET of the group's rows with the smallest distance and refits. Sums are exact integers, so
-    the estimates do not depend on the order of rows. Every step is a partial aggregation by group and bin
-    and a join with one row per group, whatever share of the rows one group has.
+#: Distances are binned at 64ths of powers of two, so that "the nearest SUBSET of a group" is a count by bin.
+BIN_SQL = "cast(floor(64 * ln(greatest(d2, 0.0001)) / ln(2.0)) as int)"
+
+
+def starts(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """FIT by group and `start`, three that outliers cannot carry off: by median and MAD alone (0), and with the
+    correlations of tanh(z) (1) and of z / |z| (2), z being a vector less the medians over the MADs. Medians are exact;
+    statistics are integers in thousandths, so a group has few distinct values, however many rows."""
+    middle = vectors.groupBy(*keys).agg(*[F.percentile(f"x{i}", F.lit(0.5), F.col("c")).alias(f"m{i}") for i in range(P)])
+    gaps = vectors.join(middle, keys)
+    apart = gaps.groupBy(*keys).agg(*[F.percentile(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), F.lit(0.5), F.col("c")).alias(f"a{i}") for i in range(P)])
+    spread = [F.sqrt(F.pow(1.4826 * F.col(f"a{i}"), F.lit(2)) + float(FEATURES[i][2] ** 2)).alias(f"d{i}") for i in range(P)]
+    centre = written(middle.join(apart, keys).select(*keys, *[f"m{i}" for i in range(P)], *spread), "quality-medians")
+    z = vectors.join(centre, keys).withColumns({f"z{i}": F.expr(f"(x{i} - m{i}) / d{i}") for i in range(P)})
+    z = z.withColumn("length", F.expr("greatest(sqrt(" + " + ".join(f"z{i} * z{i}" for i in range(P)) + "), 1e-9)"))
+    bent = F.explode(F.array(*[F.struct(F.lit(s).alias("start"), *[F.expr(f"cast(round(1000 * {f.format(i=i)}) as bigint)").alias(f"y{i}") for i in range(P)]) for s, f in ((1, "tanh(z{i})"), (2, "z{i} / length"))]))
+    shapes = z.select(*keys, "c", bent.alias("e")).select(*keys, "c", "e.*").groupBy(*keys, "start").agg(*moments("y"))
+    shapes = _levels(shapes, covariance(1.0, [100.0] * P))
+    plain = centre.select(*keys, F.lit(0).alias("start"), *[F.lit(float(i == j)).alias(f"c{i}{j}") for i, j in PAIRS])
+    # A correlation r of the statistics is r * d_i * d_j of their covariance.
+    shapes = shapes.select(*keys, "start", *[F.expr(f"c{i}{j} / sqrt(c{i}{i} * c{j}{j})").alias(f"c{i}{j}") for i, j in PAIRS]).unionByName(plain)
+    shapes = shapes.join(centre, keys).withColumns({f"c{i}{j}": F.expr(f"c{i}{j} * d{i} * d{j}") for i, j in PAIRS})
+    return _levels(shapes, cholesky()).select(*keys, "start", *FIT)
+
+
+def nearest(by_bin: DataFrame, keys: list[str]) -> DataFrame:
+    """MOMENTS by `keys` of exactly ceil(SUBSET of the rows): bins from the nearest on, the last one by the share it still fills."""
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = F.ceil(SUBSET * F.sum("n").over(group)) - F.coalesce(F.sum("n").over(before), F.lit(0.0))
+    filled = by_bin.withColumn("w", F.greatest(F.least(wanted / F.col("n"), F.lit(1.0)), F.lit(0.0)))
+    return filled.groupBy(*keys).agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in MOMENTS])
+
+
+def estimates(rows: DataFrame, keys: list[str], prior: float = PRIOR) -> DataFrame:
+    """FIT and `logdet` by group: its minimum covariance determinant estimate, reweighted.
+
+    From each of STARTS robust starts, STEPS C-steps take the SUBSET of the group's rows nearest to the last estimate
+    and fit them again; of a group's starts the one with the least determinant wins (of equals, the first). The rows
+    within NEAR of it, by the covariance scaled for normal vectors, give the estimate. Each fit joins `prior`
+    pseudo-rows to the group, which have the moments of all groups' first subsets, or of all rows within NEAR; they are
+    one row of sums through the driver. Equal vectors of a group are one row with a count. Every step is a partial
+    aggregation by group, start and bin, and a join with one row per group and start, whatever share of the rows one
+    group has.
     """
-    sums = [F.expr(sql).alias(name) for name, sql in moment_sql()]
-    names = [name for name, _ in moment_sql()]
+    vectors = written(rows.groupBy(*keys, *[f[0] for f in FEATURES]).agg(F.count("*").alias("c")), "quality-vectors")
+    noise = [f[2] for f in FEATURES]
+
+    def fitted(sums: DataFrame, pool: dict[str, float], scale: float) -> DataFrame:
+        # Without a prior, or any row to make one of, a group stands for itself.
+        share = prior / pool["n"] if pool["n"] else 0.0
+        joined = sums.withColumns({c: F.col(c) + share * (pool[c] or 0.0) for c in MOMENTS})
+        return _levels(joined, [*covariance(scale, noise), *cholesky()])
 
-    def fitted(moments: DataFrame) -> DataFrame:
-        moments = written(moments, "quality-moments")
-        pooled = moments.agg(*[F.sum(c).alias(c) for c in names]).first()  # one row of sums
-        own = F.col("n") >= min_rows
-        chosen = moments.select(*keys, *[F.when(own, F.col(c).cast("decimal(38,0)")).otherwise(F.lit(pooled[c]).cast("decimal(38,0)")).alias(c) for c in names])
-        return _levels(chosen, estimate_sql()).select(*keys, *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i, j in PAIRS])
+    def pooled(sums: DataFrame) -> dict[str, float]:
+        return sums.agg(*[F.sum(c).alias(c) for c in MOMENTS]).first().asDict()
 
-    now = fitted(vectors.groupBy(*keys).agg(*sums))
+    now, pool = written(starts(vectors, keys), "quality-starts"), None
     for _ in range(STEPS):
-        near = with_distance(vectors, now, keys).select(*keys, *[f"x{i}" for i in range(P)], F.expr(BIN_SQL).alias("bin"))
-        by_bin = near.groupBy(*keys, "bin").agg(*sums)
-        up_to = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-        inside = by_bin.withColumn("seen", F.coalesce(F.sum("n").over(up_to), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
-        inside = inside.filter(F.col("seen") < SUBSET * F.col("all"))
-        now = fitted(inside.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in names]))
-    return now
+        near = with_distance(vectors, now, keys).withColumn("bin", F.expr(BIN_SQL))
+        sums = written(nearest(near.groupBy(*keys, "start", "bin").agg(*moments()), [*keys, "start"]), "quality-subsets")
+        pool = pool or pooled(sums.filter("start = 0"))
+        now = written(fitted(sums, pool, SUBSET_SCALE).select(*keys, "start", *FIT, "logdet"), "quality-steps")
+    best = now.groupBy(*keys).agg(F.min_by(F.struct(*FIT), F.struct(F.round("logdet", 9), "start")).alias("f")).select(*keys, "f.*")
+    inside = written(with_distance(vectors, best, keys).filter(F.col("d2") <= NEAR).groupBy(*keys).agg(*moments()), "quality-near")
+    return fitted(best.select(*keys).join(inside, keys, "left").fillna(0.0, MOMENTS), pooled(inside), NEAR_SCALE).select(*keys, *FIT, "logdet")
 
 
 def with_distance(vectors: DataFrame, fits: DataFrame, keys: list[str]) -> DataFrame:
@@ -155,14 +197,14 @@ def with_distance(vectors: DataFrame, fits: DataFrame, keys: list[str]) -> DataF
     return _levels(vectors.join(fits, keys), distance_sql())
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, ...] = ("lang", "source"), min_rows: int = MIN_ROWS, carry: bool = False) -> DataFrame:
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, ...] = ("lang", "source"), prior: float = PRIOR, carry: bool = False) -> DataFrame:
     """With `carry` the input in `row`; the base counts, `base_failed, d2, kept`.
 
     Rows that pass the base rules are grouped by language and source (null and empty are one; a key column that
     the input lacks counts as null). A row goes when its vector lies further than CUT from its
-    group's robust centre. The covariance never falls below the spread that FEATURES states, so a group of
-    equal texts, or a statistic that is almost always zero, rejects nobody over trifles. Groups with fewer
-    than `min_rows` subset rows borrow the pooled estimate. Repeated rows are judged alike; empty and null
+    group's robust centre. Every covariance holds the noise that FEATURES states, so a group of equal texts, or a
+    statistic that is almost always zero, rejects nobody over trifles; `prior` pseudo-rows of all groups
+    steady small groups. Repeated rows are judged alike; empty and null
     texts fail the base rules; no rows give no rows. Input columns may have any name.
     """
     counts = base_counts(docs, id_col, text_col).withColumn("base_failed", base_failed())
@@ -172,7 +214,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys
     for name, sql, _ in FEATURES:
         counts = counts.withColumn(name, F.expr(f"cast(round(coalesce({sql}, 0)) as bigint)"))
     counts = written(counts if carry else counts.drop("row"), "quality-counts")  # the texts are read once
-    fits = written(estimates(counts.filter("NOT base_failed").select(*k, *[f[0] for f in FEATURES]), k, min_rows), "quality-fits")
+    fits = written(estimates(counts.filter("NOT base_failed"), k, prior), "quality-fits")
     out = _levels(counts.join(fits, k, "left"), distance_sql())
     return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("d2") > CUT, F.lit(False)))
 

@@ -60,6 +60,7 @@ def test_against_sql(spark, name):
 
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
+    assert quality.quality_rules(none).count() == 0
     assert exact_dedup.exact_dedup(none).count() == 0
     assert jaccard_join.jaccard_join(none, 85, 4).count() == 0
     assert substring_dedup.substring_dedup(none).count() == 0
@@ -79,6 +80,62 @@ def test_scores_of_edges(spark, edge):
     assert len(out) == len(held) and all(r["held_out"] and r["train_tokens"] == 0 and r["n_known"] == 0 and np.isfinite(r["score"]) for r in out)
 
 
+def brute_mcd(groups):
+    """Centre and covariance of each group of vectors: single rows, distances sorted, matrices inverted."""
+    noise = np.diag([float(f[2] ** 2) for f in quality.FEATURES])
+    apart = lambda x, m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    def fitted(x, pool, scale):
+        both, w = np.concatenate([x, pool]), np.concatenate([np.ones(len(x)), np.full(len(pool), quality.PRIOR / len(pool))])
+        m = w @ both / w.sum()
+        return m, scale * ((both - m).T * w) @ (both - m) / w.sum() + noise
+
+    def near(x, fit):
+        return x[np.argsort(apart(x, *fit), kind="stable")[: int(np.ceil(quality.SUBSET * len(x)))]]
+
+    first = {}
+    for g, x in groups.items():
+        m = np.median(x, 0)
+        d = np.sqrt((1.4826 * np.median(abs(x - m), 0)) ** 2 + np.diag(noise))
+        z = (x - m) / d
+        shapes = [np.eye(4)]
+        for y in (np.tanh(z), z / np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None]):
+            c = np.cov(np.round(1000 * y).T, bias=True) + 1e4 * np.eye(4)
+            shapes.append(c / np.sqrt(np.outer(np.diag(c), np.diag(c))))
+        first[g] = [(m, c * np.outer(d, d)) for c in shapes]
+    pool = np.concatenate([near(x, first[g][0]) for g, x in groups.items()])
+    best = {}
+    for g, x in groups.items():
+        fits = first[g]
+        for _ in range(quality.STEPS):
+            fits = [fitted(near(x, f), pool, quality.SUBSET_SCALE) for f in fits]
+        best[g] = min(fits, key=lambda f: np.linalg.slogdet(f[1])[1])
+    inside = {g: x[apart(x, *best[g]) <= quality.NEAR] for g, x in groups.items()}
+    pool = np.concatenate(list(inside.values()))
+    out = {g: fitted(x, pool, quality.NEAR_SCALE) for g, x in inside.items()}
+    return {g: (*f, apart(groups[g], *f) > quality.CUT) for g, f in out.items()}
+
+
+def test_minimum_covariance_determinant(spark):
+    """Large groups of their own shape, a small one, one of equal rows; a fifth of `b` is one far cluster, which would
+    carry off a mean and covariance of all rows: all of it is found, and no row of the rest."""
+    rng = np.random.default_rng(5)
+    mix = rng.normal(size=(4, 4)) * 120
+    groups = {"a": rng.normal(size=(600, 4)) @ mix + [1600, 300, 200, 100], "b": rng.normal(size=(500, 4)) * 60 + [2500, 0, 0, 400], "c": rng.normal(size=(12, 4)) * 50 + [1700, 200, 100, 100], "d": np.full((30, 4), 900.0)}
+    groups["b"][:100] = rng.normal(size=(100, 4)) * 30 + [3600, 1500, 0, 400]
+    groups = {g: np.round(x) for g, x in groups.items()}
+    rows = [(g, *map(int, v)) for g, x in groups.items() for v in x]
+    df = spark.createDataFrame(rows, "g string, x0 long, x1 long, x2 long, x3 long").repartition(4)
+    fits = quality.estimates(df, ["g"])
+    got, want = {r["g"]: r for r in fits.collect()}, brute_mcd(groups)
+    far = {(r["g"], *(r[f"x{i}"] for i in range(4))) for r in quality.with_distance(df, fits, ["g"]).filter(f"d2 > {quality.CUT}").collect()}
+    for g, (m, c, out) in want.items():
+        low = np.array([[got[g][f"l{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+        assert np.allclose([got[g][f"m{i}"] for i in range(4)], m, atol=10) and np.allclose(low @ low.T, c, rtol=0.05, atol=800)
+        assert {tuple(map(int, v)) for v in groups[g][out]} == {k[1:] for k in far if k[0] == g}
+    assert want["b"][2].tolist() == [True] * 100 + [False] * 400 and quality.estimates(df.limit(0), ["g"]).count() == 0
+
+
 def test_quality_edges(edge):
     got = {r["id"]: r for r in quality.quality_rules(edge).collect()}
     assert got[3]["n_words"] == got[4]["n_words"] == 0 and not got[3]["kept"]
