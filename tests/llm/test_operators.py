@@ -283,7 +283,7 @@ def test_all_training_texts_teach(docs):
     held = lm_scoring.Sequences(subwords).of([r["text"] for r in docs.filter("crc32(string(doc_id)) % 10 = 0").collect()])
     symbols = np.bincount(subwords.symbol[list(counts)], list(counts.values()), subwords.size)
     untaught = attention_lm.start(subwords.size, symbols)
-    assert attention_lm.score(model, held).sum() > attention_lm.score(untaught, held).sum()
+    assert attention_lm.score(model, held)[0].sum() > attention_lm.score(untaught, held)[0].sum()
 
 
 def test_attention_is_causal_and_normalised():
@@ -291,11 +291,59 @@ def test_attention_is_causal_and_normalised():
     text = np.random.default_rng(0).integers(1, 64, 40).astype(np.int32)
     other = text.copy()
     other[30:] = 5
-    assert np.allclose(attention_lm.score(model, [text])[:30], attention_lm.score(model, [other])[:30], atol=1e-5)
-    each = [attention_lm.score(model, [np.append(text[:20], s).astype(np.int32)])[-1] for s in range(64)]
+    assert np.allclose(attention_lm.score(model, [text])[0][:30], attention_lm.score(model, [other])[0][:30], atol=1e-5)
+    each = [attention_lm.score(model, [np.append(text[:20], s).astype(np.int32)])[0][-1] for s in range(64)]
     assert np.exp(each).sum() == pytest.approx(1, abs=1e-4)
 
 
+def slow_symbol(model, seq, t):
+    """Probabilities of all symbols at place t of a text, one query at a time."""
+    p, c = {k: v.astype(float) for k, v in model.p.items()}, attention_lm.CONTEXT
+    begin = t // attention_lm.SCORED * attention_lm.SCORED
+    seen = [seq[i - 1] if i > 0 else 0 for i in range(begin - c, t + 1)]
+    h = p["E"][seen] + p["P"][: len(seen)]
+    w = np.exp(h @ p["K"] @ (h[-1] @ p["Q"]) / attention_lm.WIDTH**0.5)
+    o = h[-1] + w @ (h @ p["V"]) / w.sum() @ p["O"]
+    z = o + np.maximum(o @ p["A"], 0) @ p["B"]
+    soft = lambda x: np.exp(x) / np.exp(x).sum()
+    return np.concatenate([g * soft(z @ p["W"][i] + p["b"][i]) for i, g in enumerate(soft(z @ p["U"] + p["c"]))])
+
+
+def test_score_by_a_slow_scorer(docs):
+    """The query's `score` from the same weights, symbol by symbol; and the shares of words and end sum to 1 at most."""
+    taught = docs.filter("crc32(string(doc_id)) % 10 != 0").selectExpr("doc_id id", "text")
+    counts = lm_scoring.subword_counts(taught, RANKS, P.PATTERN)
+    subwords = lm_scoring.Subwords(RANKS, P.PATTERN, counts)
+    model, _ = lm_scoring.fit(taught, subwords, counts, 60)
+    total = Counter(w for _, t in rows_of(docs.join(taught.selectExpr("id doc_id"), "doc_id")) for w in [*words(lower(t)), None])
+    n, opening = sum(total.values()), subwords.groups * attention_lm.MEMBERS
+    got = {r["id"]: r["score"] for r in lm_scoring.lm_scores(docs, RANKS, P.PATTERN, sample=60).collect()}
+    for i, text in sorted(rows_of(docs), key=lambda r: (len(r[1] or ""), r[0]))[::40]:
+        ws = words(lower(text))
+        ids = subwords.of([w.encode() for w in ws])
+        seq = [s for x in ids for s in subwords.symbol[x]] + [0]
+        at, want, opened = 0, 0.0, None
+        for w, x in zip([*ws, None], [*ids, None]):
+            here = slow_symbol(model, seq, at)
+            log = -np.log(here[:opening].sum())
+            for k in x if x else []:
+                log += np.log(slow_symbol(model, seq, at)[subwords.symbol[k]]) + subwords.within[k]
+                at += 1
+            log += np.log(slow_symbol(model, seq, at)[:opening].sum()) if x else np.log(here[0])
+            want += np.log10(lm_scoring.SHARE * np.exp(log) + (1 - lm_scoring.SHARE) * total[w] / n)
+        assert got[i] == pytest.approx(want, rel=1e-4)
+    known = [w for w in total if w]
+    ids = subwords.of([w.encode() for w in known])
+    seqs = [np.append(subwords.symbol[x], 0).astype(np.int32) for x in ids]
+    logs, opened = attention_lm.score(model, seqs, subwords.groups)
+    share, at = 0.0, 0
+    for x, seq in zip(ids, seqs):
+        part = slice(at, at := at + len(seq))
+        share += np.exp(lm_scoring.token_logs(logs[part], opened[part], np.array([len(x)]))[0] + subwords.within[x].sum())
+    end = np.exp(lm_scoring.token_logs(*attention_lm.score(model, [np.zeros(1, np.int32)], subwords.groups), np.array([], int))[0])
+    assert 0.3 < share + end < 1 + 1e-4
+
+
 def test_html():
     model = html_extract.Model.fit(html_extract.labelled_pages())
     page = "<html><body><nav><ul><li><a href=/>menu words</a></li></ul></nav><script>var t='</p>';</script><article><h1>Title &amp; more</h1><p>One  <b>two</b>three.<br>four<p>Five</article><div class=comments><p>nice post by a reader, who says more and more</p></div><footer>foot</footer>"
