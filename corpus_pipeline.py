@@ -15,12 +15,14 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the robust outlier test reject go."""
+    """Documents that the base rules or the robust outlier test reject go; null and empty texts fail the base rules.
+
+    Null and empty languages or sources are one group; repeated rows are judged alike; no rows give no rows."""
     return quality.keep_good(docs).select(*COLUMNS)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one with the largest doc_id stays."""
+    """Of equal texts the one with the largest doc_id stays; rows that repeat that doc_id all stay; null counts as empty."""
     return exact_dedup.drop_exact_copies(docs).select(*COLUMNS)
 
 
@@ -48,7 +50,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best-fit packing", packing_stage),
 ]
 
-#: SQL can express neither the forest nor the packing; tests/llm hold the stages against brute force.
+#: SQL can express neither the forest nor the packing; tests/llm hold the stages against brute force (of the forest's
+#: stage: that all documents stay).
 ORACLE_SQL = None
 
 
