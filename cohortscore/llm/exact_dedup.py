@@ -5,7 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortscore.llm.shared import text_or_empty
+from cohortscore.llm.shared import text_or_empty, written
+
+
+def _surviving(docs: DataFrame, text_col: str, prefix_chars: int) -> tuple[DataFrame, DataFrame]:
+    """The lengths that occur twice, and of rows with such a length the (length, prefix hash) keys that occur twice.
+
+    Both are written, so Spark knows their size when it plans the joins with them: a table under the session's
+    broadcast threshold is broadcast and filters at the scan, where the next level reads only what it lets
+    through; a larger one meets the rows in a shuffle.
+    """
+    lengths = docs.select(F.octet_length(text_or_empty(text_col)).alias("len")).groupBy("len").count().filter("count > 1").select("len")
+    lengths = written(lengths, "exact-lengths")
+    keys = _prefixed(docs, lengths, text_col, prefix_chars).select("len", "prefix").groupBy("len", "prefix").count().filter("count > 1").select("len", "prefix")
+    return lengths, written(keys, "exact-prefixes")
+
+
+def _prefixed(docs: DataFrame, lengths: DataFrame, text_col: str, prefix_chars: int) -> DataFrame:
+    """Rows of `docs` whose length is in `lengths`, as `row, text, len, prefix`."""
+    rows = docs.select(F.struct("*").alias("row"), text_or_empty(text_col).alias("text")).withColumn("len", F.octet_length("text"))
+    return rows.join(lengths, "len", "left_semi").withColumn("prefix", F.xxhash64(F.substring("text", 1, prefix_chars)))
+
+
+def _hashed(docs: DataFrame, lengths: DataFrame, keys: DataFrame, id_col: str, text_col: str, prefix_chars: int) -> DataFrame:
+    """Rows that survive both levels, as `row, id, len, prefix, sha`: only their whole texts are hashed."""
+    rows = _prefixed(docs, lengths, text_col, prefix_chars).join(keys, ["len", "prefix"], "left_semi")
+    return rows.select("row", F.col(f"row.`{id_col}`").alias("id"), "len", "prefix", F.sha2("text", 256).alias("sha"))
+
+
+def _groups(hashed: DataFrame) -> DataFrame:
+    groups = hashed.groupBy("len", "prefix", "sha").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    return groups.filter("group_size > 1")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 128) -> DataFrame:
@@ -18,12 +48,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Null texts count as empty. The largest id stays; a null id stays only where the group has no other.
     """
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text"))
-    rows = rows.withColumns({"len": F.octet_length("text"), "prefix": F.xxhash64(F.substring("text", 1, prefix_chars))})
-    by_length = rows.groupBy("len").count().filter("count > 1").select("len")
-    by_prefix = rows.select("len", "prefix").join(by_length, "len", "left_semi").groupBy("len", "prefix").count().filter("count > 1").select("len", "prefix")
-    hashed = rows.join(by_prefix, ["len", "prefix"], "left_semi").withColumn("sha", F.sha2("text", 256))
-    return hashed.groupBy("len", "prefix", "sha").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
+    return _groups(_hashed(docs, *_surviving(docs, text_col, prefix_chars), id_col, text_col, prefix_chars))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 128) -> DataFrame:
@@ -42,8 +67,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 128) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns. Rows that repeat one id and one text stay as one only if `docs` had one."""
-    groups = exact_groups(docs, id_col, text_col, prefix_chars)
-    whole = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("id"), F.sha2(text_or_empty(text_col), 256).alias("sha"))
-    stays = F.col("group_size").isNull() | F.col("id").eqNullSafe(F.col("keep_id"))
-    return whole.join(groups.select("sha", "keep_id", "group_size"), "sha", "left").filter(stays).select("row.*")
+    """The rows of `docs` that stay, with all their columns. Rows that repeat one id and one text stay as one only if `docs` had one.
+
+    Rows that no length or prefix puts beside another pass without a hash of their text and, while the keys can
+    be broadcast, without a shuffle; only survivors meet their groups.
+    """
+    lengths, keys = _surviving(docs, text_col, prefix_chars)
+    hashed = _hashed(docs, lengths, keys, id_col, text_col, prefix_chars)
+    groups = written(_groups(hashed).select("sha", "keep_id"), "exact-groups")
+    stays = F.col("keep_id").isNull() | F.col("id").eqNullSafe(F.col("keep_id"))
+    text = text_or_empty(text_col)
+    apart = docs.select(F.struct("*").alias("row"), F.octet_length(text).alias("len"), F.xxhash64(F.substring(text, 1, prefix_chars)).alias("prefix"))
+    apart = apart.join(keys, ["len", "prefix"], "left_anti")
+    return apart.select("row.*").unionAll(hashed.join(groups, "sha", "left").filter(stays).select("row.*"))
