@@ -8,14 +8,48 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float], bins: int = 1024) -> DataFrame:
+    """Exact interpolated quantiles of each group: the keys, `n` and `q0`, `q1`, ... in the order of `fractions`.
+
+    Values are counted first. Two passes of histograms then narrow each wanted rank to one bin of `bins`, and to one
+    part of that bin; only the distinct values of that part are put in order in one task, never those of a group.
+    Null keys are a group; null values do not count, and a group without a value gives no row.
+    """
+    cell = F.struct(F.lit(0).alias("_"), *keys).alias("cell")
+    values = rows.filter(F.col(value).isNotNull()).groupBy(cell, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    groups = values.groupBy("cell").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
+    ends, at = groups.select("cell", "lo", "hi"), [F.lit(float(f)) * (F.col("total") - 1) for f in fractions]
+    ranks = F.array_distinct(F.array(*[side(a) for a in at for side in (F.floor, F.ceil)]))
+    want = groups.select(F.col("cell").alias("group"), "cell", F.explode(ranks).alias("place")).withColumn("rank", F.col("place"))
+    within = F.col("rank").between(F.col("before"), F.col("before") + F.col("n") - 1)
+    for _ in range(2):
+        width, inner = F.col("hi") - F.col("lo"), F.struct("cell", "bin").alias("cell")
+        part = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / width * bins))).otherwise(0)
+        parted = values.join(ends, "cell").select("cell", part.alias("bin"), "v", "n")
+        hist = parted.groupBy("cell", "bin").agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        hist = hist.withColumn("before", F.sum("n").over(Window.partitionBy("cell").orderBy("bin")) - F.col("n"))
+        hit = want.join(hist, "cell").filter(within)
+        ends = hit.select(inner, "lo", "hi").distinct()
+        want = hit.select("group", inner, "place", (F.col("rank") - F.col("before")).alias("rank"))
+        values = parted.select(inner, "v", "n").join(ends.select("cell"), "cell", "left_semi")
+    ordered = values.withColumn("before", F.sum("n").over(Window.partitionBy("cell").orderBy("v")) - F.col("n"))
+    found = want.join(ordered, "cell").filter(within).select(F.col("group").alias("cell"), "place", "v").join(groups.select("cell", "total"), "cell")
+    sides = [F.max(F.when(F.col("place") == side(a), F.col("v"))).alias(f"{name}{i}") for i, a in enumerate(at) for name, side in (("a", F.floor), ("b", F.ceil))]
+    between = [(F.col(f"a{i}") + F.when(F.col(f"a{i}") == F.col(f"b{i}"), 0.0).otherwise((a - F.floor(a)) * (F.col(f"b{i}") - F.col(f"a{i}")))).alias(f"q{i}") for i, a in enumerate(at)]
+    return found.groupBy("cell", "total").agg(*sides).select(*[F.col("cell").getField(k).alias(k) for k in keys], F.col("total").alias("n"), *between)
+
+
 def impute_medians(rows: DataFrame, train: DataFrame, brand: str, segment: str, value: str) -> DataFrame:
     """Add `{value}_imputed` and `imputed_from`: observed, else the training median of brand and segment, of segment, of all, else 0."""
-    both = train.groupBy(brand, segment).agg(F.median(value).alias("_m0"))
-    by_segment = train.groupBy(segment).agg(F.median(value).alias("_m1"))
-    whole = train.agg(F.median(value).alias("m")).first()["m"]
-    out = rows.join(both, [brand, segment], "left").join(by_segment, segment, "left")
-    origin = F.when(F.col(value).isNotNull(), "observed").when(F.col("_m0").isNotNull(), "brand_segment").when(F.col("_m1").isNotNull(), "segment").otherwise("all" if whole is not None else "zero")
-    return out.withColumns({f"{value}_imputed": F.coalesce(value, "_m0", "_m1", F.lit(whole), F.lit(0.0)), "imputed_from": origin}).drop("_m0", "_m1")
+    none = F.lit(None).cast("string")
+    levels = [F.struct(F.lit(i).alias("_level"), b.cast("string").alias("_b"), s.cast("string").alias("_s")) for i, (b, s) in enumerate(((F.col(brand), F.col(segment)), (none, F.col(segment)), (none, none)))]
+    keys = ["_level", "_b", "_s"]
+    middle = exact_quantiles(train.select(F.col(value).alias("_v"), F.inline(F.array(*levels))), keys, "_v", [0.5])
+    at = lambda i, *names: middle.filter(F.col("_level") == i).select(*names, F.col("q0").alias(f"_m{i}"))
+    out = rows.join(at(0, F.col("_b").alias(brand), F.col("_s").alias(segment)), [brand, segment], "left").join(at(1, F.col("_s").alias(segment)), segment, "left")
+    out = out.withColumn("_one", F.lit(1)).join(F.broadcast(at(2, F.lit(1).alias("_one"))), "_one", "left")  # one row
+    origin = F.when(F.col(value).isNotNull(), "observed").when(F.col("_m0").isNotNull(), "brand_segment").when(F.col("_m1").isNotNull(), "segment").when(F.col("_m2").isNotNull(), "all").otherwise("zero")
+    return out.withColumns({f"{value}_imputed": F.coalesce(value, "_m0", "_m1", "_m2", F.lit(0.0)), "imputed_from": origin}).drop("_one", "_m0", "_m1", "_m2")
 
 
 def sensitivity(gold: DataFrame, scenarios: Mapping[str, Mapping[str, float]], base: str, segment: str, year: str, train_max: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cohortscore.functions import text as T
+from cohortscore.operators import audits as A
 from cohortscore.operators import cohorts as C
 
 #: Keyword classes, their weights, and words that are no part of a root name. Fixed values.
@@ -109,12 +110,15 @@ def config_conflicts(spark, d):
 
 
 def eda_summary(spark, d):
-    return _orders(spark, d).agg(F.count("*").alias("n"), F.countDistinct("brand").alias("brands"), F.countDistinct("c_mktsegment").alias("segments"), F.min("y").alias("first"), F.max("y").alias("last"), F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.median("o_totalprice"), 4).alias("median"), F.round(F.corr("o_totalprice", "prio"), 6).alias("corr"))
+    rows = _orders(spark, d)
+    whole = rows.agg(F.count("*").alias("n"), F.countDistinct("brand").alias("brands"), F.countDistinct("c_mktsegment").alias("segments"), F.min("y").alias("first"), F.max("y").alias("last"), F.round(F.avg("o_totalprice"), 4).alias("mean"), F.round(F.corr("o_totalprice", "prio"), 6).alias("corr"))
+    middle = A.exact_quantiles(rows, [], "o_totalprice", [0.5]).select(F.lit(1).alias("one"), F.round("q0", 4).alias("median"))
+    return whole.withColumn("one", F.lit(1)).join(F.broadcast(middle), "one", "left").drop("one")  # one row each
 
 
 def category_quantiles(spark, d):
-    q = F.percentile("o_totalprice", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    return _orders(spark, d).groupBy("c_mktsegment").agg(q.alias("q")).select("c_mktsegment", *[F.round(F.col("q")[i], 4).alias(f"q{i}") for i in range(5)])
+    out = A.exact_quantiles(_orders(spark, d), ["c_mktsegment"], "o_totalprice", [0.0, 0.25, 0.5, 0.75, 1.0])
+    return out.select("c_mktsegment", *[F.round(f"q{i}", 4).alias(f"q{i}") for i in range(5)])
 
 
 def segment_context(spark, d):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_queries import SF, db  # noqa: F401
 
+from cohortscore.operators import audits
 from cohortscore.operators import models as M
 from cohortscore.plans import modelling
 from cohortscore.plans import queries as Q
@@ -59,3 +60,20 @@ def test_baseline_shapley_adds_up(spark):
 @pytest.mark.parametrize("errors,chosen", [({"baseline": 2.0, "ridge": 1.0, "forest": 0.9}, "ridge"), ({"baseline": 2.0, "ridge": 1.0, "forest": 0.89}, "forest"), ({"baseline": 1.0, "ridge": 1.0, "forest": 1.0}, "baseline"), ({}, "baseline")])
 def test_selection(errors, chosen):
     assert M.select_model(errors) == chosen
+
+
+def test_exact_quantiles_of_skewed_ties_and_null_groups(spark):
+    """Against numpy: a hot value, values far apart and close together, one value, a null group, nulls, and no rows."""
+    rng = np.random.default_rng(3)
+    groups = {"hot": np.r_[np.full(4000, 7.0), rng.normal(size=999)], "far": np.r_[1e12, 1 + rng.random(3000) * 1e-3, -1e9], "one": np.array([5.0]), None: np.round(rng.random(200), 1)}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("hot", None), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    fractions = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    for bins in (1024, 2):
+        got = {r["g"]: r for r in audits.exact_quantiles(df, ["g"], "v", fractions, bins).collect()}
+        assert got.keys() == groups.keys()
+        for g, xs in groups.items():
+            assert got[g]["n"] == len(xs) and np.allclose([got[g][f"q{i}"] for i in range(6)], np.quantile(xs, fractions), rtol=1e-12, atol=1e-12)
+    every = audits.exact_quantiles(df, [], "v", [0.5]).collect()
+    assert len(every) == 1 and every[0]["q0"] == np.median(np.concatenate(list(groups.values())))
+    assert audits.exact_quantiles(df.limit(0), ["g"], "v", [0.5]).count() == 0
