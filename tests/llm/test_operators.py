@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 import tokenizers
+from pyspark.sql import functions as F
 
 from cohortscore.llm import attention_lm, bpe, exact_dedup, html_extract, jaccard_join, lm_scoring, packing, quality, secret_scan, shingle_words, substring_dedup, url_filter
 from cohortscore.llm.oracle import ORACLE
@@ -429,6 +430,29 @@ def test_urls(spark):
     assert got == {1: ("www.a.example.org", "/es/1", "example.org/es/", "block"), 2: ("b.example.com", "/x/", None, "block"), 3: ("", "", None, "allow"), 4: ("", "", None, "allow"), 5: ("c.com", "", None, "allow")}
 
 
+def test_url_edges(spark):
+    """Empty tables, repeated rows on both sides, a very long URL, and columns named like the results."""
+    rows = [(1, "http://a.net/x", "r"), (1, "http://a.net/x", "r"), (2, "http://b.net/" + "y" * 200_000, None), (3, "", "r"), (None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, rule string").withColumn("verdict", F.lit("v")).withColumn("block", F.lit(1))
+    listed = spark.createDataFrame([("http://a.net/x",), ("http://a.net/x",), ("http://b.net/" + "y" * 200_000,)], "url string")
+    got = Counter((r["id"], r["verdict"]) for r in url_filter.url_filter(pages, listed, ()).collect())
+    assert got == {(1, "block"): 2, (2, "block"): 1, (3, "allow"): 1, (None, "allow"): 1}
+    assert {r["verdict"] for r in url_filter.url_filter(pages, listed.limit(0), ()).collect()} == {"allow"}
+    assert url_filter.url_filter(pages.limit(0), listed, ()).count() == 0
+
+
+def test_secret_edges(spark):
+    """Null, empty, very long and repeated texts, two equal secrets in one text, and columns named like the results."""
+    key = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
+    texts = [(1, key), (1, key), (2, None), (3, ""), (4, "plain words " * 50_000 + key), (5, key + " and " + key)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("length", F.lit(1)).withColumn("start", F.lit("s"))
+    out = secret_scan.redacted(docs)
+    clean = key.replace("04dbebab91ab85687d33eeaaf9ac699e1188f962", "[SECRET]")
+    want = [(1, clean), (1, clean), (2, None), (3, ""), (4, "plain words " * 50_000 + clean), (5, clean + " and " + clean)]
+    assert out.columns == docs.columns and sorted((r["doc_id"], r["text"] or "") for r in out.collect()) == sorted((i, t or "") for i, t in want)
+    assert secret_scan.redacted(docs.limit(0)).count() == 0
+
+
 def brute_good(rows):
     """Ids that the quality rules keep, of (id, text, lang, source)."""
     groups, ids = {}, {}
