@@ -145,4 +145,51 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT base_failed AND NOT coalesce(d2 > {CUT}, false) AS kept FROM judged"""
 
 
-ORACLE = {"op1_quality_rules": op1(), "op2_exact_dedup": OP2, "op5_jaccard_join": OP5, "op8_substring_dedup": OP8, "op10_url_filter": OP10}
+#: Units and cuts by list slices; the text itself is what must come back.
+OP11 = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|(?s:[^A-Za-z])') AS u, sha256('1:' || coalesce(doc_id::varchar, '')) AS h FROM documents),
+d AS (SELECT *, len(u) AS n, ('0x' || h[1:8])::bigint AS h1, ('0x' || h[9:16])::bigint AS h2, ('0x' || h[17:24])::bigint AS h3, ('0x' || h[25:32])::bigint AS h4 FROM t),
+f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (SELECT *, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+#: Equal words at each distance up to a quarter of the text, their unbroken stretches, the smallest period of each.
+#: crc32 by its table, byte by byte of the decimal id.
+OP12 = r"""
+WITH RECURSIVE bits(i, k, v) AS (SELECT i, 0, i FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM bits WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(v ORDER BY i) AS tab FROM bits WHERE k = 8),
+sums(doc_id, s, k, c) AS (SELECT DISTINCT doc_id, doc_id::varchar, 0, 4294967295::bigint FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT doc_id, s, k + 1, xor(c // 256, tab[xor(c % 256, ascii(s[k + 1])) + 1]) FROM sums, crc WHERE k < length(s)),
+h AS (SELECT doc_id, xor(c, 4294967295::bigint) AS h FROM sums WHERE k = length(s)),
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+a AS (SELECT w.*, len(ws) AS n, h, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM w LEFT JOIN h ON w.doc_id = h.doc_id),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+u AS (SELECT doc_id, n, unnest(range(n)) AS i, a, p, ws FROM p),
+x AS MATERIALIZED (SELECT doc_id, n, i, CASE WHEN i >= a THEN ws[a + (i - a) % p + 1] ELSE ws[i + 1] END AS w FROM u),
+e AS (SELECT y.doc_id, z.i - y.i AS q, y.i, y.i - row_number() OVER (PARTITION BY y.doc_id, z.i - y.i ORDER BY y.i) AS island
+      FROM x y JOIN x z ON y.doc_id = z.doc_id AND y.w = z.w AND z.i > y.i AND 4 * (z.i - y.i) <= y.n),
+m AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM e GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+r AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM m GROUP BY 1, 2, 3),
+g AS (SELECT doc_id, count(*) AS n_runs, arg_min(start, (-length, start, period)) AS start, arg_min(length, (-length, start, period)) AS length, arg_min(period, (-length, start, period)) AS period,
+        string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT x.doc_id, string_agg(w, ' ' ORDER BY x.i) AS kept FROM x LEFT JOIN c ON x.doc_id = c.doc_id AND x.i = c.i WHERE c.i IS NULL GROUP BY 1)
+SELECT w.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM w LEFT JOIN g ON w.doc_id = g.doc_id LEFT JOIN k ON w.doc_id = k.doc_id
+"""
+
+OP13 = r"""
+WITH t AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+u AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM t),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM u),
+g AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (top <> doc_id) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (top IS NULL OR top = doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN g ON k.key = g.key GROUP BY 1
+"""
+
+ORACLE = {"op1_quality_rules": op1(), "op2_exact_dedup": OP2, "op5_jaccard_join": OP5, "op8_substring_dedup": OP8, "op10_url_filter": OP10, "op11_fill_in_middle": OP11, "op12_periodic_runs": OP12, "op13_line_dedup": OP13}

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortscore.llm import bpe, exact_dedup, html_extract, jaccard_join, lm_scoring, packing, quality, secret_scan, substring_dedup, url_filter
-from cohortscore.llm.shared import table
+from cohortscore.llm import bpe, exact_dedup, fill_middle, html_extract, jaccard_join, line_dedup, lm_scoring, packing, periodic_runs, quality, secret_scan, substring_dedup, url_filter
+from cohortscore.llm.shared import WORD_GAP, let, table
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: (verdict, host, path). Fixed values.
@@ -68,6 +68,44 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(pages, pages.filter(site.isin(*LISTED_SITES)).select("url"), URL_RULES).withColumnRenamed("id", "page_id").drop("maybe_listed")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.restored(fill_middle.fill_in_middle(table(spark, sf_dir, "documents")))
+    return made.select(F.col("id").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """`doc_id, text` with the words of every tenth document, by crc32 of its id, repeating from a word on. A null id is left alone."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def again(words: Column) -> Column:
+        n = F.size(words)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        places = F.transform(words, lambda x, i: F.when(i < a, x).otherwise(F.get(words, (a + (i - a) % p).cast("int"))))
+        return F.array_join(places, " ")
+
+    text = F.coalesce("text", F.lit(""))
+    words = F.filter(F.split(text, WORD_GAP), lambda x: x != "")
+    return docs.select("doc_id", F.when(h % 10 == 0, let(words, lambda w: F.when(F.size(w) > 0, again(w)).otherwise(""))).otherwise(text).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(planted_runs(table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    rows = found.withColumn("best", best).withColumn("length", -F.col("best.less"))
+    return rows.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), "best.start", "length", "best.period", F.floor(1000 * F.col("length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(table(spark, sf_dir, "documents"), text=True)
+    return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_exact_dedup": op2_exact_dedup,
@@ -79,4 +117,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_url_filter": op10_url_filter,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_line_dedup": op13_line_dedup,
 }
