@@ -104,8 +104,9 @@ def flag(c: Column) -> Column:
 
 
 def request_digest(*parts: Column) -> Column:
-    """Twelve hex digits that name a request, whatever the case of its parts."""
-    return F.substring(F.sha2(F.concat_ws("\u001f", *[F.lower(F.coalesce(p.cast("string"), F.lit(""))) for p in parts]), 256), 1, 12)
+    """Twelve hex digits that name a request, whatever the case of its parts and the white space around them."""
+    bare = [F.regexp_replace(F.coalesce(p.cast("string"), F.lit("")), "(?U)^\\s+|\\s+\\z", "") for p in parts]
+    return F.substring(F.sha2(F.concat_ws("\u001f", *[F.lower(p) for p in bare]), 256), 1, 12)
 
 
 #: What a reviewer is advised to do. Fixed values.

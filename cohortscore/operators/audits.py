@@ -88,11 +88,15 @@ def sensitivity(gold: DataFrame, scenarios: Mapping[str, Mapping[str, float]], b
 
 def scope_sample(rows: DataFrame, year: str, make: str, order: Sequence[str], n: int) -> DataFrame:
     """`n` rows round robin over years, and within a year over makes; evenly spaced years if there are more years than `n`."""
-    years = sorted(r[0] for r in rows.select(year).filter(F.col(year).isNotNull()).distinct().collect())  # calendar years
-    if n < len(years):
-        years = [years[round(i * (len(years) - 1) / max(1, n - 1))] for i in range(n)]
+    known = rows.filter(F.col(year).isNotNull())
+    # Calendar years are few, so one task ranks them; from 0 to `last`, the place i of n nearest to each is a bound on the rank.
+    ranked = known.select(year).distinct().withColumn("_place", F.dense_rank().over(Window.orderBy(year)) - 1)
+    size = ranked.agg(F.max("_place").alias("_last"))
+    step = F.greatest(F.lit(1), F.col("_last")) / F.lit(max(1, n - 1))
+    wanted = size.select("_last", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_i")).select("_last", F.when(F.col("_last") < n, F.col("_i")).otherwise(F.bround(F.col("_i") * step)).cast("int").alias("_place"))
+    years = ranked.join(wanted.select("_place").distinct(), "_place", "left_semi").select(year)
     # No more than n rows of one year and make, nor n of one year, can be taken.
-    of_make = rows.filter(F.col(year).isin(years)).withColumn("_r", F.row_number().over(Window.partitionBy(year, make).orderBy(*order))).filter(F.col("_r") <= n)
+    of_make = known.join(F.broadcast(years), year, "left_semi").withColumn("_r", F.row_number().over(Window.partitionBy(year, make).orderBy(*order))).filter(F.col("_r") <= n)
     placed = of_make.withColumn("position", F.row_number().over(Window.partitionBy(year).orderBy("_r", make, *order)))
     return placed.orderBy("position", year).limit(n).drop("_r")
 

@@ -60,11 +60,32 @@ def fit_forest(train: DataFrame, numbers: Sequence[str], categories: Sequence[st
 
 
 def select_model(errors: Mapping[str, float | None], margin: float = 0.1) -> str:
-    """The simplest of `baseline, ridge, forest` with the least validation error; the forest only if it beats ridge by more than `margin`."""
-    known = {k: errors[k] for k in ("baseline", "ridge", "forest") if errors.get(k) is not None}
-    if "forest" in known and "ridge" in known and not known["forest"] < known["ridge"] * (1 - margin):
-        del known["forest"]
-    return min(known, key=known.__getitem__, default="baseline")
+    return selection(errors, margin)[0]
+
+
+def selection(errors: Mapping[str, float | None], margin: float = 0.1, validated: bool = True) -> tuple[str, str, float | None]:
+    """(model, reason, share by which the forest's error is below ridge's) of `baseline, ridge, forest`.
+
+    The least validation error wins, the simpler model on ties. The forest stands for election only against a ridge
+    with a known error above 0, when its error is lower by more than `margin` of it. Without validation rows or any
+    known error the baseline stays.
+    """
+    known = {k: float(errors[k]) for k in ("baseline", "ridge", "forest") if errors.get(k) is not None}
+    if not validated:
+        return "baseline", "no_validation", None
+    forest = known.pop("forest", None)
+    gain = (known["ridge"] - forest) / known["ridge"] if forest is not None and known.get("ridge", 0.0) > 0 else None
+    worth = gain is not None and gain > margin
+    if not known:
+        return "baseline", "no_valid_metric", gain
+    if worth:
+        known["forest"] = forest
+    chosen = min(known, key=known.__getitem__)  # in order of simplicity
+    if chosen == "ridge" and gain is not None and not worth:
+        return chosen, "forest_gain_below_margin", gain
+    if chosen == "baseline" and worth:
+        return chosen, "baseline_beats_eligible_forest", gain
+    return chosen, "least_error", gain
 
 
 def shapley_values(rows: DataFrame, row_id: str, reference: Mapping[str, object], predict: Callable[[DataFrame], DataFrame]) -> DataFrame:

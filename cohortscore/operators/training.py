@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml.regression import LinearRegressionModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortscore.functions.text import direction
 from cohortscore.operators import cohorts as C
+from cohortscore.operators.matching import enforce
 from cohortscore.operators.models import Fitted, _standard, select_model
 
 
@@ -52,10 +53,16 @@ def batch_scores(scored: DataFrame, year: str, model: str, mae: float | None, av
     return scored.withColumns({"score": F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), "predicted")), 2), "model": F.lit(model), "mae": F.lit(mae).cast("double"), "retrospective": F.col(year) < available_from})
 
 
-def evidence_gate(requests: DataFrame, supported: str, identity: str, history_source: str, official_catalog: bool = True) -> DataFrame:
-    """Add `refusal`: why a request gets no score, or null. A brand of the baseline needs nothing else."""
-    reason = F.when(F.lit(not official_catalog), "no_official_catalog").when(~F.coalesce(identity, F.lit(False)), "identity_not_verified").when(F.coalesce(history_source, F.lit("")) != "own", "no_prior_cohorts")
-    return requests.withColumn("refusal", F.when(F.coalesce(supported, F.lit(False)), F.lit(None).cast("string")).otherwise(reason))
+def evidence_gate(requests: DataFrame, supported: str, identity: str, history_source: str, official_catalog: bool = True, model: str = "baseline") -> DataFrame:
+    """Add `refusal`: why a request gets no score, or null.
+
+    With the baseline as the model, a brand it was not trained on is `unsupported_brand`, whatever else is known of it,
+    and one that it was trained on needs nothing else. Other models need the official catalog, a verified identity and
+    history of the brand's own earlier cohorts, in this order. Null evidence is no evidence.
+    """
+    known = F.coalesce(F.col(supported), F.lit(False))
+    evidence = F.when(F.lit(not official_catalog), "no_official_catalog").when(~F.coalesce(F.col(identity), F.lit(False)), "identity_not_verified").when(F.coalesce(F.col(history_source), F.lit("")) != "own", "no_prior_cohorts")
+    return requests.withColumn("refusal", F.when(~known, "unsupported_brand") if model == "baseline" else evidence)
 
 
 def baseline_explanation(scored: DataFrame, train: DataFrame, brand: str, segment: str, value: str) -> DataFrame:
@@ -107,12 +114,41 @@ def factors(effects: DataFrame, row_id: str, features: Sequence[str], top: int)
     return long.withColumn("place", place).filter(F.col("place") <= top).withColumn("direction", direction(F.col("effect")))
 
 
-def sentences(top_factors: DataFrame, row_id: str) -> DataFrame:
-    """`row_id, sentence`: one fixed sentence of the factors in order."""
+#: Names of features and of the groups of the baseline in sentences. Fixed values.
+FEATURE_NAMES: Mapping[str, str] = {
+    "marca": "la marca",
+    "categoria_vehiculo": "la categoría del vehículo",
+    "mediana_cilindros": "los cilindros",
+    "mediana_cv": "la potencia",
+    "hist_fiabilidad_marca": "el historial previo de la marca",
+}
+GROUP_NAMES = {"brand_segment": "marca y segmento", "brand": "marca", "segment": "segmento", "all": "media global"}
+NO_FACTORS = "No hay factores explicativos disponibles para esta estimación."
+ASSOCIATION = ". Explicación determinista de asociaciones del modelo; no demuestra causalidad."
+BASELINE_LIMITS = "Potencia, cilindros e historial reciente no intervienen en este baseline; el perfil técnico se muestra únicamente como contexto. No distingue modelos dentro del mismo grupo ni demuestra causas de averías."
+
+
+def feature_label(feature: Column) -> Column:
+    """The name of a feature in words, its first letter alone in upper case."""
+    names = F.create_map(*[F.lit(x) for pair in FEATURE_NAMES.items() for x in pair])
+    words = F.lower(F.coalesce(names[feature], F.replace(feature, F.lit("_"), F.lit(" "))))
+    return F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, 2, 10_000))
+
+
+def sentences(top_factors: DataFrame, row_id: str, rows: DataFrame | None = None) -> DataFrame:
+    """`row_id, sentence`: one fixed sentence of the factors in order. With `rows`, those without a factor get a sentence too."""
     verb = F.when(F.col("effect") > 0, "eleva").when(F.col("effect") < 0, "reduce").otherwise("apenas modifica")
-    said = F.format_string("%s %s el índice (%+.1f puntos)", F.initcap(F.replace("feature", F.lit("_"), F.lit(" "))), verb, F.col("effect"))
+    said = F.format_string("%s %s el índice (%+.1f puntos)", feature_label(F.col("feature")), verb, F.col("effect"))
     parts = F.array_sort(F.collect_list(F.struct("place", said.alias("s"))))
-    return top_factors.groupBy(row_id).agg(F.concat(F.array_join(F.transform(parts, lambda p: p["s"]), "; "), F.lit(". Explicación determinista de asociaciones del modelo; no demuestra causalidad.")).alias("sentence"))
+    out = top_factors.groupBy(row_id).agg(F.concat(F.array_join(F.transform(parts, lambda p: p["s"]), "; "), F.lit(ASSOCIATION)).alias("sentence"))
+    return out if rows is None else rows.select(row_id).distinct().join(out, row_id, "left").withColumn("sentence", F.coalesce("sentence", F.lit(NO_FACTORS)))
+
+
+def baseline_sentences(explained: DataFrame, row_id: str) -> DataFrame:
+    """`row_id, sentence` of rows with `level, value, predicted, baseline, effect`, as `baseline_explanation` gives them."""
+    group = F.create_map(*[F.lit(x) for pair in GROUP_NAMES.items() for x in pair])[F.col("level")]
+    said = F.format_string("El baseline utiliza %s: %s. La estimación del grupo es %.2f/100, frente a %.2f/100 de la media global de entrenamiento (diferencia: %+.2f puntos). %s", group, F.col("value"), F.col("predicted"), F.col("baseline"), F.col("effect"), F.lit(BASELINE_LIMITS))
+    return explained.select(row_id, said.alias("sentence"))
 
 
 def importance(effects: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -122,22 +158,24 @@ def importance(effects: DataFrame, features: Sequence[str]) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.when(total > 0, F.col(f) / total).otherwise(0.0).alias("importance")) for f in features])))
 
 
-def window_protocol(windows: Sequence[tuple[int, int, int]]) -> None:
-    """Cuts (train, validation, test end) rise strictly, and test intervals do not overlap."""
-    before = None
-    if not windows:
-        raise ValueError("no windows")
-    for a, b, c in windows:
-        if not a < b < c:
-            raise ValueError("cuts must rise strictly")
-        if before is not None and b < before:
-            raise ValueError("test intervals must not overlap")
-        before = c
+def window_violations(windows: DataFrame) -> DataFrame:
+    """`rule, train_end, validation_end, test_end` of the windows that break the protocol; `windows` has the three years.
+
+    `cuts_do_not_rise`: a year is null or not above the one before it. `tests_overlap`: the test years begin before those
+    of the window before, in order of the validation's end, are over. A handful of rows, so one task orders them.
+    """
+    cuts = [F.col(c) for c in ("train_end", "validation_end", "test_end")]
+    rises = F.coalesce((cuts[0] < cuts[1]) & (cuts[1] < cuts[2]), F.lit(False))
+    over = F.lag("test_end").over(Window.orderBy("validation_end", "test_end", "train_end"))
+    rules = F.array_compact(F.array(F.when(~rises, "cuts_do_not_rise"), F.when(F.col("_over") > cuts[1], "tests_overlap")))
+    return windows.withColumn("_over", over).withColumn("rule", F.explode(rules)).select("rule", *cuts)
 
 
 def temporal_windows(rows: DataFrame, windows: Sequence[tuple[int, int, int]], brand: str, segment: str, year: str, value: str, years: int = 3) -> DataFrame:
     """The baseline's test errors in each window: `window, status, n_train, n_test, mae, rmse`; a window without a part is not evaluable."""
-    window_protocol(windows)
+    if not windows:
+        raise ValueError("no windows")
+    enforce(window_violations(rows.sparkSession.createDataFrame(windows, "train_end int, validation_end int, test_end int")), "the windows break the protocol")
     out = None
     for a, b, c in windows:
         part = C.temporal_split(rows.filter(F.col(year) <= c), year, a, b, years)

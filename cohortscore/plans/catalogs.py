@@ -85,7 +85,7 @@ def _identities(spark, d):
 
 
 def independent_identity(spark, d):
-    return _identities(spark, d).select("p_partkey", "identity_status", "n_spellings", F.array_join("source_ids", ",").alias("source_ids"))
+    return _identities(spark, d).select("p_partkey", "identity_status", "n_spellings", F.array_join("source_ids", ",").alias("source_ids"), "query_model", "recall_query_status", "label_eligible")
 
 
 def identity_responses(spark, d):
@@ -150,8 +150,8 @@ _REG = f"""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAS
   k AS (SELECT *, {_ID('make', "coalesce(model, '')", 'year::varchar')} AS vehicle_id FROM r WHERE kind = 'V' AND year BETWEEN 1995 AND 1999) """
 _P = "WITH p AS (SELECT p_partkey, p_brand AS make, p_name AS model, p_size AS year, p_type FROM part)"
 _IDENT = _P + f""", s AS (SELECT p_partkey AS sid, make, year, CASE WHEN p_partkey % 3 = 0 THEN upper(model) ELSE model END AS model FROM p WHERE p_partkey % 2 = 0),
-  g AS (SELECT {Q._CANON('make')} AS m, {Q._JOINED('model')} AS l, year, count(DISTINCT make || '/' || model) AS n, array_to_string(list_sort(list(DISTINCT sid)), ',') AS ids FROM s GROUP BY 1, 2, 3),
-  i AS (SELECT p.*, CASE WHEN n IS NULL THEN 'no_independent_identity' WHEN n = 1 THEN 'exact_independent_identity' ELSE 'ambiguous_independent_identity' END AS identity_status, coalesce(n, 0) AS n_spellings, ids FROM p LEFT JOIN g ON {Q._CANON('p.make')} = m AND {Q._JOINED('p.model')} = l AND p.year = g.year WHERE p_partkey % 2 = 1) """
+  g AS (SELECT {Q._CANON('make')} AS m, {Q._JOINED('model')} AS l, year, count(DISTINCT make || '/' || model) AS n, min(model) AS one, array_to_string(list_sort(list(DISTINCT sid::varchar)), ',') AS ids FROM s GROUP BY 1, 2, 3),
+  i AS (SELECT p.*, CASE WHEN n IS NULL THEN 'absent_from_independent_inventory' WHEN n = 1 THEN 'exact_independent_identity' ELSE 'ambiguous_independent_identity' END AS identity_status, coalesce(n, 0) AS n_spellings, ids, one FROM p LEFT JOIN g ON {Q._CANON('p.make')} = m AND {Q._JOINED('p.model')} = l AND p.year = g.year WHERE p_partkey % 2 = 1) """
 _NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "tax", "l_linenumber")
 ORACLE = {
     "bulk_vehicles": _REG + "SELECT vehicle_id, make, model, year, true AS verified FROM k WHERE model IS NOT NULL QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) = 1",
@@ -165,7 +165,7 @@ ORACLE = {
     "request_plan": _P + f"SELECT make, replace(model, ' ', '-') AS model, year FROM p WHERE p_partkey % 7 <> 0 QUALIFY row_number() OVER (PARTITION BY {Q._CANON('make')}, {Q._JOINED('model')}, year ORDER BY p_partkey) = 1",
     "make_year_plan": _P + f"SELECT make, year FROM p QUALIFY row_number() OVER (PARTITION BY {Q._CANON('make')}, year ORDER BY p_partkey) = 1",
     "run_manifest": "WITH m AS (SELECT CASE WHEN c_acctbal < 3000 THEN 'rejected' WHEN c_acctbal < 4000 THEN 'manual_review' ELSE 'auto_accepted' END AS status FROM customer), g AS (SELECT status, count(*) AS n FROM m GROUP BY 1) SELECT sum(n)::bigint AS n, round(sum(CASE WHEN status = 'auto_accepted' THEN 0 ELSE n END) / sum(n), 6) AS loss_rate, CASE WHEN round(sum(CASE WHEN status = 'auto_accepted' THEN 0 ELSE n END) / sum(n), 6) > 0.4 THEN 'loss_above_alarm' END AS warning, array_to_string(list_sort(list(status || '=' || n)), ';') AS statuses FROM g",
-    "independent_identity": _IDENT + "SELECT p_partkey, identity_status, n_spellings, ids AS source_ids FROM i",
+    "independent_identity": _IDENT + "SELECT p_partkey, identity_status, n_spellings, coalesce(ids, '') AS source_ids, CASE WHEN n_spellings = 1 THEN one END AS query_model, 'not_queried' AS recall_query_status, false AS label_eligible FROM i",
     "identity_responses": _IDENT + "SELECT i.p_partkey, CASE WHEN identity_status <> 'exact_independent_identity' THEN 'not_queried' WHEN i.p_partkey % 5 = 0 OR year = 50 THEN 'query_failed' WHEN year > 20 THEN 'campaigns_returned_review_required' ELSE 'empty_response_identity_only' END AS recall_query_status FROM i",
     "exclusion_counts": _IDENT + "SELECT identity_status, count(*) AS n FROM i WHERE year >= 20 GROUP BY 1",
     "resolution_summary": _IDENT + "SELECT identity_status, make, year, count(*) AS n, count(DISTINCT model) AS n_distinct FROM i GROUP BY GROUPING SETS ((identity_status), (identity_status, make), (identity_status, year))",

@@ -46,7 +46,8 @@ def batch_scores(spark, d):
 
 def evidence_gate(spark, d):
     rows = Q._t(spark, d, "customer").select("c_custkey", (F.col("c_nationkey") < 5).alias("supported"), F.when(F.col("c_nationkey") != 9, F.col("c_acctbal") > 0).alias("identity"), F.when(F.col("c_custkey") % 2 == 0, "own").when(F.col("c_custkey") % 3 == 0, "market").alias("source"))
-    return R.evidence_gate(rows, "supported", "identity", "source").select("c_custkey", "refusal")
+    other = R.evidence_gate(rows, "supported", "identity", "source", model="ridge").withColumnRenamed("refusal", "ridge_refusal")
+    return R.evidence_gate(other, "supported", "identity", "source").select("c_custkey", "refusal", "ridge_refusal")
 
 
 def baseline_explanation(spark, d):
@@ -75,6 +76,14 @@ def explanation_sentences(spark, d):
     return R.sentences(R.factors(rows, "c_custkey", ["brand", "market_segment"], 2), "c_custkey")
 
 
+def baseline_sentences(spark, d):
+    train, test = _parts(spark, d)
+    rows = test.withColumn("o_totalprice", F.col("o_totalprice") / 4000)
+    scored = C.hierarchical_mean(rows, train.withColumn("o_totalprice", F.col("o_totalprice") / 4000), "brand", "c_mktsegment", "o_totalprice")
+    explained = R.baseline_explanation(scored, train.withColumn("o_totalprice", F.col("o_totalprice") / 4000), "brand", "c_mktsegment", "o_totalprice")
+    return R.baseline_sentences(explained.withColumns({c: F.round(F.col(c) + SHIFT, 2) for c in ("predicted", "baseline")}).withColumn("effect", F.col("predicted") - F.col("baseline")), "o_orderkey")
+
+
 def feature_importance(spark, d):
     return R.importance(_effects(spark, d), ["brand", "c_mktsegment"]).select("feature", F.round("importance", 4).alias("importance"))
 
@@ -108,7 +117,7 @@ def chosen_model(spark, d):
     return errors.select(F.lit(name).alias("model"), F.lit(first).alias("available_from"), "n", *[F.round(c, 2).alias(c) for c in ("mae", "rmse")])
 
 
-NAMES = (adaptive_split, relabelled_target, prediction_frame, batch_scores, evidence_gate, baseline_explanation, counterfactual_effects, top_factor, explanation_sentences, feature_importance, ridge_effects, temporal_windows, frozen_audit, chosen_model)
+NAMES = (adaptive_split, relabelled_target, prediction_frame, batch_scores, evidence_gate, baseline_explanation, counterfactual_effects, top_factor, explanation_sentences, baseline_sentences, feature_importance, ridge_effects, temporal_windows, frozen_audit, chosen_model)
 QUERIES = {f.__name__: f for f in NAMES}
 
 _FIT = Q._BASE + f""", t AS (SELECT * FROM o WHERE y <= {TRAIN_END}), m0 AS (SELECT brand, c_mktsegment, avg(o_totalprice) AS a FROM t GROUP BY 1, 2), m1 AS (SELECT brand, avg(o_totalprice) AS b FROM t GROUP BY 1), m2 AS (SELECT c_mktsegment, avg(o_totalprice) AS c FROM t GROUP BY 1), m3 AS (SELECT avg(o_totalprice) AS g FROM t),
@@ -135,11 +144,12 @@ ORACLE = {
     "relabelled_target": Q._BASE + ", t AS (SELECT c_mktsegment, avg(o_totalprice) AS m, stddev_pop(o_totalprice) AS d FROM o WHERE y <= 1996 GROUP BY 1) SELECT o_orderkey, CASE WHEN y <= 1997 THEN CASE WHEN y > 1996 THEN 'train_embargoed' ELSE 'train' END WHEN y <= 1999 THEN CASE WHEN y > 1998 THEN 'validation_embargoed' ELSE 'validation' END ELSE 'test' END AS partition, round(greatest(0, least(100, 50 - 10 * (o_totalprice - m) / d)), 4) AS index_100 FROM o JOIN t USING (c_mktsegment)",
     "prediction_frame": _SCORED + "SELECT o_orderkey, round(round(p, 4) + 0.00137, 2) AS predicted, round(round(abs(round(p, 4) - o_totalprice), 4) + 0.00137, 2) AS absolute_error, 'baseline' AS model, 'test' AS partition FROM e",
     "batch_scores": _SCORED + "SELECT o_orderkey, round(greatest(0, least(100, p / 2000)), 2) AS score, 'baseline' AS model, y < 2001 AS retrospective FROM e",
-    "evidence_gate": "SELECT c_custkey, CASE WHEN c_nationkey < 5 THEN NULL WHEN c_nationkey = 9 OR c_acctbal <= 0 THEN 'identity_not_verified' WHEN c_custkey % 2 <> 0 THEN 'no_prior_cohorts' END AS refusal FROM customer",
+    "evidence_gate": "SELECT c_custkey, CASE WHEN c_nationkey >= 5 THEN 'unsupported_brand' END AS refusal, CASE WHEN c_nationkey = 9 OR c_acctbal <= 0 THEN 'identity_not_verified' WHEN c_custkey % 2 <> 0 THEN 'no_prior_cohorts' END AS ridge_refusal FROM customer",
     "baseline_explanation": _SCORED + f"SELECT o_orderkey, level, CASE level WHEN 'brand_segment' THEN brand || ' / ' || c_mktsegment WHEN 'brand' THEN brand WHEN 'segment' THEN c_mktsegment ELSE 'all' END AS value, {_DIR('p - g')} AS direction, round(g, 3) AS baseline, round(p - g, 3) AS effect FROM e CROSS JOIN m3",
     "counterfactual_effects": _CF + "SELECT o_orderkey, round(p + 1e-7, 3) AS predicted, round(x1 + 1e-7, 3) AS effect_brand, round(x2 + 1e-7, 3) AS effect_c_mktsegment FROM f",
     "top_factor": _CF + f", l AS (SELECT o_orderkey, unnest(['brand', 'c_mktsegment']) AS feature, unnest([round(x1 + 1e-7, 3), round(x2 + 1e-7, 3)]) AS effect FROM f) SELECT o_orderkey, feature, effect, 1 AS place, {_DIR('effect')} AS direction FROM l QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY abs(effect) DESC, feature) = 1",
-    "explanation_sentences": f"WITH x AS (SELECT c_custkey, c_nationkey - 10 AS a, c_custkey % 7 - 3 AS b FROM customer) SELECT c_custkey, CASE WHEN abs(a) >= abs(b) THEN {_SAY('Brand', 'a')} || '; ' || {_SAY('Market Segment', 'b')} ELSE {_SAY('Market Segment', 'b')} || '; ' || {_SAY('Brand', 'a')} END || '. Explicación determinista de asociaciones del modelo; no demuestra causalidad.' AS sentence FROM x",
+    "explanation_sentences": f"WITH x AS (SELECT c_custkey, c_nationkey - 10 AS a, c_custkey % 7 - 3 AS b FROM customer) SELECT c_custkey, CASE WHEN abs(a) >= abs(b) THEN {_SAY('Brand', 'a')} || '; ' || {_SAY('Market segment', 'b')} ELSE {_SAY('Market segment', 'b')} || '; ' || {_SAY('Brand', 'a')} END || '. Explicación determinista de asociaciones del modelo; no demuestra causalidad.' AS sentence FROM x",
+    "baseline_sentences": _SCORED + ", q AS (SELECT o_orderkey, level, brand, c_mktsegment, round(p / 4000 + 1e-7, 2)::decimal(9,2) AS p, (SELECT round(g / 4000 + 1e-7, 2)::decimal(9,2) FROM m3) AS g FROM e) SELECT o_orderkey, 'El baseline utiliza ' || CASE level WHEN 'brand_segment' THEN 'marca y segmento: ' || brand || ' / ' || c_mktsegment WHEN 'brand' THEN 'marca: ' || brand WHEN 'segment' THEN 'segmento: ' || c_mktsegment ELSE 'media global: all' END || '. La estimación del grupo es ' || p || '/100, frente a ' || g || '/100 de la media global de entrenamiento (diferencia: ' || CASE WHEN p >= g THEN '+' ELSE '' END || (p - g) || ' puntos). " + R.BASELINE_LIMITS + "' AS sentence FROM q",
     "feature_importance": _CF + "SELECT 'brand' AS feature, round(avg(abs(x1)) / (avg(abs(x1)) + avg(abs(x2))), 4) AS importance FROM f UNION ALL SELECT 'c_mktsegment', round(avg(abs(x2)) / (avg(abs(x1)) + avg(abs(x2))), 4) FROM f",
     "temporal_windows": Q._BASE + " UNION ALL ".join(f"({_window(*w)})" for w in WINDOWS),
     "frozen_audit": _SCORED + "SELECT brand, c_mktsegment, y, count(*) AS n, round(avg(abs(p - o_totalprice)), 3) AS mae, round(sqrt(avg((p - o_totalprice) ** 2)), 3) AS rmse, round(avg(p - o_totalprice), 3) AS bias, count(*) < 120 AS is_small, false AS is_consistent FROM e GROUP BY GROUPING SETS ((), (brand), (c_mktsegment, y))",

@@ -93,12 +93,20 @@ def request_plan(rows: DataFrame, order: Sequence[str], by_model: bool = True, v
 
 
 def independent_identities(rows: DataFrame, source: DataFrame, key: str, source_id: str) -> DataFrame:
-    """`key, identity_status, n_spellings, source_ids` by equal normalised make, model and year: one raw spelling is exact, several ambiguous."""
+    """`key, identity_status, n_spellings, source_ids, query_make, query_model` by equal normalised make, model and year.
+
+    One raw spelling is exact and names the query, several are ambiguous, none is absent. Ids of the source are
+    evidence of its variants alone: `recall_query_status` is `not_queried` and no row is eligible as a label. Keys of
+    `rows` must be unique and not null.
+    """
+    enforce(rows.groupBy(key).count().filter(F.col(key).isNull() | (F.col("count") > 1)), "identities must be unique and not null")
     keys = lambda c: {"_m": T.comparison_make(F.col("make")), "_l": T.comparison_model(F.col("model"))}
-    spellings = source.withColumns(keys(source)).groupBy("_m", "_l", "year").agg(F.count_distinct("make", "model").alias("n"), F.array_sort(F.collect_set(source_id)).alias("source_ids"))
+    name = F.struct(F.col("make").alias("query_make"), F.col("model").alias("query_model"))
+    spellings = source.withColumns(keys(source)).groupBy("_m", "_l", "year").agg(F.count_distinct("make", "model").alias("n"), F.min(name).alias("one"), F.array_sort(F.collect_set(F.col(source_id).cast("string"))).alias("source_ids"))
     found = rows.withColumns(keys(rows)).join(spellings, ["_m", "_l", "year"], "left")
-    status = F.when(F.col("n").isNull(), "no_independent_identity").when(F.col("n") == 1, "exact_independent_identity").otherwise("ambiguous_independent_identity")
-    return found.select(key, status.alias("identity_status"), F.coalesce("n", F.lit(0)).cast("long").alias("n_spellings"), "source_ids")
+    status = F.when(F.col("n").isNull(), "absent_from_independent_inventory").when(F.col("n") == 1, "exact_independent_identity").otherwise("ambiguous_independent_identity")
+    said = [F.when(F.col("n") == 1, F.col(f"one.{c}")).alias(c) for c in ("query_make", "query_model")]
+    return found.select(key, status.alias("identity_status"), F.coalesce("n", F.lit(0)).cast("long").alias("n_spellings"), F.coalesce("source_ids", F.array().cast("array<string>")).alias("source_ids"), *said, F.lit("not_queried").alias("recall_query_status"), F.lit(False).alias("label_eligible"))
 
 
 def status_counts(rows: DataFrame, status: str, sets: Sequence[Sequence[str]], distinct: str | None = None) -> DataFrame:

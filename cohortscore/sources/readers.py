@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortscore.sources.rows import numbered
+
 #: Power of a horsepower in metric horsepowers. Fixed value.
 HP_IN_CV = 745.6999 / 735.4988
 
@@ -18,17 +20,20 @@ def read_csv(spark: SparkSession, path: str, columns: Mapping[str, str], encodin
 
 
 def read_fields(spark: SparkSession, path: str, names: Sequence[str], encoding: str = "ISO-8859-1") -> tuple[DataFrame, DataFrame]:
-    """Tab-separated text without quotes: rows with exactly the named fields, trimmed, and the `file, line` of all others.
+    """Tab-separated text without quotes: rows with exactly the named fields, trimmed, and the `file, line, text` of all others.
 
-    One empty field at the end of a line is no field.
+    One empty field at the end of a line is no field. `line` is the number of the line in its file, blank ones
+    counted; blank lines are no rows. Good rows carry `file` and `line` too.
     """
-    whole_lines = spark.read.schema("value string").csv(path, sep="\u0001", quote="", encoding=encoding)  # the text source knows UTF-8 only
-    raw = whole_lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
-    parts = F.split("line", "\t", -1)
+    raw = spark.read.text(path)
+    lines = numbered(raw.select("value", F.col("_metadata.file_path").alias("file"), "_metadata"), "line", per_file=True)
+    # The text source passes bytes on as they are, so any encoding can be read from them.
+    lines = lines.withColumn("text", F.decode(F.col("value").cast("binary"), encoding)).filter("text <> ''")
+    parts = F.split("text", "\t", -1)
     fields = F.when((F.size(parts) == len(names) + 1) & (F.element_at(parts, -1) == ""), F.slice(parts, 1, len(names))).otherwise(parts)
-    raw = raw.withColumn("f", fields)
-    good = raw.filter(F.size("f") == len(names)).select(*[F.trim(F.col("f")[i]).alias(n) for i, n in enumerate(names)], "file")
-    return good, raw.filter(F.size("f") != len(names)).select("file", "line")
+    lines = lines.withColumn("f", fields)
+    good = lines.filter(F.size("f") == len(names)).select(*[F.trim(F.col("f")[i]).alias(n) for i, n in enumerate(names)], "file", "line")
+    return good, lines.filter(F.size("f") != len(names)).select("file", "line", "text")
 
 
 def read_payloads(spark: SparkSession, path: str, fields: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -45,9 +50,50 @@ def read_payloads(spark: SparkSession, path: str, fields: Sequence[str]) -> tupl
 
 
 def read_inventory(spark: SparkSession, path: str, row_tag: str, fields: Sequence[str]) -> DataFrame:
-    """The named child elements of each `row_tag` element of an XML file, as trimmed texts."""
-    raw = spark.read.format("xml").option("rowTag", row_tag).schema(", ".join(f"`{f}` string" for f in fields)).load(path)
-    return raw.select(*[F.trim(F.col(f"`{f}`")).alias(f) for f in fields])
+    """The named child elements of each `row_tag` element of an XML file, as trimmed texts, blank where absent.
+
+    A file with a document type declaration, or an element that is no XML, is refused.
+    """
+    declared = spark.read.text(path).filter(F.upper("value").contains("<!DOCTYPE") | F.upper("value").contains("<!ENTITY"))
+    if not declared.isEmpty():
+        raise ValueError("the inventory declares a document type")
+    schema = ", ".join(f"`{f}` string" for f in fields) + ", `_bad` string"
+    raw = spark.read.format("xml").option("rowTag", row_tag).option("columnNameOfCorruptRecord", "_bad").schema(schema).load(path)
+    bad = F.when(F.col("_bad").isNotNull(), F.raise_error(F.lit("an element of the inventory is no XML"))).otherwise(F.lit(""))
+    return raw.select(*[F.concat(F.coalesce(F.trim(F.col(f"`{f}`")), F.lit("")), bad).alias(f) for f in fields])
+
+
+def inventory_problems(rows: DataFrame, key: str = "id", make: str = "make", model: str = "model", year: str = "year") -> DataFrame:
+    """`rule, key, detail` of the rows of an inventory of texts that break its rules: `blank_identity`, `bad_year`, `duplicate_id`.
+
+    A year is a whole number from 1900 to 2100. Each row is named once a rule; an id given twice is one row. An empty
+    inventory is `empty`.
+    """
+    names = [key, make, model, year]
+    text = {c: F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in names}
+    blank = [F.when(text[c] == "", c) for c in names]
+    value, _ = checked_number(text[year], 1900, 2100, whole=True)
+    of = rows.select(text[key].alias("key"), F.array_join(F.array_compact(F.array(*blank)), ",").alias("blank"), F.when(text[year] != "", value.isNull()).alias("bad"), text[year].alias("year"))
+    found = of.select("key", F.explode(F.array_compact(F.array(
+        F.when(F.col("blank") != "", F.struct(F.lit("blank_identity").alias("rule"), F.col("blank").alias("detail"))),
+        F.when(F.col("bad"), F.struct(F.lit("bad_year").alias("rule"), F.col("year").alias("detail"))),
+    ))).alias("p")).select("p.rule", "key", "p.detail")
+    twice = of.filter("key <> ''").groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("duplicate_id").alias("rule"), "key", F.col("n").cast("string").alias("detail"))
+    none = rows.agg(F.count("*").alias("n")).filter("n = 0").select(F.lit("empty").alias("rule"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("detail"))
+    return found.unionByName(twice).unionByName(none)
+
+
+def inventory_rows(rows: DataFrame, min_year: int = 1995, cylinders: str = "cylinders", year: str = "year") -> DataFrame:
+    """Inventory rows of the years asked for, the year as a number and cylinders as a whole number from 0 to 32 with their state.
+
+    `cylinders_original` is the text. Power, identity and recalls are not known from an inventory, and no row of it is
+    eligible for a prediction; the columns say so. Check `inventory_problems` first: a row without a year goes here.
+    """
+    number, _ = checked_number(F.trim(F.col(year).cast("string")), 1900, 2100, whole=True)
+    value, state = checked_number(F.col(cylinders), 0, 32, whole=True)
+    typed = rows.withColumns({"cylinders_original": F.coalesce(F.col(cylinders), F.lit("")), year: number.cast("int"), cylinders: value.cast("int"), "cylinders_status": state})
+    said = {"power_cv": F.lit(None).cast("double"), "power_status": F.lit("not_provided_by_source"), "identity_status": F.lit("pending_resolution"), "recall_status": F.lit("not_queried"), "prediction_eligible": F.lit(False)}
+    return typed.filter(F.col(year) >= min_year).withColumns(said)
 
 
 def checked_number(c: Column, least: float, most: float | None = None, whole: bool = False) -> tuple[Column, Column]:

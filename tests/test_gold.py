@@ -79,8 +79,10 @@ def test_guards(spark):
     assert G.checked_join(left, left.withColumnRenamed("v", "w"), ["k"], unique="both").count() == 1
     with pytest.raises(ValueError):
         G.in_scope(left, "v", "k", ["zzz"])
+    windows = spark.createDataFrame([(1, 2, 3), (1, 1, 4), (2, 5, 6), (7, None, 9), (5, 6, 8)], "train_end int, validation_end int, test_end int")
+    assert sorted(tuple(r)[:2] for r in R.window_violations(windows).collect()) == [("cuts_do_not_rise", 1), ("cuts_do_not_rise", 7), ("tests_overlap", 1)]
     with pytest.raises(ValueError):
-        R.window_protocol([(1, 2, 3), (1, 1, 4)])
+        R.temporal_windows(left.withColumnRenamed("k", "y"), [(1, 1, 4)], "v", "v", "y", "y")
     assert G.without_outcomes(left, ["v"]).columns == ["k"]
 
 

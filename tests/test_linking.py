@@ -133,7 +133,7 @@ def test_fingerprint_is_of_a_multiset(spark):
 def test_readers(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("x\t é \t\nbad\n1\t2\n".encode("latin-1"))
     good, bad = R.read_fields(spark, str(tmp_path / "a.txt"), ["p", "q"])
-    assert {(r["p"], r["q"]) for r in good.collect()} == {("x", "é"), ("1", "2")} and [r["line"] for r in bad.collect()] == ["bad"]
+    assert {(r["p"], r["q"]) for r in good.collect()} == {("x", "é"), ("1", "2")} and [(r["line"], r["text"]) for r in bad.collect()] == [(2, "bad")]
     (tmp_path / "j").mkdir()
     (tmp_path / "j/1.json").write_text('{"Count": 1, "results": [{"Component": "brake"}]}')
     (tmp_path / "j/2.json").write_text('{"Count": 2, "results": [{"Component": "brake"}]}')

@@ -57,7 +57,7 @@ def test_baseline_shapley_adds_up(spark):
     assert out.filter("abs(base + effect_brand + effect_c_mktsegment - predicted) > 0.001").isEmpty()
 
 
-@pytest.mark.parametrize("errors,chosen", [({"baseline": 2.0, "ridge": 1.0, "forest": 0.9}, "ridge"), ({"baseline": 2.0, "ridge": 1.0, "forest": 0.89}, "forest"), ({"baseline": 1.0, "ridge": 1.0, "forest": 1.0}, "baseline"), ({}, "baseline")])
+@pytest.mark.parametrize("errors,chosen", [({"baseline": 2.0, "ridge": 1.0, "forest": 0.9}, "ridge"), ({"baseline": 2.0, "ridge": 1.0, "forest": 0.89}, "forest"), ({"baseline": 1.0, "ridge": 1.0, "forest": 1.0}, "baseline"), ({}, "baseline"), ({"baseline": 2.0, "forest": 1.0}, "baseline"), ({"forest": 1.0, "ridge": 0.0}, "ridge")])
 def test_selection(errors, chosen):
     assert M.select_model(errors) == chosen
 
