@@ -7,33 +7,29 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortscore.operators.scratch import settled
 
-def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float], bins: int = 1024) -> DataFrame:
+
+def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float]) -> DataFrame:
     """Exact interpolated quantiles of each group: the keys, `n` and `q0`, `q1`, ... in the order of `fractions`.
 
-    Values are counted first. Two passes of histograms then narrow each wanted rank to one bin of `bins`, and to one
-    part of that bin; only the distinct values of that part are put in order in one task, never those of a group.
+    Values are counted first, then dealt in ranges of (group, value), so that a large group spreads over many tasks,
+    and settled once. Sums of the parts say which part holds a wanted rank; only those parts are put in order.
     Null keys are a group; null values do not count, and a group without a value gives no row.
     """
     cell = F.struct(F.lit(0).alias("_"), *keys).alias("cell")
     values = rows.filter(F.col(value).isNotNull()).groupBy(cell, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    groups = values.groupBy("cell").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("n").alias("total"))
-    ends, at = groups.select("cell", "lo", "hi"), [F.lit(float(f)) * (F.col("total") - 1) for f in fractions]
+    dealt = settled(values.repartitionByRange("cell", "v").withColumn("part", F.spark_partition_id()))
+    sums = dealt.groupBy("cell", "part").agg(F.sum("n").alias("many"))
+    group = Window.partitionBy("cell")
+    sums = sums.withColumns({"before": F.sum("many").over(group.orderBy("part")) - F.col("many"), "total": F.sum("many").over(group)})
+    at = [F.lit(float(f)) * (F.col("total") - 1) for f in fractions]
     ranks = F.array_distinct(F.array(*[side(a) for a in at for side in (F.floor, F.ceil)]))
-    want = groups.select(F.col("cell").alias("group"), "cell", F.explode(ranks).alias("place")).withColumn("rank", F.col("place"))
-    within = F.col("rank").between(F.col("before"), F.col("before") + F.col("n") - 1)
-    for _ in range(2):
-        width, inner = F.col("hi") - F.col("lo"), F.struct("cell", "bin").alias("cell")
-        part = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("lo")) / width * bins))).otherwise(0)
-        parted = values.join(ends, "cell").select("cell", part.alias("bin"), "v", "n")
-        hist = parted.groupBy("cell", "bin").agg(F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        hist = hist.withColumn("before", F.sum("n").over(Window.partitionBy("cell").orderBy("bin")) - F.col("n"))
-        hit = want.join(hist, "cell").filter(within)
-        ends = hit.select(inner, "lo", "hi").distinct()
-        want = hit.select("group", inner, "place", (F.col("rank") - F.col("before")).alias("rank"))
-        values = parted.select(inner, "v", "n").join(ends.select("cell"), "cell", "left_semi")
-    ordered = values.withColumn("before", F.sum("n").over(Window.partitionBy("cell").orderBy("v")) - F.col("n"))
-    found = want.join(ordered, "cell").filter(within).select(F.col("group").alias("cell"), "place", "v").join(groups.select("cell", "total"), "cell")
+    hit = sums.withColumn("place", F.explode(ranks)).filter(F.col("place").between(F.col("before"), F.col("before") + F.col("many") - 1))
+    near = dealt.join(hit.select("cell", "part").distinct(), ["cell", "part"], "left_semi")
+    ordered = near.withColumn("inner", F.sum("n").over(Window.partitionBy("cell", "part").orderBy("v")) - F.col("n"))
+    rank = F.col("place") - F.col("before")
+    found = hit.join(ordered, ["cell", "part"]).filter(rank.between(F.col("inner"), F.col("inner") + F.col("n") - 1)).select("cell", "total", "place", "v")
     sides = [F.max(F.when(F.col("place") == side(a), F.col("v"))).alias(f"{name}{i}") for i, a in enumerate(at) for name, side in (("a", F.floor), ("b", F.ceil))]
     between = [(F.col(f"a{i}") + F.when(F.col(f"a{i}") == F.col(f"b{i}"), 0.0).otherwise((a - F.floor(a)) * (F.col(f"b{i}") - F.col(f"a{i}")))).alias(f"q{i}") for i, a in enumerate(at)]
     return found.groupBy("cell", "total").agg(*sides).select(*[F.col("cell").getField(k).alias(k) for k in keys], F.col("total").alias("n"), *between)

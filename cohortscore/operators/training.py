@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from cohortscore.functions.text import direction
 from cohortscore.operators import cohorts as C
 from cohortscore.operators.matching import enforce
-from cohortscore.operators.models import Fitted, _standard, select_model
+from cohortscore.operators.models import Fitted, select_model
 
 
 def adaptive_cuts(rows: DataFrame, year: str, train_end: int, validation_end: int, adaptive: bool = True) -> tuple[int, int | None, str]:
@@ -75,11 +76,11 @@ def baseline_explanation(scored: DataFrame, train: DataFrame, brand: str, segmen
 
 def ridge_coefficients(fitted: Fitted, categories: Sequence[str], train: DataFrame) -> dict[str, dict[str | None, float]]:
     """Coefficients in units of the target by source feature: one number for a number, one per level for a category."""
-    regressor = next(s for s in fitted.model.stages if isinstance(s, LinearRegressionModel))
+    regressor = fitted.stage(LinearRegressionModel)
     weights, spread = list(regressor.coefficients), fitted.scale[fitted.target][1]
     out = {c: {None: w * spread} for c, w in zip(fitted.numbers, weights)}
     at = len(fitted.numbers)
-    for c, labels in zip(categories, fitted.model.stages[0].labelsArray):
+    for c, labels in zip(categories, fitted.stage(StringIndexerModel).labelsArray):
         out[c] = {label: w * spread for label, w in zip(labels, weights[at : at + len(labels)])}
         at += len(labels)
     return out
@@ -87,7 +88,7 @@ def ridge_coefficients(fitted: Fitted, categories: Sequence[str], train: DataFra
 
 def ridge_attribution(rows: DataFrame, fitted: Fitted, categories: Sequence[str], reference: Mapping[str, object], coefficients: Mapping[str, Mapping]) -> DataFrame:
     """Add `effect_<feature>`: coefficient times the distance from the reference row, summed to the source feature."""
-    scaled = _standard(rows, fitted.numbers, fitted.scale)
+    scaled = fitted.standardised(rows)
     out = {}
     for c in fitted.numbers:
         mean, spread = fitted.scale[c]
@@ -166,7 +167,7 @@ def window_violations(windows: DataFrame) -> DataFrame:
     """
     cuts = [F.col(c) for c in ("train_end", "validation_end", "test_end")]
     rises = F.coalesce((cuts[0] < cuts[1]) & (cuts[1] < cuts[2]), F.lit(False))
-    over = F.lag("test_end").over(Window.orderBy("validation_end", "test_end", "train_end"))
+    over = F.lag("test_end").over(Window.orderBy(F.asc_nulls_last("validation_end"), "test_end", "train_end"))
     rules = F.array_compact(F.array(F.when(~rises, "cuts_do_not_rise"), F.when(F.col("_over") > cuts[1], "tests_overlap")))
     return windows.withColumn("_over", over).withColumn("rule", F.explode(rules)).select("rule", *cuts)
 
