@@ -2,22 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Letters in a machine word; a sum of two such words and a carry is no negative number.
+BITS = 62
+FULL = (1 << BITS) - 1
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, also where Spark would write its expression into a lambda function for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _masks(letters: Column) -> Column:
+    """Of each letter of an array of at most `BITS` letters the places where it stands, as a map of bit masks."""
+    place = lambda c: lambda done, j: done.bitwiseOR(F.when(F.get(letters, j) == c, F.call_function("shiftleft", F.lit(1).cast("long"), j)).otherwise(F.lit(0).cast("long")))
+    of = lambda c: F.aggregate(F.sequence(F.lit(0), F.size(letters) - 1), F.lit(0).cast("long"), place(c))
+    return let(F.array_distinct(letters), lambda some: F.map_from_arrays(some, F.transform(some, of)))
+
+
+def _stepped(word: Column, mask: Column, carry: Column) -> tuple[Column, Column]:
+    """A word of the table after one letter, and what it carries into the next word."""
+    moved = word + word.bitwiseAND(mask) + carry
+    return moved.bitwiseAND(F.lit(FULL)).bitwiseOR(word.bitwiseAND(F.bitwise_not(mask))), F.shiftright(moved, BITS)
+
+
+def _mask(masks: Column, letter: Column) -> Column:
+    return F.coalesce(masks[letter], F.lit(0).cast("long"))
+
+
 def lcs_length(x: Column, y: Column) -> Column:
-    """Length of the longest common subsequence of two texts that are not empty: one row of the table per letter of `x`."""
-    letters = F.split(y, "")
+    """Length of the longest common subsequence of two texts that are not empty.
+
+    Bit-parallel: a column of the table is a word of bits, of which a zero is a step up, and each letter of `x` is
+    one addition. Texts `y` longer than a word take one word after the other, with carries.
+    """
+    none = F.lit(0).cast("long")
+
+    def one(masks: Column) -> Column:
+        return BITS - F.bit_count(F.aggregate(F.split(x, ""), F.lit(FULL), lambda word, letter: _stepped(word, _mask(masks, letter), none)[0]))
 
-    def row(above: Column, letter: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            best = F.when(F.get(letters, j - 1) == letter, F.get(above, j - 1) + 1).otherwise(F.greatest(F.get(above, j), F.element_at(done, -1)))
-            return F.array_append(done, best)
+    def many(tables: Column) -> Column:
+        def row(words: Column, letter: Column) -> Column:
+            def word(done: Column, i: Column) -> Column:
+                value, carry = _stepped(F.get(words, i), _mask(F.get(tables, i), letter), done["carry"])
+                return F.struct(F.array_append(done["words"], value).alias("words"), carry.alias("carry"))
 
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(y))), F.array(F.lit(0)), cell)
+            start = F.struct(F.array().cast("array<bigint>").alias("words"), none.alias("carry"))
+            return F.aggregate(F.sequence(F.lit(0), F.size(tables) - 1), start, word)["words"]
 
-    return F.element_at(F.aggregate(F.split(x, ""), F.array_repeat(F.lit(0), F.length(y) + 1), row), -1)
+        last = F.aggregate(F.split(x, ""), F.transform(tables, lambda _: F.lit(FULL)), row)
+        return F.aggregate(last, F.lit(0), lambda n, word: n + BITS - F.bit_count(word))
+
+    letters = F.split(y, "")
+    blocks = F.sequence(F.lit(0), F.floor((F.length(y) - 1) / BITS).cast("int"))
+    long = let(letters, lambda all_: let(F.transform(blocks, lambda i: _masks(F.slice(all_, i * BITS + 1, BITS))), many))
+    return F.when(F.length(y) <= BITS, let(letters, lambda all_: let(_masks(all_), one))).otherwise(long)
 
 
 def _ratio(x: Column, y: Column) -> Column:

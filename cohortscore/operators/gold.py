@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cohortscore.functions import text as T
 from cohortscore.operators import cohorts as C
+from cohortscore.operators.guards import checked_join
 from cohortscore.operators.matching import ACCEPTED, duplicate_keys, enforce
 
 
@@ -40,14 +41,6 @@ def complete_only(rows: DataFrame, year: str, as_of: str, years: int = 3) -> tup
     return rows.filter(done), rows.agg(F.count_if(~F.coalesce(done, F.lit(False))).alias("n_incomplete"))
 
 
-def checked_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", unique: str = "right") -> DataFrame:
-    """A join whose `unique` side (left, right, both or neither) has no key twice; otherwise it fails before it joins."""
-    for side, df in (("left", left), ("right", right)):
-        if unique in (side, "both"):
-            enforce(df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1"), f"the {side} side repeats a key")
-    return left.join(right, list(keys), how)
-
-
 def mapped_events(events: DataFrame, mapping: DataFrame, official: str) -> DataFrame:
     """Events beside every entity that is linked to their official id; two entities may share one."""
     return mapping.join(events, official)
@@ -58,7 +51,8 @@ def build_gold(specs: DataFrame, accepted: DataFrame, scores: DataFrame, keys: S
 
     An entity without an accepted identity is left out, not zero; one with an identity and no event has score 0 already.
     """
-    rows = specs.join(accepted.select(*keys).distinct(), list(keys), "left_semi").join(scores, list(keys))
+    rows = specs.join(accepted.select(*keys).distinct(), list(keys), "left_semi")
+    rows = checked_join(rows, scores, keys, "inner", unique="both")
     rows, _ = complete_only(rows, year, as_of, years)
     past = C.lagged_history(rows, brand, year, value, gap=years).select(brand, year, "history", "history_source")
     rows = rows.join(past, [brand, year], "left")

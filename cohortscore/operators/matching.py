@@ -7,12 +7,14 @@ make keys and years, so every pair comes from an equi-join, and decisions are ag
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortscore.functions import text as T
 from cohortscore.functions.similarity import with_similarity
+from cohortscore.operators.guards import checked_join
 
 #: Statuses that link an entity. Fixed values.
 ACCEPTED = ("auto_accepted", "manual_accepted")
@@ -42,6 +44,14 @@ def enforce(violations: DataFrame, what: str) -> None:
         raise ValueError(what)
 
 
+def enforce_all(*guards: tuple[DataFrame, str]) -> None:
+    """Fail with the first broken guard; all are looked at in one job."""
+    broken = [violations.select(F.lit(i).alias("i")).limit(1) for i, (violations, _) in enumerate(guards)]
+    first = reduce(DataFrame.unionAll, broken).agg(F.min("i")).first()[0]
+    if first is not None:
+        raise ValueError(guards[first][1])
+
+
 def match_entities(rows: DataFrame, catalog: DataFrame, trims: Sequence[str], auto: int = 90, manual: int = 75, require_verified: bool = True) -> DataFrame:
     """`id, cand_id, score, status, root_equal, n_exact, n_best, cand_key, advice` for every row.
 
@@ -51,10 +61,8 @@ def match_entities(rows: DataFrame, catalog: DataFrame, trims: Sequence[str], au
     Names are scored once per block and distinct pair, whatever the number of rows. Ids are unique and not null, and
     every candidate has the flag of an official source, or the call fails; `require_verified` waives the flag.
     """
-    enforce(duplicate_keys(rows, "id"), "an id is null or occurs twice")
-    enforce(duplicate_keys(catalog, "cand_id"), "a candidate id is null or occurs twice")
-    if require_verified:
-        enforce(unverified(catalog), "a candidate is not verified")
+    guards = [(duplicate_keys(rows, "id"), "an id is null or occurs twice"), (duplicate_keys(catalog, "cand_id"), "a candidate id is null or occurs twice")]
+    enforce_all(*guards, *([(unverified(catalog), "a candidate is not verified")] if require_verified else []))
     name = ["make_key", "year", "key", "root"]
     left = _keyed(rows, trims).select("id", *name)
     names = left.select(*name).distinct()
@@ -173,9 +181,13 @@ def evidence_states(rows: DataFrame, matches: DataFrame, queries: DataFrame, gol
     """Why each of `rows` (`id`, and what `mature` reads) is or is not in the final table (`id, n_in_window`).
 
     `matches` has `id, cand_id, status`, `queries` `cand_id, query_status`. A response counts only for a confirmed
-    identity; the later of several reasons wins: identity, window, response, inclusion.
+    identity; the later of several reasons wins: identity, window, response, inclusion. An id of `rows`, `matches` or
+    `gold`, or a `cand_id` of `queries`, that comes twice fails the pass.
     """
-    joined = rows.withColumn("mature", mature).join(matches.select("id", "cand_id", "status"), "id", "left").join(queries, "cand_id", "left").join(gold.select("id", "n_in_window", F.lit(True).alias("_g")), "id", "left")
+    joined = rows.withColumn("mature", mature)
+    joined = checked_join(joined, matches.select("id", "cand_id", "status"), ["id"], unique="both")
+    joined = checked_join(joined, queries, ["cand_id"])
+    joined = checked_join(joined, gold.select("id", "n_in_window", F.lit(True).alias("_g")), ["id"])
     status = F.coalesce("status", F.lit("not_in_matching_scope"))
     query = F.when(status.isin("query_failed", "unverified_zero_result"), status).otherwise(F.coalesce("query_status", F.lit("not_recorded")))
     known = status.isin(*CONFIRMED)

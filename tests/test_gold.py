@@ -74,8 +74,12 @@ def test_ridge_attribution_adds_up(spark):
 
 def test_guards(spark):
     left = spark.createDataFrame([(1, "a")], "k int, v string")
-    with pytest.raises(ValueError):
-        G.checked_join(left, left.union(left), ["k"])
+    with pytest.raises(Exception, match="right side repeats"):
+        G.checked_join(left, left.union(left).withColumnRenamed("v", "w"), ["k"]).collect()
+    with pytest.raises(Exception, match="left side repeats"):
+        G.checked_join(left.union(left), left.withColumnRenamed("v", "w"), ["k"], unique="both").count()
+    none = spark.createDataFrame([(None, "x"), (None, "y"), (1, "z")], "k int, w string")
+    assert sorted(map(tuple, G.checked_join(none, left, ["k"], unique="both").select("k", "w", "v").collect()), key=str) == [(1, "z", "a"), (None, "x", None), (None, "y", None)]
     assert G.checked_join(left, left.withColumnRenamed("v", "w"), ["k"], unique="both").count() == 1
     with pytest.raises(ValueError):
         G.in_scope(left, "v", "k", ["zzz"])

@@ -43,7 +43,8 @@ def brute_ratio(a, b):
 
 
 def test_ratio_equals_brute_force(spark):
-    names = ["", "f150", "f250", "explorer", "explorer sport", "civic lx", "civic", "red hot anvil", "hot blue anvil", "anvil", "a b c", "c b d"]
+    long = ["abcdefghij klmno " * 4 + "x", "bdfhj klmnop " * 5, "q w e r t y " * 12, "a" * 62, "a" * 63 + " b", "ab" * 31 + " b"]
+    names = [*long, "", "f150", "f250", "explorer", "explorer sport", "civic lx", "civic", "red hot anvil", "hot blue anvil", "anvil", "a b c", "c b d"]
     pairs = list(itertools.product(names, names))
     df = spark.createDataFrame(pairs, "a string, b string")
     got = {(r[0], r[1]): r[2] for r in df.select("a", "b", token_set_ratio(F.col("a"), F.col("b"))).collect()}
