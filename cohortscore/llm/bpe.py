@@ -21,6 +21,10 @@ CHUNK, OVERLAP = 32_768, 1_024
 #: A worker forgets its piece cache at so many entries (about 100 bytes each).
 CACHE = 400_000
 
+#: Matches from this length on bypass the encoder's own pattern.
+LONG_MATCH = 10_000
+_LONG_SPACE = regex.compile(r"\s{%d}" % LONG_MATCH)
+
 _codecs: dict[tuple[str, str], "Codec"] = {}
 
 
@@ -50,9 +54,16 @@ class Codec:
         if len(known) > CACHE:
             known.clear()
         for piece in set(found).difference(known):
-            known[piece] = self.encoding.encode_ordinary(piece)
+            # A match is encoded as it is: the encoder's own pattern overflows its stack on a million of white space.
+            known[piece] = self.encoding.encode_ordinary(piece) if len(piece) < LONG_MATCH else self.encoding._encode_single_piece(piece)
         return list(chain.from_iterable(map(known.__getitem__, found)))
 
+    def encode_to_numpy(self, text: str) -> np.ndarray:
+        """The same ids as unsigned 32-bit numbers, all of a text at once unless it has a long run of white space."""
+        if _LONG_SPACE.search(text):
+            return np.array(self.encode(text), "<u4")
+        return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+
     def joined(self, ids: list[int]) -> bytes:
         return b" ".join(map(self.decimal.__getitem__, ids))
 
@@ -120,7 +131,7 @@ def _digests(rows: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 def encode_pieces(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id, uid, no, ids`: the token ids (little-endian uint32 bytes) of every stitched piece of every text, in `no` order."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text")).withColumn("uid", _uid())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(ranks_path, pattern)
@@ -131,16 +142,21 @@ def encode_pieces(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     short = rows.filter(F.length("text") <= CHUNK).select("id", "uid", F.lit(0).alias("no"), "text")
     whole = rows.filter(F.length("text") > CHUNK)
     pieces = short.select("uid", "no", "text").unionByName(_stitched(whole, ranks_path, pattern)).mapInArrow(encode, "uid long, no int, ids binary")
-    return rows.select("id", "uid").join(pieces, "uid")
+    return rows.select("id", "uid").join(pieces.dropDuplicates(["uid", "no"]), "uid")
+
+
+def _uid() -> Column:
+    """What names a row while its parts are apart: the same whenever it is computed, and for rows that repeat id and text."""
+    return F.xxhash64("id", "text")
 
 
 def _stitched(whole: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """`uid, no, text`: the pieces of long texts; a text in which two neighbours never agree is one piece."""
-    chunks = _long_chunks(whole.select("uid", "text")).repartition("uid", "no")
+    chunks = _long_chunks(whole.select("uid", "text")).repartition("uid", "no").dropDuplicates(["uid", "no"])
     points = stitch_points(chunks, ranks_path, pattern)
     good = points.filter("NOT torn").drop("torn")
     cut = chunks.join(good, ["uid", "no"]).select("uid", "no", F.expr("substring(text, int(from - start) + 1, int(coalesce(to, start + length(text)) - from))").alias("text"))
-    torn = whole.select("uid", "text").join(points.filter("torn AND no = 0").select("uid"), "uid", "left_semi").select("uid", F.lit(0).alias("no"), "text")
+    torn = whole.select("uid", "text").join(points.filter("torn AND no = 0").select("uid"), "uid", "left_semi").dropDuplicates(["uid"]).select("uid", F.lit(0).alias("no"), "text")
     return cut.unionByName(torn)
 
 
@@ -158,7 +174,7 @@ def token_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str =
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), text_or_empty(text_col).alias("text"))
     short = _digests(rows.filter(F.length("text") <= CHUNK), ranks_path, pattern)
-    whole = rows.filter(F.length("text") > CHUNK).withColumn("uid", F.monotonically_increasing_id())
+    whole = rows.filter(F.length("text") > CHUNK).withColumn("uid", _uid())
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(ranks_path, pattern)

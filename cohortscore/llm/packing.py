@@ -25,7 +25,7 @@ def text_ids(codec: Codec, text: str) -> np.ndarray:
     """The ids that tokenizers gives for the json file: the parts around each ADDED apart, and its id between them."""
     out = []
     for part in text.split(ADDED):
-        out += [codec.encoding.encode_to_numpy(part, disallowed_special=()).astype("<u4"), np.array([ADDED_ID], "<u4")]
+        out += [codec.encode_to_numpy(part), np.array([ADDED_ID], "<u4")]
     return np.concatenate(out[:-1])
 
 

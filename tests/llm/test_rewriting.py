@@ -170,3 +170,25 @@ def test_line_dedup(spark):
     assert bitmaps == sorted(((w[0], w[4]) for w in want), key=str)
     assert any(w[2] for w in want) and sum(w[2] for w in want) > 40_000
     assert line_dedup.line_dedup(df.limit(0), text=True).count() == 0
+
+
+def test_long_white_space(spark):
+    """Over a million of each kind of white space, alone and between words, as tokenizers encodes them; through op4 and op7."""
+    import public_tokenizers as P
+    import tokenizers
+
+    from cohortscore.llm import bpe, packing
+
+    whole = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    ranks = P.path("byte_bpe_50k.tiktoken")
+    codec = bpe.Codec.of(ranks, P.PATTERN)
+    texts = [f"{before}{space * 1_100_000}{after}" for space in " \n\t\u00a0\u3000" for before, after in (("", ""), ("a", "b c"))]
+    for text in [*texts, "a" + " " * 9_999 + "b", "\r" + "\n" * 10_000 + "  x"]:
+        want = whole.encode(text, add_special_tokens=False).ids
+        assert codec.encode(text) == want and packing.text_ids(codec, text).tolist() == want
+    rows = [(i, texts[i]) for i in (0, 1, 3)] + [(1, texts[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = bpe.token_digests(df, ranks, P.PATTERN).collect()
+    assert sorted((r["id"], r["decoded_sha256"]) for r in got) == sorted((i, hashlib.sha256(t.encode()).hexdigest()) for i, t in rows)
+    packed = packing.pack_documents(df, ranks, P.PATTERN).groupBy("id").sum("length").collect()
+    assert {r[0]: r[1] for r in packed} == {i: (2 if i == 1 else 1) * (len(whole.encode(t, add_special_tokens=False).ids) + 1) for i, t in rows}
