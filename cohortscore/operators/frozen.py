@@ -137,6 +137,25 @@ def train_model(rows: DataFrame, frame: Frame, train_end: int, validation_end: i
     return Frozen(fitted, scale, facts)
 
 
+def denominator_problems(facts: Mapping) -> list[str]:
+    """What keeps the metrics of a training from publication: numbers of rows that its parts and its measures do not agree on.
+
+    `test_denominator`: the test was measured over another number of rows than the part has. `validation_denominator`,
+    with the model's name, likewise. `no_rows`: a part that a measure is stated for is empty. `years`: a part ends before
+    it begins, or begins before the one before has ended.
+    """
+    split, found = facts["split"], []
+    if facts["test"]["mae"] is not None and facts["test"]["n"] != split["test"]["rows"]:
+        found.append("test_denominator")
+    found += [f"validation_denominator:{k}" for k, e in facts["validation"].items() if e["mae"] is not None and e["n"] != split["validation"]["rows"]]
+    if not split["train"]["rows"] or facts["validation"] and not split["validation"]["rows"]:
+        found.append("no_rows")
+    spans = [(p["min_year"], p["max_year"]) for p in (split["train"], split["validation"], split["test"]) if p["rows"]]
+    if any(a > b for a, b in spans) or any(one[1] >= two[0] for one, two in zip(spans, spans[1:])):
+        found.append("years")
+    return found
+
+
 def _test_rows(rows: DataFrame, frame: Frame, facts: Mapping) -> DataFrame:
     test = facts["split"]["test"]
     low, high = (test["min_year"], test["max_year"]) if test["rows"] else (1, 0)

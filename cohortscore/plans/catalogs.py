@@ -154,7 +154,7 @@ _IDENT = _P + f""", s AS (SELECT p_partkey AS sid, make, year, CASE WHEN p_partk
   i AS (SELECT p.*, CASE WHEN n IS NULL THEN 'absent_from_independent_inventory' WHEN n = 1 THEN 'exact_independent_identity' ELSE 'ambiguous_independent_identity' END AS identity_status, coalesce(n, 0) AS n_spellings, ids, one FROM p LEFT JOIN g ON {Q._CANON('p.make')} = m AND {Q._JOINED('p.model')} = l AND p.year = g.year WHERE p_partkey % 2 = 1) """
 _NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "tax", "l_linenumber")
 ORACLE = {
-    "bulk_vehicles": _REG + "SELECT vehicle_id, make, model, year, true AS verified FROM k WHERE model IS NOT NULL QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) = 1",
+    "bulk_vehicles": _REG + "SELECT vehicle_id, make, model, year, true AS verified FROM k QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) = 1",
     "bulk_metadata": _REG + f"SELECT (SELECT count(*) FROM r) AS source_rows, count(*) AS kept_rows, count(DISTINCT vehicle_id) AS vehicles, count(DISTINCT {Q._CANON('make')}) AS makes FROM k",
     "catalog_union": _P + f"SELECT p_partkey, make, CASE WHEN p_partkey % 3 = 0 THEN model ELSE upper(model) END AS model, year, CASE WHEN p_partkey % 3 = 0 THEN 'recall_catalog' ELSE 'independent' END AS catalog_source FROM p QUALIFY row_number() OVER (PARTITION BY {Q._CANON('make')}, {Q._JOINED('model')}, year ORDER BY CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END, p_partkey) = 1",
     "catalog_candidates": _P + f"SELECT p_partkey, make, model, year FROM p WHERE p_partkey % 4 <> 0 QUALIFY row_number() OVER (PARTITION BY {Q._CANON('make')}, {Q._JOINED('model')}, year ORDER BY p_partkey) = 1",

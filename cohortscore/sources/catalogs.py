@@ -23,7 +23,7 @@ def bulk_index(register: DataFrame, kind: str, first: int, last: int, order: Seq
     model = F.nullif(T.comparison_model(F.col("model")), F.lit(""))
     kept = register.filter((F.col("kind") == kind) & F.col("year").between(first, last))
     kept = kept.withColumns({"make_key": T.comparison_make(F.col("make")), "model_key": model, "vehicle_id": T.entity_id(F.col("make"), F.col("model"), F.col("year"))})
-    vehicles = keep_first(kept.filter("model_key IS NOT NULL"), ["vehicle_id"], order).select("vehicle_id", "make", "model", "year", F.lit(True).alias("verified"))
+    vehicles = keep_first(kept, ["vehicle_id"], order).select("vehicle_id", "make", "model", "year", F.lit(True).alias("verified"))
     metadata = register.agg(F.count("*").alias("source_rows"), F.count_if((F.col("kind") == kind) & F.col("year").between(first, last)).alias("kept_rows"))
     counts = kept.agg(F.count_distinct("vehicle_id").alias("vehicles"), F.count_distinct("make_key").alias("makes"))
     return kept, vehicles, metadata.withColumn("_k", F.lit(1)).join(counts.withColumn("_k", F.lit(1)), "_k").drop("_k")  # one row on each side
@@ -81,15 +81,18 @@ def identity_states(identities: DataFrame, responses: DataFrame, key: str) -> Da
 
 
 def request_plan(rows: DataFrame, order: Sequence[str], by_model: bool = True, verified_only: bool = False) -> DataFrame:
-    """The distinct requests for `make, model, year` (or make and year), blanks left out, the first spelling of each kept."""
+    """The distinct requests for `make, model, year` (or make and year), the first spelling of each kept, trimmed.
+
+    A name that is blank, or of signs alone so that its key is empty, asks for nothing."""
     if verified_only:
         enforce(unverified(rows), "a row is not verified")
     names = ["make", "model"] if by_model else ["make"]
-    some = rows.filter("year IS NOT NULL")
-    for c in names:
-        some = some.filter(F.trim(c) != "")
-    keys = [T.comparison_make(F.col("make")), *([T.comparison_model(F.col("model"))] if by_model else []), F.col("year")]
-    return keep_first(some, keys, order).select(*names, "year")
+    keys = {"_m": T.comparison_make(F.col("make")), **({"_l": T.comparison_model(F.col("model"))} if by_model else {})}
+    some = rows.filter("year IS NOT NULL").withColumns(keys)
+    for key in keys:
+        some = some.filter(F.col(key) != "")
+    first = keep_first(some, [*keys, "year"], order)
+    return first.select(*[F.regexp_replace(F.col(c), "^\\s+|\\s+\\z", "").alias(c) for c in names], "year")
 
 
 def independent_identities(rows: DataFrame, source: DataFrame, key: str, source_id: str) -> DataFrame:

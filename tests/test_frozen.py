@@ -100,6 +100,15 @@ def test_the_audit_repeats_the_recorded_error_and_refuses_what_is_stale(spark, f
         Z.audit_frozen(frame.limit(10), model)
 
 
+def test_denominators(models):
+    facts = models["ridge"].facts
+    assert Z.denominator_problems(facts) == []
+    other = {**facts, "test": {**facts["test"], "n": 1}, "validation": {"ridge": {**facts["validation"]["ridge"], "n": 2}}}
+    assert Z.denominator_problems(other) == ["test_denominator", "validation_denominator:ridge"]
+    late = {**facts, "split": {**facts["split"], "test": {**facts["split"]["test"], "min_year": 1990}}}
+    assert Z.denominator_problems(late) == ["years"]
+
+
 def test_contract_stops_training(frame):
     for broken in (frame.withColumn("mature", F.lit(False)), frame.union(frame), frame.withColumn("raw", F.lit(-1.0))):
         with pytest.raises(ValueError):
