@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -50,9 +51,9 @@ class Node:
 
 
 def _hints(attributes: str) -> set[str]:
-    """What the words of a tag's class, id and role hint at."""
+    """What the words of a tag's class, id and role hint at; `mainContent` is two words."""
     found = ATTR.findall(attributes) if attributes else ()
-    return {HINT_OF[w] for f in found for w in re.split(r"[^a-z]+", "".join(f).lower()) if w in HINT_OF}
+    return {HINT_OF[w] for f in found for w in map(str.lower, re.split(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])", "".join(f))) if w in HINT_OF}
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
@@ -63,6 +64,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     parent or where HTML says so, and an unfinished comment or tag runs to the end of the page.
     """
     nodes, blocks, stack = [Node("html", -1)], [], [0]
+    opened: Counter[str] = Counter()  # open nodes by tag, without the root
     inner: dict[int, int] = {}  # plain elements that are open inside a node of the same inline tag
     text: list[str] = []
     links = at = 0
@@ -81,6 +83,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if links:
                 nodes[stack[-1]].linked += size
 
+    def close(depth: int) -> None:
+        opened.subtract(nodes[i].tag for i in stack[depth:])
+        del stack[depth:]
+
     pos = 0
     while (m := TAG.search(page, pos)) is not None:
         add(page[pos : m.start()])
@@ -95,11 +101,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     inner[stack[-1]] -= 1
                 else:
                     flush()
-                    stack.pop()
-            if tag not in INLINE and tag not in VOID and any(nodes[i].tag == tag for i in stack[1:]):
+                    close(len(stack) - 1)
+            if tag not in INLINE and tag not in VOID and opened[tag]:
                 flush()
-                while nodes[stack.pop()].tag != tag:
-                    pass
+                depth = len(stack) - 1
+                while nodes[stack[depth]].tag != tag:
+                    depth -= 1
+                close(depth)
                 links = 0
         elif tag in RAW:
             if not m[3].rstrip().endswith("/"):
@@ -115,16 +123,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         elif tag not in ("html",):
             flush()
             ends = CLOSES.get(tag, set()) | ({"p"} if tag in ENDS_P else set())
-            for depth in range(len(stack) - 1, 0, -1):
+            for depth in range(len(stack) - 1, 0, -1) if any(opened[t] for t in ends) else ():
                 open_tag = nodes[stack[depth]].tag
                 if open_tag in ends:
-                    del stack[depth:]
+                    close(depth)
                     break
                 if open_tag in ("ul", "ol", "dl", "table", "div", "article", "section", "blockquote"):
                     break
             nodes.append(Node(tag, stack[-1], tuple(sorted(_hints(m[3])))))
             nodes[stack[-1]].children.append(len(nodes) - 1)
             stack.append(len(nodes) - 1)
+            opened[tag] += 1
             links = 0
     add(page[pos:])
     flush()
@@ -245,11 +254,16 @@ def labelled_pages(n: int = 400, seed: int = 0) -> list[tuple[str, list[int]]]:
             return f' {rng.choice(("class", "id"))}="{rng.choice(HINTS[kind])}"'
 
         def content() -> None:
-            say("h1", 1, 3, 10)
+            if rng.random() < 0.15:
+                node("header", 1, "", lambda: say("h1", 1, 3, 10))
+            else:
+                say("h1", 1, 3, 10)
             for _ in range(rng.randint(1, 8)):
                 r = rng.random()
-                if r < 0.62:
-                    say("p", 1, 1, 80)
+                if r < 0.6:
+                    say("div" if plain else "p", 1, 1, 80)
+                elif r < 0.62:
+                    say("div" if plain else "p", 1, 8, 40, link=True)
                 elif r < 0.7:  # something of a hinted inline element stands in the paragraph
                     node("p", 1, "", lambda: (parts.append(words(1, 40) + " "), say("span", 0, 1, 8, named(rng.choice(("ad", "side", "notice")))), parts.append(" " + words(1, 40))))
                 elif r < 0.78:
@@ -287,14 +301,15 @@ def labelled_pages(n: int = 400, seed: int = 0) -> list[tuple[str, list[int]]]:
                 around(kind)
             if bare:
                 content()
-            elif rng.random() < 0.7:
+            elif not plain and rng.random() < 0.7:
                 node(rng.choice(("article", "main")), 1, "" if rng.random() < 0.7 else named("body"), content)
             else:
-                node("div", 1, named("body"), content)
+                node("div", 1, "" if plain else named("body"), content)
             for kind in rng.sample(("side", "comment", "foot", "ad", "nav"), rng.randint(1, 4)):
                 around(kind)
 
         bare = rng.random() < 0.1  # the content stands in the body itself
+        plain = rng.random() < 0.15  # the content is of elements that say nothing of it
         node("body", int(bare), "", whole)
         out.append(("<html>" + "".join(parts) + "</html>", [0, *(labels[i] for i in range(1, count))]))
     return out

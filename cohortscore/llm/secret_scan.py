@@ -29,7 +29,9 @@ FOR = ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key
 _FOR = "|".join(sorted(FOR, key=len, reverse=True))
 _CAMEL = "|".join(w.capitalize() for w in sorted(FOR, key=len, reverse=True))
 NAME = rf"(?:(?<![A-Za-z])(?i:{_FOR})|(?<=[a-z])(?:{_CAMEL}))s?(?:[_\-.][A-Za-z0-9_\-.]{{0,40}})?(?:\\?[\"'`\]])?(?:[ \t]*(?::=|=>|={{1,3}}|:)[ \t]*|[ \t]+(?i:is|bearer|basic)[ \t]+|(?<=earer)[ \t]+|(?<=EARER)[ \t]+|[ \t]+(?=[\"'`]))(?:(?i:bearer|basic|token)[ \t]+)?"
-VALUE = re.compile(NAME + r"""(?:\\"((?:[^"\\\n]|\\[^"\n])+)\\"|\\'((?:[^'\\\n]|\\[^'\n])+)\\'|"((?:[^"\\\n]|\\.)+)"|'((?:[^'\\\n]|\\.)+)'|`([^`\n]+)`|["'`]?([^\s"'`]\S*))""")
+VALUE = re.compile(NAME + r"""(?:\\"((?:[^"\\\n]|\\[^"\n])+)\\"|\\'((?:[^'\\\n]|\\[^'\n])+)\\'|"((?:[^"\\\n]|\\.)+)"|'((?:[^'\\\n]|\\.)+)'|`([^`\n]+)`|["'`]?(?P<open>[^\s"'`]))""")
+#: Where a value without quotes ends.
+END = re.compile(r"\s|\Z")
 NAMED = re.compile(NAME + r"""\\?["'`]?$""")
 AGAINST = ("commit", "sha", "sha1", "sha256", "md5", "checksum", "hash", "digest", "etag", "uuid", "guid", "id", "revision", "version", "build", "order", "invoice", "isbn", "example", "sample", "dummy", "placeholder", "test", "file", "path", "url", "mail", "email", "contact")
 #: Words whose letters count as dictionary coverage. Fixed values.
@@ -41,11 +43,15 @@ LABELLED, TREES, DEPTH, VERDICT = 3_000, 40, 9, 0.5
 
 
 #: What stands where a value is filled in later. Fixed values.
-TEMPLATE = re.compile(r"[<$%{\[(]|(?:null|none|nil|true|false|undefined|required|optional|changeme|change_me|redacted|hidden|password|secret|token|x+|\*+|\.+)\W*$|(?:your|my|the|example|test|dummy|sample)[-_ ]|[a-z_]+(?:\.[a-z_]+)*[\[(]", re.I)
+TEMPLATE = re.compile(r"[<$%{\[(]|(?:null|none|nil|true|false|undefined|required|optional|changeme|change_me|redacted|hidden|password|secret|token|x++|\*++|\.++)\W*+$|(?:your|my|the|example|test|dummy|sample)[-_ ]|[a-z_]+(?:\.[a-z_]+)*[\[(]", re.I)
 
 
 def spans(text: str) -> list[tuple[int, int]]:
-    """The candidates of a text in order. A run is cut where a value begins; a run inside a value is one of its own."""
+    """The candidates of a text in order. A run is cut where a value begins; a run inside a value is one of its own.
+
+    Of values without quotes that lie in one another, those between the outermost and the innermost end where the next
+    begins, so the lengths of all candidates add up to no more than a few times the text's.
+    """
     blocks = [m.span() for m in BLOCK.finditer(text)]
     ends = [b for _, b in blocks]
 
@@ -54,11 +60,25 @@ def spans(text: str) -> list[tuple[int, int]]:
         return i == len(blocks) or a < blocks[i][0]
 
     values = set()
-    at = 0
+    bare: list[int] = []  # where values without quotes begin that share one end
+    at = end = 0
+
+    def close() -> None:
+        """Of values that lie in one another the first and the last are whole, each between ends where the next begins."""
+        inner = bare[1:-1]
+        values.update(zip([*bare[:1], *inner, *bare[-1:]], [end, *bare[2:], end] if len(bare) > 1 else [end]))
+
     while m := VALUE.search(text, at):  # on from the value's start, as a value can hold a name and its own value
         a, b = m.span(m.lastindex)
-        values.add((a, b))
+        if m["open"] is None:
+            values.add((a, b))
+        else:
+            if a >= end:
+                close()
+                bare, end = [], END.search(text, a).start()
+            bare.append(a)
         at = max(a, m.start() + 1)
+    close()
     values.update(m.span(1) for m in URL.finditer(text))
     begins = sorted({a for a, _ in values})
     runs = set()
@@ -316,7 +336,15 @@ def _found(texts: list[str], forest: Forest, transitions: np.ndarray) -> tuple[l
     found = [(i, a, b) for i, t in enumerate(texts) for a, b in spans(t)]
     if not found:
         return found, np.zeros(0)
-    return found, forest.probability(np.array([features(texts[i], a, b, transitions) for i, a, b in found]))
+    seen: dict[tuple[str, str, str], list[float]] = {}  # equal candidates with equal neighbours, by all that features read
+
+    def read(text: str, a: int, b: int) -> list[float]:
+        key = (text[max(0, a - 160) : a], text[a:b], text[b : b + 40])
+        if key not in seen:
+            seen[key] = features(text, a, b, transitions)
+        return seen[key]
+
+    return found, forest.probability(np.array([read(texts[i], a, b) for i, a, b in found]))
 
 
 def from_raw_text(rows: list[tuple[str, int, int, int]], forest: Forest, transitions: np.ndarray, verdict: float = VERDICT) -> tuple[float, float]:
