@@ -111,6 +111,7 @@ def request_digest(*parts: Column) -> Column:
 
 #: What a reviewer is advised to do. Fixed values.
 ADVICE = ("rechazar: puntuacion inferior al umbral de revision", "revisar: aceptar solo si la diferencia es una subversion o acabado", "revisar: rechazar salvo evidencia documental de que ambos nombres son el mismo modelo")
+NO_CANDIDATE = "rechazar: no existe candidato con la misma marca y ano"
 
 
 def review_advice(score: Column, root: Column, other_root: Column, manual: int = 75) -> Column:

@@ -52,33 +52,66 @@ def enforce_all(*guards: tuple[DataFrame, str]) -> None:
         raise ValueError(guards[first][1])
 
 
-def match_entities(rows: DataFrame, catalog: DataFrame, trims: Sequence[str], auto: int = 90, manual: int = 75, require_verified: bool = True) -> DataFrame:
-    """`id, cand_id, score, status, root_equal, n_exact, n_best, cand_key, advice` for every row.
-
-    The best candidate of a block has the exact key, then the highest score, then the smallest key and id. Other
-    numbers in the names reject it. From `auto` on it is accepted if the root names agree or the exact name is
-    unique, and no other candidate is as good; from `manual` on it goes to review. Without a block: no_candidate.
-    Names are scored once per block and distinct pair, whatever the number of rows. Ids are unique and not null, and
-    every candidate has the flag of an official source, or the call fails; `require_verified` waives the flag.
-    """
+def _checked(rows: DataFrame, catalog: DataFrame, auto: int, manual: int, require_verified: bool) -> None:
+    if not 0 <= manual <= auto <= 100:
+        raise ValueError("thresholds are 0 <= manual <= auto <= 100")
     guards = [(duplicate_keys(rows, "id"), "an id is null or occurs twice"), (duplicate_keys(catalog, "cand_id"), "a candidate id is null or occurs twice")]
     enforce_all(*guards, *([(unverified(catalog), "a candidate is not verified")] if require_verified else []))
+
+
+def _decided(left: DataFrame, catalog: DataFrame, trims: Sequence[str], auto: int, manual: int, carried: Sequence[str] = ()) -> DataFrame:
+    """`left` with the decision on its names: the best candidate, its root and what else is `carried` of it, scores and status."""
     name = ["make_key", "year", "key", "root"]
-    left = _keyed(rows, trims).select("id", *name)
     names = left.select(*name).distinct()
-    right = _keyed(catalog, trims, "c_").groupBy("make_key", "year", "c_key", "c_root").agg(F.count("*").alias("of"), F.min("cand_id").alias("cand_id"))
+    more = [F.min_by(F.struct(*carried), "cand_id").alias("carried")] if carried else []
+    right = _keyed(catalog, trims, "c_").groupBy("make_key", "year", "c_key", "c_root").agg(F.count("*").alias("of"), F.min("cand_id").alias("cand_id"), *more)
     pairs = with_similarity(names.join(right, ["make_key", "year"]), "key", "c_key")
-    best = F.struct((F.col("key") != F.col("c_key")).alias("other"), F.col("c_key"), F.col("cand_id"), F.col("c_root"))
+    best = F.struct((F.col("key") != F.col("c_key")).alias("other"), F.col("c_key"), F.col("cand_id"), F.col("c_root"), *(["carried"] if carried else []))
     levels = pairs.groupBy(*name, "score").agg(F.sum("of").alias("n"), F.sum(F.when(F.col("key") == F.col("c_key"), F.col("of")).otherwise(0)).alias("exact"), F.min(best).alias("b"))
-    order = F.struct("b.other", -F.col("score"), "b.c_key", "b.cand_id", "b.c_root", "score", "n")
+    order = F.struct("b.other", -F.col("score"), "b.c_key", "b.cand_id", "b.c_root", "score", "n", *(["b.carried"] if carried else []))
     chosen = levels.groupBy(*name).agg(F.min(order).alias("o"), F.sum("exact").alias("n_exact"))
-    chosen = chosen.select(*name, "n_exact", F.col("o.cand_id"), F.col("o.score"), F.col("o.n").alias("n_best"), F.col("o.c_root"), F.col("o.c_key").alias("cand_key"), (~F.col("o.other")).alias("is_exact"))
+    chosen = chosen.select(*name, "n_exact", F.col("o.cand_id"), F.col("o.score"), F.col("o.n").alias("n_best"), F.col("o.c_root"), F.col("o.c_key").alias("cand_key"), (~F.col("o.other")).alias("is_exact"), *[F.col(f"o.carried.{c}").alias(f"cand_{c}") for c in carried])
     root_equal = (F.col("root") != "") & (F.col("root") == F.col("c_root"))
     ambiguous = (F.col("n_exact") > 1) | (~F.col("is_exact") & (F.col("n_best") > 1))
     sure = (F.col("score") >= auto) & (root_equal | F.col("is_exact") & (F.col("n_exact") == 1)) & ~ambiguous
     status = F.when(T.digits_of(F.col("root")) != T.digits_of(F.col("c_root")), "rejected").when(sure, "auto_accepted").when(F.col("score") >= manual, "manual_review").otherwise("rejected")
-    decided = chosen.select(*name, "cand_id", "score", status.alias("status"), root_equal.alias("root_equal"), "n_exact", "n_best", "cand_key", T.review_advice(F.col("score"), F.col("root"), F.col("c_root"), manual).alias("advice"))
-    return left.join(decided, name, "left").drop(*name).na.fill({"status": "no_candidate"})
+    decided = chosen.withColumns({"status": status, "root_equal": root_equal, "advice": T.review_advice(F.col("score"), F.col("root"), F.col("c_root"), manual)})
+    return left.join(decided, name, "left").na.fill({"status": "no_candidate"})
+
+
+def match_entities(rows: DataFrame, catalog: DataFrame, trims: Sequence[str], auto: int = 90, manual: int = 75, require_verified: bool = True) -> DataFrame:
+    """`id, cand_id, score, status, root_equal, n_exact, n_best, cand_key, advice` for every row.
+
+    The best candidate of a block has the exact key, then the highest score, then the smallest key and id. Other
+    numbers in the names reject it. From `auto` on it is accepted if the root names agree or the exact name is
+    unique, and no other candidate is as good; from `manual` on it goes to review. Without a block: no_candidate.
+    Names are scored once per block and distinct pair, whatever the number of rows. Ids are unique and not null, and
+    every candidate has the flag of an official source, or the call fails; `require_verified` waives the flag.
+    """
+    _checked(rows, catalog, auto, manual, require_verified)
+    left = _keyed(rows, trims).select("id", "make_key", "year", "key", "root")
+    return _decided(left, catalog, trims, auto, manual).select("id", "cand_id", "score", "status", "root_equal", "n_exact", "n_best", "cand_key", "advice")
+
+
+def match_table(rows: DataFrame, catalog: DataFrame, trims: Sequence[str], auto: int = 90, manual: int = 75, require_verified: bool = True) -> DataFrame:
+    """The decisions of `match_entities` as the table that reviewers and later stages read, one row per entity.
+
+    `id, make, model, year` are the entity's, `cand_id, cand_make, cand_model, cand_verified, cand_source` its best
+    candidate's (`source` of the catalog; null if that has none), then `score, status, root, cand_root, root_equal,
+    advice, decision` (null until someone decides) and `audit_required` (all that is not accepted at once). Without a
+    candidate the `cand_` columns and the score are null, the roots are not equal, and the advice is to reject. What is
+    shown of a candidate travels with its id through the aggregates, so the catalog is not joined a second time.
+    """
+    _checked(rows, catalog, auto, manual, require_verified)
+    left = _keyed(rows, trims).select("id", "make", "model", "make_key", "year", "key", "root")
+    listed = catalog.withColumn("verified", F.coalesce("verified", F.lit(False)))
+    listed = listed if "source" in catalog.columns else listed.withColumn("source", F.lit(None).cast("string"))
+    out = _decided(left, listed, trims, auto, manual, ("make", "model", "verified", "source"))
+    return out.select(
+        "id", "make", "model", "year", "cand_id", "cand_make", "cand_model", "score", "status", "root", F.col("c_root").alias("cand_root"),
+        F.coalesce("root_equal", F.lit(False)).alias("root_equal"), F.coalesce("advice", F.lit(T.NO_CANDIDATE)).alias("advice"),
+        F.lit(None).cast("string").alias("decision"), (F.col("status") != "auto_accepted").alias("audit_required"), "cand_verified", "cand_source",
+    )
 
 
 def match_summary(matches: DataFrame, alarm: float = 0.4) -> DataFrame:

@@ -37,6 +37,12 @@ def entity_match(spark, d):
     return M.match_entities(rows, catalog, Q.TRIMS)
 
 
+def match_table(spark, d):
+    rows, catalog = _sides(spark, d)
+    sources = Q._t(spark, d, "part").select(F.col("p_partkey").alias("cand_id"), F.col("p_type").alias("source"))
+    return M.match_table(rows, catalog.join(sources, "cand_id"), Q.TRIMS)
+
+
 def match_summary(spark, d):
     return M.match_summary(entity_match(spark, d))
 
@@ -85,7 +91,7 @@ def table_fingerprint(spark, d):
     return A.fingerprint(Q._t(spark, d, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"])
 
 
-NAMES = (entity_match, match_summary, inventory_resolution, two_stage_lookup, evidence_states, median_imputation, target_sensitivity, scope_sample, table_fingerprint)
+NAMES = (entity_match, match_table, match_summary, inventory_resolution, two_stage_lookup, evidence_states, median_imputation, target_sensitivity, scope_sample, table_fingerprint)
 QUERIES = {f.__name__: f for f in NAMES}
 
 _ID = "c_custkey || '_' || y"
@@ -108,6 +114,9 @@ _SIDES = f"""WITH r AS (SELECT p_partkey AS id, {Q._CANON('p_brand')} AS mk, p_s
     CASE WHEN score < 75 THEN '{T.ADVICE[0]}' WHEN root <> '' AND root = c_root THEN '{T.ADVICE[1]}' WHEN score IS NOT NULL THEN '{T.ADVICE[2]}' END AS advice FROM r LEFT JOIN ro USING (id)) """
 ORACLE = {
     "entity_match": _SIDES + "SELECT * FROM m",
+    "match_table": _SIDES + f"""SELECT r.id, r.p_brand AS make, r.p_name AS model, r.year, m.cand_id, cp.p_brand AS cand_make, cp.p_name AS cand_model, m.score, m.status, array_to_string(list_filter(string_split(r.key, ' '), lambda t: t NOT IN ('small', 'large', 'new', 'old')), ' ') AS root, ro.c_root AS cand_root,
+      coalesce(m.root_equal, false) AS root_equal, coalesce(m.advice, '{T.NO_CANDIDATE}') AS advice, NULL AS decision, m.status <> 'auto_accepted' AS audit_required, CASE WHEN m.cand_id IS NOT NULL THEN true END AS cand_verified, cp.p_type AS cand_source
+      FROM r JOIN m ON r.id = m.id LEFT JOIN ro ON r.id = ro.id LEFT JOIN part AS cp ON m.cand_id = cp.p_partkey""",
     "match_summary": _SIDES + "SELECT count(*) AS n, count(*) FILTER (status = 'auto_accepted') AS accepted, count(*) FILTER (status = 'manual_review') AS manual_review, count(*) FILTER (status = 'rejected') AS rejected, count(*) FILTER (status = 'no_candidate') AS no_candidate, round(1 - count(*) FILTER (status = 'auto_accepted') / count(*), 6) AS loss_rate, 1 - count(*) FILTER (status = 'auto_accepted') / count(*) > 0.4 AS alarm FROM m",
     "inventory_resolution": _SIDES + ", v AS (SELECT DISTINCT p_brand, p_name, mk, year, key FROM r), k AS (SELECT v.p_brand, v.p_name, v.year, count(c.cand_id) AS pool, count(*) FILTER (v.key = c.c_key) AS e, min(cand_id) FILTER (v.key = c.c_key) AS e_id, count(*) FILTER (score >= 75) AS s FROM v LEFT JOIN c ON v.mk = c.mk AND v.year = c.year LEFT JOIN sim ON v.key = sim.key AND c.c_key = sim.c_key GROUP BY 1, 2, 3) SELECT p_brand AS make, p_name AS model, year, CASE WHEN pool = 0 THEN 'no_same_make_year' WHEN e = 1 THEN 'exact_name' WHEN e > 1 THEN 'ambiguous_name' WHEN s > 0 THEN 'manual_review' ELSE 'no_model_match' END AS status, CASE WHEN e = 1 THEN e_id END AS cand_id, CASE WHEN e > 0 THEN e ELSE s END AS n_candidates FROM k",
     "two_stage_lookup": f"""WITH p AS (SELECT p_partkey, p_brand AS make, p_name AS model, p_size AS year FROM part),
