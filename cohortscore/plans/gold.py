@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from cohortscore.operators import checks as K
 from cohortscore.operators import cohorts as C
 from cohortscore.operators import gold as G
+from cohortscore.operators.scratch import scratch_folder
 from cohortscore.plans import queries as Q
+from cohortscore.sources.tables import read_set, write_set
 
 AS_OF = "2001-12-31"
 KEYS = ["c_custkey", "y"]
@@ -37,6 +39,14 @@ def gold_table(spark, d):
     return _rounded(_gold(spark, d), "history", "index_100")
 
 
+def gold_from_tables(spark, d):
+    """The labelled table from a set of tables that were written, bucketed by its keys."""
+    sides = {"specs": _specs(spark, d), "accepted": _accepted(spark, d), "scores": Q.severity_window_score(spark, d).select(*KEYS, "score", "n_in_window")}
+    new = write_set(sides, dict.fromkeys(sides, KEYS), "cohort_sides", scratch_folder(spark), 8)
+    t = read_set(spark, "cohort_sides", *sides, version=new)
+    return _rounded(G.build_gold(t["specs"], t["accepted"], t["scores"], KEYS, "y", "brand", "c_mktsegment", "score", AS_OF), "history", "index_100")
+
+
 def _inference(spark, d):
     return G.inference_catalog(_specs(spark, d), _gold(spark, d), "y", "brand", "score", AS_OF, outcomes=OUTCOMES)
 
@@ -150,7 +160,7 @@ def training_contract(spark, d):
     return K.training_violations(rows, KEYS, "y", "score", ["history"], "ok", 1996, 2026)
 
 
-NAMES = (gold_table, inference_catalog, serving_catalog, catalog_lookup, match_failures, valid_rows_report, scope_filter, incomplete_cohorts, catalog_contract, spec_quality, gold_contract, inventory_contract, publication_contract, metric_recompute, comparability_codes, result_contract, progress_denominators, origin_guard, date_quality, training_contract)
+NAMES = (gold_table, gold_from_tables, inference_catalog, serving_catalog, catalog_lookup, match_failures, valid_rows_report, scope_filter, incomplete_cohorts, catalog_contract, spec_quality, gold_contract, inventory_contract, publication_contract, metric_recompute, comparability_codes, result_contract, progress_denominators, origin_guard, date_quality, training_contract)
 QUERIES = {f.__name__: f for f in NAMES}
 
 _GOLD = Q._BASE + f""", sp AS (SELECT DISTINCT c_custkey, y, brand, c_mktsegment FROM o),
@@ -166,6 +176,7 @@ _RULE = lambda name, test: f"SELECT '{name}' AS rule, count(*) FILTER ({test}) A
 _ERR = Q.ORACLE["group_mean_errors"].split("), e AS (")[0] + f"""), e AS (SELECT o.*, coalesce(a, b, c, (SELECT avg(o_totalprice) FROM t)) AS predicted FROM o LEFT JOIN m0 USING (brand, c_mktsegment) LEFT JOIN m1 USING (brand) LEFT JOIN m2 ON o.c_mktsegment = m2.c_mktsegment WHERE y > 1999) """
 ORACLE = {
     "gold_table": _GOLD + "SELECT c_custkey, y, brand, c_mktsegment, score, n_in_window, round(history, 4) AS history, history_source, index_100 FROM gold",
+    "gold_from_tables": _GOLD + "SELECT c_custkey, y, brand, c_mktsegment, score, n_in_window, round(history, 4) AS history, history_source, index_100 FROM gold",
     "inference_catalog": _GOLD + f"SELECT sp.c_custkey, sp.y, sp.brand, sp.c_mktsegment, round(history, 4) AS history, history_source, sp.y <= 1998 AS is_complete, '{AS_OF}' AS as_of, CASE WHEN customer.c_acctbal >= 3000 THEN 'auto_accepted' ELSE 'not_queried' END AS status FROM sp JOIN h USING (brand, y) JOIN customer ON sp.c_custkey = customer.c_custkey",
     "serving_catalog": _GOLD + "SELECT sp.*, score, n_in_window, index_100, CASE WHEN gold.c_custkey IS NULL THEN 'inference' ELSE 'gold' END AS origin, sp.y <= 1998 AS is_complete FROM sp LEFT JOIN gold ON sp.c_custkey = gold.c_custkey AND sp.y = gold.y",
     "catalog_lookup": f"""WITH c AS (SELECT DISTINCT o_custkey AS c_custkey, year(o_orderdate) AS y, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey),
