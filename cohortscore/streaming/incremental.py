@@ -27,6 +27,26 @@ def load_new(spark: SparkSession, source: str, schema: StructType | str, target:
     return spark.read.parquet(target).count()
 
 
+def load_once(spark: SparkSession, source: str, schema: StructType | str, target: str, checkpoint: str, digest: Column) -> int:
+    """Like `load_new`, for targets too large to read at each load: known digests are in the query's state store.
+
+    A load costs what its new files cost: their rows meet the state of their digest (RocksDB, on the executors' disks and
+    in the checkpoint), and the target is only added to, by a sink that commits a batch once. The row of an earlier load
+    stays; of equal digests in one load any one does, so that no row waits for another. The columns are those of
+    `schema` and `digest`. Null parts of a digest are as `digest` takes them. Returns the rows the target has, from the
+    footers of its files.
+    """
+    key, old = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = spark.readStream.schema(schema).parquet(source).withColumn("digest", digest).dropDuplicates(["digest"])
+        query = rows.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(key, old)
+    return spark.read.parquet(target).count()
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
