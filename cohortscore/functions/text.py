@@ -10,40 +10,51 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _fold_table(last: int = 0x24FF) -> tuple[str, str]:
-    """Letters whose compatibility decomposition is one other letter and combining marks, then the marks, which go."""
-    source, target, marks = [], [], []
-    for c in map(chr, [*range(0x80, last), *range(0xFF01, 0xFF5F)]):
-        if unicodedata.combining(c):
+def _bare(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+
+
+def _plain(text: str) -> bool:
+    """Whether any of it outlives `canonical_text`."""
+    return any(x.isascii() and x.isalnum() for x in text)
+
+
+def _tables(last: int = 0x20000) -> tuple[tuple[str, str], dict[str, str]]:
+    """Of all characters up to `last`, what their compatibility decomposition leaves: a `translate` pair of those that
+    become one letter or digit, with the combining marks, which go, at its end; and those that become several."""
+    source, target, marks, several = [], [], [], {}
+    for c in map(chr, range(0x80, last)):
+        bare = _bare(c)
+        if not bare:
             marks.append(c)
-            continue
-        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if len(bare) == 1 and bare != c:
-            source.append(c)
-            target.append(bare)
-    return "".join(source + marks), "".join(target)
+        elif bare != c and _plain(bare):
+            if len(bare) == 1:
+                source.append(c)
+                target.append(bare)
+            else:
+                several[c] = "".join(x if _plain(x) else " " for x in bare)
+    return ("".join(source + marks), "".join(target)), several
 
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-FOLD = _fold_table()
+FOLD, EXPANDED = _tables()
 #: Other spellings of makes. Fixed values.
 MAKE_ALIASES = {"vw": "volkswagen", "chevy": "chevrolet", "mercedesbenz": "mercedes benz"}
 
 
-#: Characters whose compatibility form is several letters, and that form. Fixed values.
-EXPANDED = {"\ufb00": "ff", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl", "\ufb05": "st", "\ufb06": "st", "\u00bd": "1 2", "\u00bc": "1 4", "\u00be": "3 4", "\u0132": "ij", "\u0133": "ij", "\u01c4": "dz", "\u01c6": "dz", "\u2122": "tm", "\u2116": "no"}
-
-
 def _expanded(c: Column) -> Column:
-    out = c
-    for old, new in EXPANDED.items():
-        out = F.replace(out, F.lit(old), F.lit(new))
-    return F.when(c.rlike(f"[{''.join(EXPANDED)}]"), out).otherwise(c)
+    """Characters that stand for several letters, as these; other texts are not taken apart."""
+    table = F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in EXPANDED.items())), F.lit("\n"), F.lit("\t"))
+    spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    return F.when(F.translate(c, "".join(EXPANDED), "") != c, spelled).otherwise(c)
 
 
 def canonical_text(c: Column) -> Column:
-    """Accents off, lower case, anything but a-z and 0-9 to one space, trimmed; null gives an empty text."""
-    return F.coalesce(F.trim(F.regexp_replace(F.lower(F.translate(_expanded(c), *FOLD)), "[^a-z0-9]+", " ")), F.lit(""))
+    """Accents off, lower case, anything but a-z and 0-9 to one space, trimmed; null gives an empty text.
+
+    Only texts with a character beyond ASCII go through the tables."""
+    folded = F.when(c.rlike("[^\\x00-\\x7F]"), F.translate(_expanded(c), *FOLD)).otherwise(c)
+    return F.coalesce(F.trim(F.regexp_replace(F.lower(folded), "[^a-z0-9]+", " ")), F.lit(""))
 
 
 def comparison_make(c: Column, aliases: Mapping[str, str] = MAKE_ALIASES) -> Column:
@@ -112,6 +123,8 @@ def request_digest(*parts: Column) -> Column:
 #: What a reviewer is advised to do. Fixed values.
 ADVICE = ("rechazar: puntuacion inferior al umbral de revision", "revisar: aceptar solo si la diferencia es una subversion o acabado", "revisar: rechazar salvo evidencia documental de que ambos nombres son el mismo modelo")
 NO_CANDIDATE = "rechazar: no existe candidato con la misma marca y ano"
+#: Advice on an accepted match without a valid response. Fixed value.
+NO_LABEL = "No transferir una etiqueta: consulta fallida o cero sin verificar."
 
 
 def review_advice(score: Column, root: Column, other_root: Column, manual: int = 75) -> Column:

@@ -19,13 +19,14 @@ def aggregate_specs(rows: DataFrame, keys: list[str], numbers: list[str], catego
 def best_of_campaign(events: DataFrame, entity: str, campaign: str, weight: str, order: list[str], description: str | None = None) -> DataFrame:
     """One event per entity and campaign: the heaviest, then the first in source order. Ties need a full order.
 
-    Events without a campaign are told apart by their canonical `description`; without one they are one campaign.
+    An aggregation, not a window: each task sends one row a campaign, however many events a campaign has. Events without a campaign are told apart by their canonical `description`; without one they are one campaign.
     """
     key = F.nullif(F.trim(F.col(campaign).cast("string")), F.lit(""))
     if description:
         key = F.coalesce(key, F.concat(F.lit("description:"), canonical_text(F.col(description))))
-    at = Window.partitionBy(entity, key).orderBy(F.desc(weight), *order)
-    return events.withColumn("_n", F.row_number().over(at)).filter("_n = 1").drop("_n")
+    place = F.struct(F.col(weight).isNull(), -F.col(weight), *order)
+    best = F.min_by(F.struct(*[F.col(f"`{c}`") for c in events.columns]), place)
+    return events.groupBy(F.col(entity).alias("_entity"), key.alias("_campaign")).agg(best.alias("_e")).select("_e.*")
 
 
 def window_scores(cohorts: DataFrame, events: DataFrame, entity: str, year: str, event_year: str, weight: str, years: int = 3) -> DataFrame:
@@ -67,11 +68,14 @@ def fit_scale(train: DataFrame, segment: str, value: str) -> DataFrame:
     return sets.filter("_all = 0").join(F.broadcast(whole), "_all").select(segment, "mean", F.when(F.col("std") > 0, F.col("std")).otherwise(F.col("g_std")).alias("std"), "g_mean", "g_std")
 
 
-def scaled_index(rows: DataFrame, scale: DataFrame, segment: str, value: str) -> DataFrame:
-    """Add `index_100`: 50 - 10 z, clipped to 0..100, by the row's segment or, for unknown ones, by all."""
+def scaled_index(rows: DataFrame, scale: DataFrame, segment: str, value: str, origin: str | None = None) -> DataFrame:
+    """Add `index_100`: 50 - 10 z, clipped to 0..100, by the row's segment or, for unknown ones, by all; in the column that
+    `origin` names, which of the two (`segment`, `global`) it was."""
     whole = scale.select("g_mean", "g_std").limit(1).withColumn("_k", F.lit(1))
     joined = rows.join(scale.select(segment, "mean", "std"), segment, "left").withColumn("_k", F.lit(1)).join(F.broadcast(whole), "_k").drop("_k")
     z = (F.col(value) - F.coalesce("mean", "g_mean")) / F.coalesce("std", "g_std")
+    if origin:
+        joined = joined.withColumn(origin, F.when(F.col("mean").isNotNull(), "segment").otherwise("global"))
     return joined.withColumn("index_100", F.greatest(F.lit(0.0), F.least(F.lit(100.0), 50 - 10 * z))).drop("mean", "std", "g_mean", "g_std")
 
 

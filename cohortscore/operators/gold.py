@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortscore.functions import text as T
@@ -75,10 +75,22 @@ def with_match(catalog: DataFrame, matches: DataFrame, keys: Sequence[str]) -> D
     return catalog.join(matches, list(keys), "left").withColumn("status", F.coalesce("status", F.lit("not_queried")))
 
 
-def serving_catalog(gold: DataFrame, inference: DataFrame, keys: Sequence[str], diagnostics: Sequence[str] = ()) -> DataFrame:
-    """Labelled rows, and those of the inference catalog that have no label; diagnostics come from the inference side."""
+def serving_catalog(gold: DataFrame, inference: DataFrame, keys: Sequence[str], diagnostics: Sequence[str] = (), names: Sequence[str] = (), year: str | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """Labelled rows, and those of the inference catalog that have no label; diagnostics come from the inference side.
+
+    With diagnostics a key may be in each side once, or the join fails; without them the labelled row stays, then the
+    first by `order`. `names` are trimmed and lower-cased, the year is a number; rows without one of these go.
+    """
     both = gold.drop(*diagnostics).withColumn("origin", F.lit("gold")).unionByName(inference.drop(*diagnostics).join(gold, list(keys), "left_anti").withColumn("origin", F.lit("inference")), allowMissingColumns=True)
-    return both.join(inference.select(*keys, *diagnostics).dropDuplicates(list(keys)), list(keys), "left") if diagnostics else both
+    if diagnostics:
+        both = checked_join(both, inference.select(*keys, *diagnostics), keys, "left", unique="both")
+    elif order:
+        first = Window.partitionBy(*keys).orderBy("origin", *order)
+        both = both.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    both = both.withColumns({c: F.lower(F.trim(c)) for c in names})
+    if year:
+        both = both.withColumn(year, F.expr(f"try_cast(`{year}` AS int)"))
+    return both.na.drop(subset=[*names, *([year] if year else [])]) if names or year else both
 
 
 def catalog_lookup(requests: DataFrame, catalog: DataFrame, make: str, model: str, year: str, found: Sequence[str]) -> DataFrame:
@@ -89,10 +101,21 @@ def catalog_lookup(requests: DataFrame, catalog: DataFrame, make: str, model: st
 
 
 def transfer_failures(matches: DataFrame, replies: DataFrame) -> DataFrame:
-    """An accepted match whose response is no valid one takes the state of the response; no response is a failed one."""
+    """An accepted match whose response is no valid one takes the state of the response; no response is a failed one.
+
+    Such a match is to be audited, and its `advice` says that no label follows from it. `audit_required` and `advice` of
+    other matches stay as they are, or are false and null where `matches` has none.
+    """
     valid = F.col("query_status").isin("valid_with_recalls", "valid_zero_recalls")
     failed = F.col("status").isin(*ACCEPTED) & ~F.coalesce(valid, F.lit(False))
-    return matches.join(replies, "cand_id", "left").withColumn("status", F.when(failed, F.coalesce("query_status", F.lit("query_failed"))).otherwise(F.col("status"))).drop("query_status")
+    audit = F.col("audit_required") if "audit_required" in matches.columns else F.lit(False)
+    advice = F.col("advice") if "advice" in matches.columns else F.lit(None).cast("string")
+    told = {
+        "status": F.when(failed, F.coalesce("query_status", F.lit("query_failed"))).otherwise(F.col("status")),
+        "audit_required": failed | audit,
+        "advice": F.when(failed, T.NO_LABEL).otherwise(advice),
+    }
+    return checked_join(matches, replies.select("cand_id", "query_status"), ["cand_id"]).withColumns(told).drop("query_status")
 
 
 def catalog_contract(rows: DataFrame, aliases: dict[str, Sequence[str]], year: str, first: int, last: int) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cohortscore.operators import checks as K
 from cohortscore.operators import cohorts as C
 from cohortscore.operators import gold as G
-from cohortscore.operators.scratch import scratch_folder
+from cohortscore.operators.scratch import scratch_folder, settled
 from cohortscore.plans import queries as Q
 from cohortscore.sources.tables import read_set, write_set
 
@@ -47,8 +47,8 @@ def gold_from_tables(spark, d):
     return _rounded(G.build_gold(t["specs"], t["accepted"], t["scores"], KEYS, "y", "brand", "c_mktsegment", "score", AS_OF), "history", "index_100")
 
 
-def _inference(spark, d):
-    return G.inference_catalog(_specs(spark, d), _gold(spark, d), "y", "brand", "score", AS_OF, outcomes=OUTCOMES)
+def _inference(spark, d, gold=None):
+    return G.inference_catalog(_specs(spark, d), _gold(spark, d) if gold is None else gold, "y", "brand", "score", AS_OF, outcomes=OUTCOMES)
 
 
 def inference_catalog(spark, d):
@@ -57,7 +57,9 @@ def inference_catalog(spark, d):
 
 
 def serving_catalog(spark, d):
-    out = G.serving_catalog(_gold(spark, d).drop("history", "history_source"), _inference(spark, d).select(*KEYS, "brand", "c_mktsegment", "is_complete"), KEYS, ["is_complete"])
+    gold = settled(_gold(spark, d))  # both sides read it
+    inference = _inference(spark, d, gold).select(*KEYS, "brand", "c_mktsegment", "is_complete")
+    out = G.serving_catalog(gold.drop("history", "history_source"), inference, KEYS, ["is_complete"], ["brand", "c_mktsegment"], "y")
     return _rounded(out, "index_100")
 
 
@@ -72,7 +74,7 @@ def match_failures(spark, d):
     customers = Q._t(spark, d, "customer")
     matches = customers.select("c_custkey", F.col("c_custkey").alias("cand_id"), F.when(F.col("c_acctbal") < 3000, "rejected").otherwise("auto_accepted").alias("status"))
     replies = customers.filter("c_nationkey <> 0").select(F.col("c_custkey").alias("cand_id"), F.when(F.col("c_nationkey") < 8, "valid_with_recalls").when(F.col("c_nationkey") < 16, "valid_zero_recalls").otherwise("unverified_zero_result").alias("query_status"))
-    return G.transfer_failures(matches, replies).select("c_custkey", "status")
+    return G.transfer_failures(matches, replies).select("c_custkey", "status", "audit_required", "advice")
 
 
 def valid_rows_report(spark, d):
@@ -178,11 +180,11 @@ ORACLE = {
     "gold_table": _GOLD + "SELECT c_custkey, y, brand, c_mktsegment, score, n_in_window, round(history, 4) AS history, history_source, index_100 FROM gold",
     "gold_from_tables": _GOLD + "SELECT c_custkey, y, brand, c_mktsegment, score, n_in_window, round(history, 4) AS history, history_source, index_100 FROM gold",
     "inference_catalog": _GOLD + f"SELECT sp.c_custkey, sp.y, sp.brand, sp.c_mktsegment, round(history, 4) AS history, history_source, sp.y <= 1998 AS is_complete, '{AS_OF}' AS as_of, CASE WHEN customer.c_acctbal >= 3000 THEN 'auto_accepted' ELSE 'not_queried' END AS status FROM sp JOIN h USING (brand, y) JOIN customer ON sp.c_custkey = customer.c_custkey",
-    "serving_catalog": _GOLD + "SELECT sp.*, score, n_in_window, index_100, CASE WHEN gold.c_custkey IS NULL THEN 'inference' ELSE 'gold' END AS origin, sp.y <= 1998 AS is_complete FROM sp LEFT JOIN gold ON sp.c_custkey = gold.c_custkey AND sp.y = gold.y",
+    "serving_catalog": _GOLD + "SELECT sp.c_custkey, sp.y, lower(trim(sp.brand)) AS brand, lower(trim(sp.c_mktsegment)) AS c_mktsegment, score, n_in_window, index_100, CASE WHEN gold.c_custkey IS NULL THEN 'inference' ELSE 'gold' END AS origin, sp.y <= 1998 AS is_complete FROM sp LEFT JOIN gold ON sp.c_custkey = gold.c_custkey AND sp.y = gold.y",
     "catalog_lookup": f"""WITH c AS (SELECT DISTINCT o_custkey AS c_custkey, year(o_orderdate) AS y, c_name, c_mktsegment FROM orders JOIN customer ON o_custkey = c_custkey),
       a AS (SELECT DISTINCT lower(c_mktsegment) AS make, CASE WHEN c_custkey % 3 = 0 THEN 'nobody' ELSE replace(c_name, '#', ' ') END AS model, y AS year FROM c)
       SELECT make, model, year, c_custkey, c_custkey IS NOT NULL AS is_found FROM a LEFT JOIN c ON {Q._CANON('make')} = {Q._CANON('c_mktsegment')} AND {Q._CANON('model')} = {Q._CANON('c_name')} AND year = y""",
-    "match_failures": "SELECT c_custkey, CASE WHEN c_acctbal < 3000 THEN 'rejected' WHEN c_nationkey = 0 THEN 'query_failed' WHEN c_nationkey >= 16 THEN 'unverified_zero_result' ELSE 'auto_accepted' END AS status FROM customer",
+    "match_failures": "SELECT *, status NOT IN ('rejected', 'auto_accepted') AS audit_required, CASE WHEN status NOT IN ('rejected', 'auto_accepted') THEN 'No transferir una etiqueta: consulta fallida o cero sin verificar.' END AS advice FROM (SELECT c_custkey, CASE WHEN c_acctbal < 3000 THEN 'rejected' WHEN c_nationkey = 0 THEN 'query_failed' WHEN c_nationkey >= 16 THEN 'unverified_zero_result' ELSE 'auto_accepted' END AS status FROM customer)",
     "valid_rows_report": Q._BASE + "SELECT count(*) AS n_read, count(*) FILTER (prio = 5) AS blank_key, count(*) FILTER (prio <> 5 AND o_orderkey % 50 = 0) AS no_year, count(*) FILTER (prio <> 5 AND o_orderkey % 50 <> 0 AND y < 1997) AS early_year, count(*) FILTER (prio <> 5 AND o_orderkey % 50 <> 0 AND y >= 1997) AS n_kept FROM o",
     "scope_filter": Q._BASE + "SELECT brand, y, count(*) AS n FROM o WHERE brand IN (SELECT n_name FROM nation WHERE lower(n_name) IN ('nation_1', 'nation_2')) AND y IN (1996, 1998) GROUP BY 1, 2",
     "incomplete_cohorts": Q._BASE + "SELECT count(*) FILTER (y > 1998) AS n_incomplete FROM coh",

@@ -1,5 +1,8 @@
 """Labelled table, catalogs, contracts, registers, training and explanations: SQL on the smallest tables and literal cases."""
 
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 from test_queries import SF, db  # noqa: F401
@@ -31,6 +34,53 @@ def test_keys(spark):
     assert T.column_name("Engine HP (cv)") == "engine_hp_cv"
 
 
+def test_canonical_text_of_every_character(spark):
+    letters = [c for c in map(chr, range(1, 0x20000)) if not "\ud800" <= c <= "\udfff"]
+    rows = spark.createDataFrame([(f"a{c}b",) for c in letters], "t string")
+
+    def folded(text):
+        bare = "".join(x for x in unicodedata.normalize("NFKD", text) if not unicodedata.combining(x)).lower()
+        return " ".join(re.findall("[a-z0-9]+", bare))
+
+    got = rows.select("t", T.canonical_text(F.col("t")).alias("k")).collect()
+    assert [(r["t"], r["k"]) for r in got if r["k"] != folded(r["t"])] == []
+    assert {r["k"] for r in got} >= {"aivb", "akgb"}  # U+2163, U+338F
+
+
+def test_heaviest_event_of_a_campaign(spark):
+    rows = spark.createDataFrame([("v", "c", None, 1), ("v", "c", 2.0, 3), ("v", "c", 2.0, 2), ("v", "d", None, 9), ("v", "d", None, 8), (None, "c", 1.0, 7)], "id string, c string, w double, n int")
+    best = C.best_of_campaign(rows, "id", "c", "w", ["n"])
+    assert best.columns == rows.columns and sorted(r["n"] for r in best.collect()) == [2, 7, 8]
+
+
+def test_scale_says_where_it_comes_from(spark):
+    train = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 5.0)], "s string, v double")
+    asked = spark.createDataFrame([("a", 2.0), ("z", 3.0), (None, 3.0)], "s string, v double")
+    got = C.scaled_index(asked, C.fit_scale(train, "s", "v"), "s", "v", origin="scale_origin").collect()
+    assert {r["s"]: (r["scale_origin"], r["index_100"]) for r in got} == {"a": ("segment", 50.0), "z": ("global", 50.0), None: ("global", 50.0)}
+
+
+def test_failed_responses_ask_for_an_audit(spark):
+    schema = "id int, cand_id string, status string, audit_required boolean, advice string"
+    matches = spark.createDataFrame([(1, "a", "auto_accepted", False, "ok"), (2, "b", "auto_accepted", False, "ok"), (3, "x", "manual_accepted", False, "ok"), (4, "b", "rejected", True, "no")], schema)
+    replies = spark.createDataFrame([("a", "valid_zero_recalls", 1), ("b", "unverified_zero_result", 2)], "cand_id string, query_status string, extra int")
+    got = {r["id"]: (r["status"], r["audit_required"], r["advice"]) for r in G.transfer_failures(matches, replies).collect()}
+    assert got == {1: ("auto_accepted", False, "ok"), 2: ("unverified_zero_result", True, T.NO_LABEL), 3: ("query_failed", True, T.NO_LABEL), 4: ("rejected", True, "no")}
+    twice = replies.unionByName(replies.limit(1))
+    with pytest.raises(Exception, match="repeats a key"):
+        G.transfer_failures(matches, twice).collect()
+
+
+def test_serving_catalog_has_each_vehicle_once(spark):
+    gold = spark.createDataFrame([("1", " Ford", "KA", "2001", 5.0, 2), ("1", "Ford", "Ka", "2001", 6.0, 1), ("2", None, "x", "2001", 7.0, 3)], "id string, make string, model string, y string, score double, n int")
+    recent = spark.createDataFrame([("1", "Ford", "Ka", "2001", 4), ("3", "Seat", "Ibiza ", "2020", 5), ("4", "Seat", "Leon", "unknown", 6)], "id string, make string, model string, y string, n int")
+    out = G.serving_catalog(gold, recent, ["id"], names=["make", "model"], year="y", order=["n"])
+    got = sorted((r["id"], r["make"], r["model"], r["y"], r["score"], r["origin"]) for r in out.collect())
+    assert got == [("1", "ford", "ka", 2001, 6.0, "gold"), ("3", "seat", "ibiza", 2020, None, "inference")]
+    with pytest.raises(Exception, match="repeats a key"):
+        G.serving_catalog(gold, recent.withColumn("seen", F.lit(1)), ["id"], ["seen"]).collect()
+
+
 def test_events_without_campaign_stay_apart(spark):
     rows = spark.createDataFrame([("v", None, "Brakes!", 3.0, 1), ("v", " ", "brakes", 3.0, 2), ("v", None, "paint", 1.0, 3), ("v", "c", "x", 1.0, 4), ("v", "c", "y", 3.0, 5)], "id string, c string, d string, w double, n int")
     assert sorted(r["n"] for r in C.best_of_campaign(rows, "id", "c", "w", ["n"], "d").collect()) == [1, 3, 5]
