@@ -138,8 +138,11 @@ def request_digests(spark, d):
 
 def suggestion_lists(spark, d):
     rows = _named(spark, d)
-    pairs = rows.filter("p_partkey % 2 = 1").join(rows.filter("p_partkey % 2 = 0").select("make", "year", F.col("p_partkey").alias("cand_id")), ["make", "year"]).withColumn("score", F.pmod(F.col("p_partkey") + F.col("cand_id"), F.lit(101)))
-    return S.suggestions(pairs, "p_partkey", "cand_id", "score", 50).select("p_partkey", F.array_join(F.transform("suggestions", lambda s: F.concat_ws(":", s["s"].cast("string"), s["id"].cast("string"))), ",").alias("suggestions"))
+    asked, pool = rows.filter("p_partkey % 2 = 1"), rows.filter("p_partkey % 2 = 0").select("make", "year", F.col("p_partkey").alias("cand_id"))
+    remainder = F.when(F.col("least_id") >= 0, F.col("p_partkey") % 101).otherwise(F.col("p_partkey"))  # where no sum is negative, the score reads no more of a key
+    asked = asked.crossJoin(pool.agg(F.min("cand_id").alias("least_id"))).select("p_partkey", "make", "year", remainder.alias("read"))  # one row on the right
+    text = lambda listed: F.array_join(F.transform(listed, lambda s: F.concat_ws(":", s["s"].cast("string"), s["id"].cast("string"))), ",")
+    return S.suggestions(asked, pool, ["make", "year"], "p_partkey", "read", "cand_id", lambda read, cand: (read + cand) % 101, 50, text)
 
 
 NAMES = (bulk_vehicles, bulk_metadata, catalog_union, catalog_candidates, inventory_coverage, test_rows, test_coverage, query_status, request_plan, make_year_plan, run_manifest, independent_identity, identity_responses, exclusion_counts, resolution_summary, cohort_trend, corr_matrix, status_summary, last_entries, category_keys, request_digests, suggestion_lists)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +11,9 @@ from cohortscore.functions import text as T
 from cohortscore.operators.matching import enforce, unverified
 from cohortscore.sources.readers import checked_number
 
+#: Tasks over which the rows of one block may go.
+SPREAD = 8
+
 
 def keep_first(rows: DataFrame, keys: Sequence[Column | str], order: Sequence[Column | str]) -> DataFrame:
     """One row per key, the first in source order; all its columns stay together."""
@@ -119,11 +122,36 @@ def status_counts(rows: DataFrame, status: str, sets: Sequence[Sequence[str]], d
     return grouped.agg(F.count("*").alias("n"), *([F.count_distinct(distinct).alias("n_distinct")] if distinct else []))
 
 
-def suggestions(pairs: DataFrame, key: str, candidate: str, score: str, least: int) -> DataFrame:
-    """Per key the candidates of `least` points or more as an ordered list: score from high to low, then id. A block is small."""
-    order = lambda a, b: F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
-    listed = F.collect_list(F.struct(F.col(score).alias("s"), F.col(candidate).alias("id")))
-    return pairs.filter(F.col(score) >= least).groupBy(key).agg(F.array_sort(listed, order).alias("suggestions"))
+def suggestions(rows: DataFrame, candidates: DataFrame, block: Sequence[str], key: str, read: str, candidate: str, score: Callable[[Column, Column], Column], least: int, shown: Callable[[Column], Column] = lambda listed: listed) -> DataFrame:
+    """Per key the candidates of its block of `least` points or more, as `shown` makes it of the ordered list: score from high to low, then id.
+
+    `score` sees of a row no more than `read`, and a candidate's id. Rows of a block that read alike have one list, made
+    beside the block's candidates and copied to their keys, so no pair is shuffled and memory holds a block's ids and one
+    list. Only keys with unlike rows (other blocks, other `read`) have their lists gathered.
+    """
+    parts, same = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), [*block, "_part"]
+    dealt = lambda df: df.repartition(parts, *same)  # noqa: E731  a number, or Spark merges partitions that are small until their lists are made
+    spread = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("_part")
+    pool = dealt(candidates.dropna(subset=list(block)).select(*block, candidate, spread)).groupBy(*same).agg(F.collect_list(candidate).alias("_pool"))
+    places = rows.dropna(subset=list(block)).groupBy(key).agg(F.collect_list(F.struct(*block, read)).alias("_all"))
+    places = places.select(key, "_all", F.array_distinct("_all").alias("_places"))
+
+    enough = lambda c: score(F.col(read), c) >= least
+    entry = lambda c: F.struct((-score(F.col(read), c)).alias("minus"), c.alias("id"))
+    ordered = lambda found: shown(F.transform(F.sort_array(found), lambda x: F.struct((-x["minus"]).alias("s"), x["id"].alias("id")))).alias("suggestions")
+
+    def lists(some: DataFrame) -> tuple[DataFrame, Column]:
+        """Of each block and `read` the keys, and their list without order; a key that came `_n` times has all pairs as often."""
+        each = some.select(key, "_all", F.explode("_places").alias("_p")).select(key, "_p.*", F.size(F.filter("_all", lambda x: x.eqNullSafe(F.col("_p")))).alias("_n"))
+        alike = dealt(each.withColumn("_part", F.pmod(F.xxhash64(read), F.lit(SPREAD)).cast("int"))).groupBy(*same, read, "_n").agg(F.collect_list(F.struct(key)).alias("_keys"))
+        found = F.transform(F.filter("_pool", enough), entry)
+        return alike.join(pool, same).filter(F.exists("_pool", enough)), F.when(F.col("_n") == 1, found).otherwise(F.flatten(F.array_repeat(found, F.col("_n"))))
+
+    one, found = lists(places.filter(F.size("_places") == 1))
+    one = one.select("_keys", ordered(found)).select(F.inline("_keys"), "suggestions")
+    more, found = lists(places.filter(F.size("_places") > 1))
+    more = more.select("_keys", found.alias("_found")).select(F.inline("_keys"), "_found").groupBy(key).agg(F.flatten(F.collect_list("_found")).alias("_found"))
+    return one.unionByName(more.select(key, ordered(F.col("_found"))))
 
 
 def run_manifest(matches: DataFrame, alarm: float = 0.4) -> DataFrame:
